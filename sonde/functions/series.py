@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,65 +40,3 @@ def change_rates(a: Column, eps: float) -> Column:
     tail = F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
     head = F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
     return F.zip_with(tail, head, lambda b, c: F.abs(b - c) / (F.abs(c) + eps))
-
-
-def fourier(a: Column) -> Column:
-    """Real DFT of the centred series without DC: array of struct(re, im), k = 1 .. n div 2."""
-    n = F.size(a)
-    m = mean(a)
-
-    def coefficient(k: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"), F.lit(0).alias("i"))
-
-        def step(acc: Column, x: Column) -> Column:
-            angle = (2.0 * math.pi) * k * acc["i"] / n
-            return F.struct(
-                (acc["re"] + (x - m) * F.cos(angle)).alias("re"),
-                (acc["im"] - (x - m) * F.sin(angle)).alias("im"),
-                (acc["i"] + 1).alias("i"))
-
-        return F.aggregate(a, start, step)
-
-    ks = F.when(n >= 2, F.sequence(F.lit(1), F.floor(n / 2).cast("int"))
-                ).otherwise(F.array().cast("array<int>"))
-    return F.transform(ks, coefficient)
-
-
-def power(coefficients: Column) -> Column:
-    return F.transform(coefficients, lambda c: c["re"] * c["re"] + c["im"] * c["im"])
-
-
-def arg_max(a: Column) -> Column:
-    """Zero-based position of the first maximum."""
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
-
-
-SPECTRAL_FEATURES = (
-    "total_energy", "low_ratio", "mid_ratio", "high_ratio", "dominant_index",
-    "dominant_ratio", "entropy",
-)
-
-
-def spectral_features(p: Column) -> Column:
-    """Struct of band energy shares, dominant bin and base-2 entropy of a power spectrum."""
-    n = F.size(p)
-    third = F.greatest(F.lit(1), F.floor(n / 3).cast("int"))
-    mid_end = F.least(third * 2, n)
-    energy = total(p)
-    alive = (n > 0) & (energy >= 1e-12)
-
-    def share(part: Column) -> Column:
-        return F.when(alive, total(part) / energy).otherwise(F.lit(0.0))
-
-    entropy = F.aggregate(
-        p, F.lit(0.0),
-        lambda acc, x: F.when(x > 0, acc - (x / energy) * F.log2(x / energy)).otherwise(acc))
-    return F.struct(
-        F.when(alive, energy).otherwise(F.lit(0.0)).alias("total_energy"),
-        share(F.slice(p, F.lit(1), third)).alias("low_ratio"),
-        share(F.slice(p, third + 1, F.greatest(mid_end - third, F.lit(0)))).alias("mid_ratio"),
-        share(F.slice(p, mid_end + 1, F.greatest(n - mid_end, F.lit(0)))).alias("high_ratio"),
-        F.when(alive, arg_max(p)).otherwise(F.lit(0)).alias("dominant_index"),
-        F.when(alive, F.array_max(p) / energy).otherwise(F.lit(0.0)).alias("dominant_ratio"),
-        F.when(alive, entropy).otherwise(F.lit(0.0)).alias("entropy"),
-    )
