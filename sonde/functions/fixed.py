@@ -338,3 +338,18 @@ METRIC_TYPE_PRIORS = (
     ("connection", "db connection limit", 0.8), ("connection", "db close", 0.5),
     ("disk", "high disk I/O read usage", 0.8), ("disk", "high disk space usage", 0.8),
 )
+
+# ---------------------------------------------------------------- log topology
+DATASOURCE_RE = r"Name\s*=\s*([A-Za-z0-9_\-]+?)(?:\s+(?:Property|Ignoring))"
+DATASOURCE_NOISE = ("HOST", "USER", "PASSWORD", "URL", "DRIVER")
+CACHE_POOL_RE = r"(?i)JedisPool|redis\.clients\.jedis"
+JDBC_RE = r"jdbc:(?:mysql|postgresql|oracle)://([^/:\s]+):?(\d+)?"
+IP_RE = r"\d+\.\d+\.\d+\.\d+"
+CONNECTION_ERROR_RE = (
+    r"(?i)Communications link failure|connection.{0,5}timeout|connection.{0,5}refused|"
+    r"HikariPool.*timeout|connection.{0,5}closed"
+)
+ACCESS_RE = r"(?m)^\s*([A-Za-z][A-Za-z0-9_\-]+?)\s+(?:GET|POST|PUT|DELETE|HEAD|PATCH)\s+\S+"
+ACCESS_LOG_RE = r"(?i)access_log|localhost_access_log"
+ACCESS_NOISE = ("http", "https", "k6", "curl", "wget", "mozilla")
+LOG_CALLS = 5

@@ -286,14 +286,17 @@ def topology_score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.select(*keys, F.when(inside, score).otherwise(0.5).alias("topology_score"))
 
 
-def explain_score(strengths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def explain_score(strengths: DataFrame, edges: DataFrame, nodes: DataFrame,
+                  anomalies: DataFrame | None = None) -> DataFrame:
     """Severity-weighted influence on other anomalies, discounted by earlier candidates that reach them.
 
-    ``nodes`` are the candidates with score and rank; the competitors of a candidate are those
-    of smaller rank with an influence above 0.1 on the same target.
+    ``nodes`` are the candidates with score and rank, ``anomalies`` all anomalous components
+    (default: the candidates). The competitors of a candidate are those of smaller rank with
+    an influence above 0.1 on the same target.
     """
+    hot = nodes if anomalies is None else anomalies
     reach = (strengths.filter("strength > 0")
-             .join(nodes.select("incident_id", F.col("component").alias("node"), F.col("score").alias("severity")), ["incident_id", "node"])
+             .join(hot.select("incident_id", F.col("component").alias("node"), F.col("score").alias("severity")), ["incident_id", "node"])
              .join(nodes.select("incident_id", F.col("component").alias("origin"), "rank"), ["incident_id", "origin"]))
     w = W.partitionBy("incident_id", "node").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     ranked = reach.withColumn("_rivals", F.coalesce(F.sum((F.col("strength") > 0.1).cast("int")).over(w), F.lit(0)))
@@ -301,8 +304,8 @@ def explain_score(strengths: DataFrame, edges: DataFrame, nodes: DataFrame) -> D
         "_factor", F.greatest(F.lit(0.7), 1.0 - 0.075 * F.col("_rivals"))).groupBy(
         "incident_id", F.col("origin").alias("component")).agg(
         F.sum(F.col("severity") * F.col("strength") * F.col("_factor")).alias("_num"), F.sum("severity").alias("_den"))
-    own = nodes.select("incident_id", "component", "score").withColumn(
-        "_max", F.max("score").over(W.partitionBy("incident_id")))
+    own = nodes.select("incident_id", "component", "score").join(
+        hot.groupBy("incident_id").agg(F.max("score").alias("_max")), "incident_id")
     out = edges.select("incident_id", F.col("source").alias("component"), F.lit(True).alias("_has")).distinct()
     keys = ["incident_id", "component"]
     raw = F.when(F.col("_max") > 0, F.col("score") / F.col("_max")).otherwise(0.0)
