@@ -353,3 +353,51 @@ ACCESS_RE = r"(?m)^\s*([A-Za-z][A-Za-z0-9_\-]+?)\s+(?:GET|POST|PUT|DELETE|HEAD|P
 ACCESS_LOG_RE = r"(?i)access_log|localhost_access_log"
 ACCESS_NOISE = ("http", "https", "k6", "curl", "wget", "mozilla")
 LOG_CALLS = 5
+
+# ---------------------------------------------------------------- reason evidence
+# reason words, evidence as (category, share), boosts by component type, other types
+CATEGORY_REASONS = (
+    (("cpu", "load"), "cpu", {"service": 1.2, "pod": 1.1, "node": 1.0}, 0.8),
+    (("memory", "oom", "heap"), "memory", {"redis": 1.3, "pod": 1.2, "service": 1.0}, 0.8),
+    (("network", "latency", "delay", "timeout"), "network",
+     {"service": 1.2, "pod": 1.1, "middleware": 1.0}, 0.8),
+    (("packet", "loss"), (("network", 0.7), ("process", 0.3)), {"service": 1.1, "pod": 1.0}, 0.8),
+    (("disk", "i/o", "space"), (("disk", 1.0),), {"node": 1.2, "db": 1.1}, 0.8),
+    (("db", "connection", "close", "limit"), (("db", 1.0), ("network", 0.3)),
+     {"db": 1.5, "redis": 1.3}, 0.7),
+    (("jvm",), (("memory", 0.5), ("cpu", 0.5)), {"service": 1.2, "pod": 1.1}, 0.8),
+)
+# expected KPI families of a reason
+REASON_SIGNATURES = {
+    "high memory usage": {"jvm_memory": 1.0, "memory": 0.8, "jvm_oom": 0.9},
+    "JVM Out of Memory (OOM) Heap": {"jvm_oom": 1.0, "jvm_memory": 0.9, "memory": 0.6},
+    "high CPU usage": {"cpu": 1.0, "jvm_cpu": 0.8},
+    "high JVM CPU load": {"jvm_cpu": 1.0, "cpu": 0.7},
+    "network packet loss": {"network_loss": 1.0},
+    "network latency": {"network_latency": 1.0},
+    "network delay": {"network_latency": 1.0},
+    "high disk I/O read usage": {"disk_io": 1.0, "cpu": 0.3},
+    "high disk space usage": {"disk_space": 1.0, "disk_io": 0.3},
+    "db connection limit": {"db_connection": 1.0, "db": 0.5},
+    "db close": {"db_close": 1.0, "db": 0.5},
+    "container memory load": {"jvm_memory": 0.8, "memory": 1.0},
+    "container CPU load": {"cpu": 1.0, "jvm_cpu": 0.6},
+    "container network packet loss": {"network_loss": 1.0},
+    "container network latency": {"network_latency": 1.0},
+    "container process termination": {"process": 1.0},
+    "node CPU load": {"cpu": 1.0},
+    "node memory consumption": {"memory": 1.0, "jvm_memory": 0.5},
+    "CPU fault": {"cpu": 1.0},
+}
+CONNECTION_STATE_WORDS = (
+    "tcp-fin-wait", "tcp-close-wait", "tcp-time-wait", "fin-wait", "close-wait", "time-wait",
+)
+INTERFACE_WORDS = (
+    "netbandwidthutil", "netkbtotalpersec", "netpacketsin", "netpacketsout", "nic", "bandwidth",
+    "network_throughput", "network_bytes", "net_", "eth0", "ens",
+)
+REASON_WEIGHTS = {"kpi": 0.35, "observed": 0.15, "prior": 0.45}
+DIRECT_TYPE_PRIOR = {
+    "service": 0.85, "pod": 0.80, "node": 0.75, "middleware": 0.75, "redis": 0.70, "db": 0.65,
+}
+DIRECT_TYPE_PRIOR_DEFAULT = 0.70

@@ -47,8 +47,8 @@ def drop_dead_series(stats: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
-                      accuracy: int = 10000) -> DataFrame:
-    """Exact interpolated percentiles of groups of any size.
+                      accuracy: int = 10000, interpolate: bool = True) -> DataFrame:
+    """Exact percentiles of groups of any size: interpolated, or the element at floor(n * p).
 
     A mergeable sketch gives each wanted rank a bracket that surely holds it; only the
     distinct values inside the brackets are ranked, after counting what lies below. No
@@ -70,7 +70,8 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
         lo = F.when(F.lit(bounds[2 * i]) <= 0, F.col("_min")).otherwise(F.col("_b")[2 * i])
         hi = F.when(F.lit(bounds[2 * i + 1]) >= 1, F.col("_max")).otherwise(F.col("_b")[2 * i + 1])
         return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"),
-                        ((F.col("_n") - 1) * F.lit(p)).alias("pos"))
+                        ((F.col("_n") - 1) * F.lit(p) if interpolate else F.least(
+                            F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)))).cast("double").alias("pos"))
 
     targets = sketch.select(*keys, "_n", F.array(*[
         bracket(i, p) for i, p in enumerate(probs.values())]).alias("_t"))

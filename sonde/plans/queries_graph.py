@@ -234,8 +234,8 @@ def log_topology(spark, sf_dir):
 WITH a AS (SELECT incident_id, caller AS n FROM calls_inc UNION SELECT incident_id, callee FROM calls_inc),
 b AS (SELECT incident_id, caller AS n FROM log_calls UNION SELECT incident_id, callee FROM log_calls),
 o AS (SELECT incident_id, count(*) AS overlap FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY ALL)
-SELECT i.incident_id, coalesce(overlap, 0) AS overlap_nodes, (SELECT count(*) FROM log_calls l WHERE l.incident_id = i.incident_id AND
-  (caller, callee) IN (SELECT (caller, callee) FROM calls_inc c WHERE c.incident_id = i.incident_id)) AS matched,
+SELECT i.incident_id, coalesce(overlap, 0) AS overlap_nodes, (SELECT count(*) FROM log_calls l JOIN calls_inc c USING (incident_id, caller, callee)
+  WHERE l.incident_id = i.incident_id) AS matched,
   CASE WHEN i.incident_id NOT IN (SELECT incident_id FROM log_calls) THEN 'EMPTY' WHEN coalesce(overlap, 0) > 0 THEN 'MERGED' ELSE 'INDEPENDENT' END AS status
 FROM incidents i LEFT JOIN o USING (incident_id)""")
 def topology_status(spark, sf_dir):

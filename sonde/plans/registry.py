@@ -46,12 +46,14 @@ def _close(sql: str, start: int) -> tuple[int, int]:
 
 
 def nudge_rounds(sql: str) -> str:
-    """Add 1e-9 inside every ``round(x, d)`` and 0.0 after it, as :func:`scalars.rounded` does."""
+    """Add 1e-9 inside every ``round(x, d)`` (tie guards with d = 9 excepted) and 0.0 after it, as :func:`scalars.rounded` does."""
     out, pos = [], 0
     for m in re.finditer(r"\bround\(", sql):
         if m.start() < pos:
             continue
         end, comma = _close(sql, m.end())
+        if sql[comma + 1:end].strip() == "9":
+            continue
         out += [sql[pos:m.start()], "(round((", nudge_rounds(sql[m.end():comma]), ") + 1e-9",
                 sql[comma:end + 1], " + 0.0)"]
         pos = end + 1
