@@ -218,8 +218,10 @@ def select_causes(candidates: DataFrame, incidents: DataFrame) -> DataFrame:
     """
     gap = F.greatest(F.lit(60.0), (F.col("end_ts") - F.col("start_ts")) / (2.0 * F.col("failure_count")))
     inc = incidents.select("incident_id", "failure_count", gap.alias("_gap"))
-    pool = candidates.join(inc, "incident_id")
-    order = F.struct(F.col("score"), F.col("key"))
+    order = F.struct(F.col("score"), F.col("key"), -F.col("ts"))
+    unique = candidates.filter("ts IS NOT NULL").groupBy("incident_id", "component", "ts").agg(
+        F.max(F.struct("score", "key")).alias("b")).select("incident_id", "component", "ts", "b.*")
+    pool = unique.join(inc, "incident_id")
     left, chosen = pool, None
     for n in range(1, 4):
         best = left.filter(F.col("failure_count") >= n).groupBy("incident_id").agg(
@@ -230,7 +232,7 @@ def select_causes(candidates: DataFrame, incidents: DataFrame) -> DataFrame:
             F.col("_t").isNull() | (F.abs(F.col("ts") - F.col("_t")) >= F.col("_gap"))).drop("_t")
     have = chosen.groupBy("incident_id").agg(F.count("*").alias("_have"))
     rest = pool.join(chosen.select("incident_id", "component", "ts").distinct(), ["incident_id", "component", "ts"], "left_anti")
-    fill = top_k(rest, ["incident_id"], [F.desc("score"), F.desc("key")], 3, "_k").join(have, "incident_id").filter(
+    fill = top_k(rest, ["incident_id"], [F.desc("score"), F.desc("key"), "ts"], 3, "_k").join(have, "incident_id").filter(
         F.col("_k") <= F.col("failure_count") - F.col("_have"))
     fill = fill.select("incident_id", "component", "ts", "score", "key", (F.col("_have") + F.col("_k")).alias("pick"))
     w = W.partitionBy("incident_id").orderBy("ts", "pick")

@@ -7,4 +7,5 @@ from sonde.plans import queries_detect  # noqa: F401
 from sonde.plans import queries_spectral  # noqa: F401
 from sonde.plans import queries_graph  # noqa: F401
 from sonde.plans import queries_reason  # noqa: F401
+from sonde.plans import queries_rank  # noqa: F401
 from sonde.plans.registry import CHECKS, QUERIES  # noqa: F401
