@@ -401,3 +401,52 @@ DIRECT_TYPE_PRIOR = {
     "service": 0.85, "pod": 0.80, "node": 0.75, "middleware": 0.75, "redis": 0.70, "db": 0.65,
 }
 DIRECT_TYPE_PRIOR_DEFAULT = 0.70
+
+# ---------------------------------------------------------------- KPI lists of the fixed sampler
+SAMPLED_KPIS = {
+    "telecom": (
+        "Proc_Used_Pct", "Sess_Connect", "Proc_User_Used_Pct", "On_Off_State",
+        "tnsping_result_time", "container_cpu_used", "Memory_used_pct", "Disk_io_util",
+        "Sent_queue", "Received_queue",
+    ),
+    "bank": (
+        "JVM-Operating System_7779_JVM_JVM_CPULoad",
+        "JVM-Operating System_7778_JVM_JVM_CPULoad",
+        "JVM-Memory_7778_JVM_Memory_NoHeapMemoryUsed",
+        "JVM-Memory_7779_JVM_Memory_NoHeapMemoryUsed",
+        "JVM-Memory_7779_JVM_Memory_HeapMemoryUsage",
+        "JVM-Memory_7778_JVM_Memory_HeapMemoryUsage",
+        "JVM-Memory_7778_JVM_Memory_HeapMemoryUsed",
+        "JVM-Memory_7779_JVM_Memory_HeapMemoryUsed",
+        "OSLinux-CPU_CPU_CPUCpuUtil",
+        "OSLinux-CPU_CPU-0_SingleCpuUtil",
+        "OSLinux-OSLinux_MEMORY_MEMORY_MEMUsedMemPerc",
+        "OSLinux-OSLinux_MEMORY_MEMORY_NoCacheMemPerc",
+        "OSLinux-OSLinux_MEMORY_MEMORY_MEMFreeMem",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sda_DSKReadWrite",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sdb_DSKRead",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sdb_DSKReadWrite",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sdb_DSKRTps",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sda_DSKRTps",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sda_DSKRead",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sda_DSKBps",
+        "OSLinux-OSLinux_LOCALDISK_LOCALDISK-sda_DSKPercentBusy",
+        "OSLinux-OSLinux_NETWORK_NETWORK_TCP-FIN-WAIT",
+        "OSLinux-OSLinux_NETWORK_ens160_NETBandwidthUtil",
+        "OSLinux-OSLinux_NETWORK_NETWORK_TotalTcpConnNum",
+        "OSLinux-OSLinux_NETWORK_ens160_NETPacketsOut",
+        "OSLinux-OSLinux_NETWORK_ens160_NETPacketsIn",
+        "OSLinux-OSLinux_NETWORK_ens160_NETKBTotalPerSec",
+        "OSLinux-OSLinux_NETWORK_NETWORK_TCP-CLOSE-WAIT",
+    ),
+    "market": (
+        "container_threads", "container_cpu_usage_seconds", "system.cpu.pct_usage",
+        "system.mem.used", "container_memory_usage_MB", "container_fs_reads./dev/vda",
+        "container_fs_writes./dev/vda", "system.io.r_s", "system.io.w_s",
+        "container_fs_writes./dev/vda1", "system.disk.used", "system.disk.pct_usage",
+        "container_network_receive_packets.eth0", "container_network_receive_MB.eth0",
+        "recommendationservice-grpc", "frontend-http", "cartservice-grpc",
+        "checkoutservice-grpc", "productcatalogservice-grpc", "emailservice-grpc",
+        "adservice-grpc",
+    ),
+}
