@@ -21,8 +21,11 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def has_any(text: Column, words) -> Column:
-    """True when the text holds at least one of the words."""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """True when the text holds at least one of the words (one expression, however many words)."""
+    words = list(words)
+    if len(words) == 1:
+        return F.contains(text, F.lit(words[0]))
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def first_match(rules, default=None) -> Column:

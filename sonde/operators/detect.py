@@ -13,9 +13,15 @@ from sonde.operators.windows import SERIES, islands, top_k, window_join
 KEYS = ["incident_id", *SERIES]
 
 
-def _with_stats(metrics: DataFrame, stats: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Incident rows next to the statistics of their series-day (co-partitioned by series)."""
-    return window_join(metrics, incidents).join(stats, [*SERIES, "day"])
+def _with_stats(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, before: int = 0) -> DataFrame:
+    """Incident rows, one per timestamp, next to the statistics of their series-day.
+
+    Only rows of the windows (and ``before`` seconds ahead of them) are made unique and
+    shuffled; the range join reaches the scan first.
+    """
+    wide = incidents.select("incident_id", "start_ts", "end_ts", (F.col("start_ts") - before).alias("_from"))
+    rows = window_join(metrics, wide, start="_from").groupBy(*KEYS, "day", "ts", "start_ts").agg(F.avg("value").alias("value"))
+    return rows.join(stats, [*SERIES, "day"])
 
 
 def points_a(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, reasons,
@@ -68,34 +74,36 @@ def segments_a(points: DataFrame, keep: int = 80) -> DataFrame:
     return top_k(seg, ["incident_id"], [F.desc("severity"), *SERIES, "start_ts"], keep)
 
 
-def points_b(metrics: DataFrame, stats: DataFrame, incidents: DataFrame,
-             baseline: DataFrame | None = None) -> DataFrame:
+def points_b(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, baseline: int | None = 1800) -> DataFrame:
     """Detector B: deviation relative to the threshold, saturation, and change from the baseline.
 
-    ``baseline`` (incident, series, baseline_mean) switches the pre-fault term on.
+    ``baseline`` is the length in seconds of the pre-fault window whose mean (day median when
+    empty) the change term compares with; None switches the term off. Baseline and saturation
+    are windows over the rows of an incident's series (bounded by a day of timestamps), in
+    the partitioning that the islands use next.
     """
     kpi = F.lower("kpi")
     v, zero = F.col("value"), F.lit(0.0)
-    rows = _with_stats(metrics, stats, incidents)
+    rows = _with_stats(metrics, stats, incidents, baseline or 0)
+    inside = F.col("ts") >= F.col("start_ts")
+    w = W.partitionBy(*KEYS)
+    over = lambda c: F.avg(F.when(inside, c)).over(w)
     memory = S.has_any(kpi, V.MEMORY_WORDS)
     cpu = F.contains(kpi, F.lit("cpu")) & S.has_any(kpi, ("util", "percent", "pct"))
-    share = lambda cut: F.avg((v >= cut).cast("double"))
-    mean = F.avg("value")
-    median = F.max("median")
-    held = rows.groupBy(*KEYS).agg(
-        F.when(F.count("*") < 3, 0.0)
-        .when(F.max(memory) & (median >= 90),
-              F.when(share(95) >= 0.7, F.least(F.lit(1.0), 0.30 + (mean - 90.0) / 15.0)).otherwise(0.0))
-        .when(F.max(cpu) & (median >= 80),
-              F.when(share(90) >= 0.7, F.least(F.lit(1.0), 0.25 + (mean - 80.0) / 20.0)).otherwise(0.0))
-        .otherwise(0.0).alias("_held"))
-    df = rows.join(held, KEYS)
+    df = rows.select(
+        "*", F.count(F.when(inside, v)).over(w).alias("_n"), over(v).alias("_mean"),
+        over((v >= 95).cast("double")).alias("_at95"), over((v >= 90).cast("double")).alias("_at90"),
+        F.avg(F.when(~inside, v)).over(w).alias("_before")).filter(inside)
+    held = (F.when(F.col("_n") < 3, 0.0)
+            .when(memory & (F.col("median") >= 90), F.when(
+                F.col("_at95") >= 0.7, F.least(F.lit(1.0), 0.30 + (F.col("_mean") - 90.0) / 15.0)).otherwise(0.0))
+            .when(cpu & (F.col("median") >= 80), F.when(
+                F.col("_at90") >= 0.7, F.least(F.lit(1.0), 0.25 + (F.col("_mean") - 80.0) / 20.0)).otherwise(0.0)).otherwise(0.0))
     if baseline is not None:
-        df = df.join(baseline, KEYS, "left").withColumn(
-            "_change", 0.3 * F.least(F.lit(1.0), 0.5 * F.abs(v - F.col("baseline_mean"))
-                                     / F.greatest(F.abs("baseline_mean"), F.lit(1.0))))
+        base = F.coalesce("_before", "median")
+        change = 0.3 * F.least(F.lit(1.0), 0.5 * F.abs(v - base) / F.greatest(F.abs(base), F.lit(1.0)))
     else:
-        df = df.withColumn("_change", zero)
+        change = zero
 
     def relative(distance: Column, threshold: Column) -> Column:
         return F.greatest(zero, distance / F.greatest(F.abs(threshold), F.col("scale"), F.lit(1e-6)))
@@ -106,8 +114,7 @@ def points_b(metrics: DataFrame, stats: DataFrame, incidents: DataFrame,
     high = relative(v - F.col("high"), F.col("high"))
     low = relative(F.col("low") - v, F.col("low")) * F.when(S.is_low_sensitive(F.col("kpi")), 1.0).otherwise(0.25)
     df = (df.withColumn("_hi", F.greatest(
-              squeeze(high), S.saturation_bounded(F.col("kpi"), v, F.col("median"), F.col("high")),
-              F.coalesce("_change", zero), "_held"))
+              squeeze(high), S.saturation_bounded(F.col("kpi"), v, F.col("median"), F.col("high")), change, held))
           .withColumn("_lo", squeeze(low))
           .withColumn("direction", F.when(F.col("_hi") >= F.col("_lo"), "high").otherwise("low"))
           .withColumn("deviation", F.greatest("_hi", "_lo"))
@@ -142,19 +149,13 @@ def intensity(points: DataFrame) -> DataFrame:
     return points.groupBy("incident_id", "component", "ts").agg(F.max("deviation").alias("intensity"))
 
 
-def _kpi_medians(segments: DataFrame) -> DataFrame:
-    """Upper median of the peak deviations of a KPI over the segments of an incident."""
-    keys = ["incident_id", "kpi"]
-    w = W.partitionBy(*keys)
-    ranked = segments.select(*keys, F.row_number().over(w.orderBy("max_deviation")).alias("_r"),
-                             F.count("*").over(w).alias("_n"), "max_deviation")
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(
-        *keys, F.col("max_deviation").alias("kpi_median"))
-
-
 def _relative(segments: DataFrame) -> DataFrame:
-    return segments.join(_kpi_medians(segments), ["incident_id", "kpi"]).withColumn(
-        "relative", F.col("max_deviation") / F.greatest(F.col("kpi_median"), F.lit(0.01)))
+    """Add the ratio of a segment's peak to the upper median of its KPI over the incident (one window)."""
+    w = W.partitionBy("incident_id", "kpi")
+    df = segments.withColumn("_r", F.row_number().over(w.orderBy("max_deviation"))).withColumn("_n", F.count("*").over(w))
+    middle = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("max_deviation"))).over(w)
+    return df.withColumn("kpi_median", middle).withColumn(
+        "relative", F.col("max_deviation") / F.greatest(F.col("kpi_median"), F.lit(0.01))).drop("_r", "_n")
 
 
 def severity_ratio(segments: DataFrame) -> DataFrame:

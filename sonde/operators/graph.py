@@ -44,15 +44,13 @@ def lag_scores(merged: DataFrame, max_lag: int = 5) -> DataFrame:
     df = merged.select(*EDGE, "x", "y", *[F.lead("y", k).over(w).alias(f"_y{k}") for k in lags if k],
                        *[F.lead("x", k).over(w).alias(f"_x{k}") for k in lags if k])
 
-    def corr(a: str, b: str):
-        pair = F.col(b).isNotNull()
-        u, v = F.when(pair, F.col(a)), F.col(b)
-        spread = F.sqrt(F.var_pop(u) * F.var_pop(v)) * F.count(v)
-        return F.coalesce(F.when((F.count(v) >= 3) & (spread >= 1e-12), F.abs(F.corr(u, v))), F.lit(0.0))
+    def corr(a: str, b: str, k: int):
+        # null pairs are skipped; a flat side gives no number
+        return F.when(F.count("*") - k >= 3, F.nanvl(F.coalesce(F.abs(F.corr(a, b)), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
 
     g = df.groupBy(*EDGE).agg(
-        F.count("*").alias("_n"), corr("x", "y").alias("_c0"),
-        *[corr("x", f"_y{k}").alias(f"_f{k}") for k in lags if k], *[corr("y", f"_x{k}").alias(f"_r{k}") for k in lags if k])
+        F.count("*").alias("_n"), corr("x", "y", 0).alias("_c0"),
+        *[corr("x", f"_y{k}", k).alias(f"_f{k}") for k in lags if k], *[corr("y", f"_x{k}", k).alias(f"_r{k}") for k in lags if k])
     forward = F.greatest(*[F.col(f"_f{k}") for k in lags if k])
     back = F.greatest(*[F.col(f"_r{k}") for k in lags if k])
     total = forward + back

@@ -56,9 +56,11 @@ def templated(logs: DataFrame, incidents: DataFrame) -> DataFrame:
 
 def reason_evidence(counts: DataFrame, reasons) -> DataFrame:
     """(incident, component, reason, score) summed over templates."""
-    hit = counts.withColumn("_r", _template_rule(F.col("template"), list(reasons))).filter("_r IS NOT NULL")
-    return hit.groupBy("incident_id", "component", F.col("_r.reason").alias("reason")).agg(
-        F.sum(F.col("_r.weight") * F.col("n")).alias("score"))
+    # filtered on the sum, not on the rule: that filter would be pushed below the templates'
+    # grouping and run the masking once per key word
+    ruled = counts.withColumn("_r", _template_rule(F.col("template"), list(reasons)))
+    return ruled.groupBy("incident_id", "component", F.col("_r.reason").alias("reason")).agg(
+        F.sum(F.col("_r.weight") * F.col("n")).alias("score")).filter("score IS NOT NULL")
 
 
 def template_counts(counts: DataFrame, keep: int = 50) -> DataFrame:

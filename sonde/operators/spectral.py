@@ -60,19 +60,16 @@ def spectral_scores(arrays: DataFrame) -> DataFrame:
     return df.withColumn("spectral_score", score).withColumn("spectral_class", kind)
 
 
-def anomaly_evidence(arrays: DataFrame, missing: DataFrame | None = None,
-                     use_traditional: bool = True, use_spectral: bool = True) -> DataFrame:
+def anomaly_evidence(arrays: DataFrame, use_traditional: bool = True, use_spectral: bool = True) -> DataFrame:
     """Full evidence per (incident, series): both scores, fusion, level, quality, explanation.
 
-    ``missing`` (incident, series, missing_share) marks low quality. Series with fewer than
+    The share of empty bins, where the arrays carry it, marks low quality. Series with fewer than
     four baseline or two incident points get an empty record; fewer than eight incident
     points skip the spectral part.
     """
     enough = (F.size("base") >= 4) & (F.size("inc") >= 2)
     good = arrays.filter(enough)
-    if missing is not None:
-        good = good.join(missing, KEYS, "left")
-    share = F.coalesce("missing_share", F.lit(0.0)) if missing is not None else F.lit(0.0)
+    share = F.coalesce("missing_share", F.lit(0.0)) if "missing_share" in arrays.columns else F.lit(0.0)
     short = F.size("inc") < V.MIN_SPECTRAL_POINTS
     df = spectral_scores(traditional_scores(good)).withColumn(
         "quality_flag", F.when(short, "too_short_for_spectral")

@@ -100,13 +100,15 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
 def scored_arrays(filled: DataFrame, incidents: DataFrame, multiplier: int = 3) -> DataFrame:
     """Ordered incident and baseline values per (incident, series) of a resampled series.
 
-    The arrays are bounded by the bins of the windows.
+    The arrays are bounded by the bins of the windows. With the ``empty`` mark of the
+    resampling, the share of empty bins comes along.
     """
     rows = with_roles(filled, incidents, multiplier).filter(F.col("value").isNotNull())
     point = F.struct("ts", "value")
     pick = lambda role: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("role") == role, point))), lambda p: p["value"])
-    return rows.groupBy("incident_id", *SERIES).agg(pick("i").alias("inc"), pick("b").alias("base"))
+    share = [F.avg(F.col("empty").cast("double")).alias("missing_share")] if "empty" in filled.columns else []
+    return rows.groupBy("incident_id", *SERIES).agg(pick("i").alias("inc"), pick("b").alias("base"), *share)
 
 
 def traditional_scores(arrays: DataFrame, threshold=None) -> DataFrame:

@@ -90,7 +90,8 @@ def fill_missing(rows: DataFrame, method: str = "linear", keys=(*SERIES, "day"))
 
 
 def resampled_filled(rows: DataFrame, width: int = 60) -> DataFrame:
-    return fill_missing(resample(rows, width))
+    """Resampled and linearly filled series, with a mark on the bins that were empty."""
+    return fill_missing(resample(rows, width).withColumn("empty", F.col("value").isNull()))
 
 
 def normalise(rows: DataFrame, method: str = "minmax", keys=(*SERIES, "day")) -> DataFrame:

@@ -30,6 +30,10 @@ def stats_relaxed(spark, sf_dir):
     return ST.day_thresholds(T.raw_metrics(spark, sf_dir), HIGH, LOW)
 
 
+def stats_table(spark, sf_dir):
+    return stage(spark, sf_dir, "stats", lambda: stats_relaxed(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ detector A
 _SEG_HINT = hint_sql("lower(kpi || ' metric_container.csv')", V.REASON_HINT_RULES_SHORT)
 cte("points_a", f"""
@@ -61,7 +65,7 @@ FROM segments_a_all QUALIFY rank <= 80""")
 
 
 def points_a(spark, sf_dir):
-    return D.points_a(metrics(spark, sf_dir), ST.day_thresholds(T.raw_metrics(spark, sf_dir)),
+    return D.points_a(T.raw_metrics(spark, sf_dir), ST.day_thresholds(T.raw_metrics(spark, sf_dir)),
                       T.incidents(spark, sf_dir), T.REASONS, T.METRIC_FILE)
 
 
@@ -152,12 +156,8 @@ _SEG_COLS = """incident_id, component, kpi, start_ts, end_ts, n_points, severity
 
 
 def points_b(spark, sf_dir):
-    def build():
-        m = metrics(spark, sf_dir)
-        stats = stats_relaxed(spark, sf_dir)
-        inc = T.incidents(spark, sf_dir)
-        return D.points_b(m, stats, inc, ST.pre_fault_mean(m, stats, inc))
-    return stage(spark, sf_dir, "points_b", build)
+    return stage(spark, sf_dir, "points_b", lambda: D.points_b(
+        T.raw_metrics(spark, sf_dir), stats_table(spark, sf_dir), T.incidents(spark, sf_dir)))
 
 
 def segments(spark, sf_dir):
@@ -168,10 +168,7 @@ def segments(spark, sf_dir):
 
 @query("det2_segments_b", f"SELECT {_SEG_COLS} FROM segments_b")
 def det2(spark, sf_dir):
-    m = metrics(spark, sf_dir)
-    stats = stats_relaxed(spark, sf_dir)
-    inc = T.incidents(spark, sf_dir)
-    pts = D.points_b(m, stats, inc, ST.pre_fault_mean(m, stats, inc))
+    pts = D.points_b(T.raw_metrics(spark, sf_dir), stats_relaxed(spark, sf_dir), T.incidents(spark, sf_dir))
     return D.segments_b(pts, T.REASONS, BETA, MIN_POINTS, T.METRIC_FILE).select(
         "incident_id", "component", "kpi", "start_ts", "end_ts", "n_points", "severity", "reason_hint", "peak_value",
         r("threshold"), "direction")
@@ -179,7 +176,7 @@ def det2(spark, sf_dir):
 
 @query("det2_segments_b_no_baseline", f"SELECT {_SEG_COLS} FROM segments_b2")
 def det2_plain(spark, sf_dir):
-    pts = D.points_b(metrics(spark, sf_dir), stats_relaxed(spark, sf_dir), T.incidents(spark, sf_dir))
+    pts = D.points_b(T.raw_metrics(spark, sf_dir), stats_relaxed(spark, sf_dir), T.incidents(spark, sf_dir), None)
     return D.segments_b(pts, T.REASONS, 0.5, 1, T.METRIC_FILE).select(
         "incident_id", "component", "kpi", "start_ts", "end_ts", "n_points", "severity", "reason_hint", "peak_value",
         r("threshold"), "direction")
@@ -241,10 +238,7 @@ def candidates(spark, sf_dir):
 @query("det3_candidate_set", "SELECT incident_id, component, score, first_ts, kpis, CAST(rank AS INTEGER) AS rank FROM cands")
 def det3(spark, sf_dir):
     """Flagship: thresholds, range join, deviations, islands, severity and top components in one plan."""
-    m = metrics(spark, sf_dir)
-    stats = stats_relaxed(spark, sf_dir)
-    inc = T.incidents(spark, sf_dir)
-    pts = D.points_b(m, stats, inc, ST.pre_fault_mean(m, stats, inc))
+    pts = D.points_b(T.raw_metrics(spark, sf_dir), stats_relaxed(spark, sf_dir), T.incidents(spark, sf_dir))
     seg = D.segments_b(pts, T.REASONS, BETA, MIN_POINTS, T.METRIC_FILE)
     return D.candidates(D.severity_ratio(seg))
 

@@ -316,11 +316,11 @@ SELECT incident_id, CAST(arg_min(setting, (CASE WHEN candidates BETWEEN 3 AND 30
   arg_min(candidates, (CASE WHEN candidates BETWEEN 3 AND 30 THEN 0 ELSE 1 END, CASE WHEN candidates BETWEEN 3 AND 30 THEN setting ELSE -setting END)) AS candidates FROM sweep_counts GROUP BY incident_id""")
 def parameter_sweep(spark, sf_dir):
     """All settings in one job, then the first acceptable one per incident."""
-    m, inc = QD.metrics(spark, sf_dir), T.incidents(spark, sf_dir)
+    m, inc = T.raw_metrics(spark, sf_dir), T.incidents(spark, sf_dir)
     parts = []
     for k, (high, beta, minutes, points) in enumerate(SWEEP):
-        stats = ST.day_thresholds(T.raw_metrics(spark, sf_dir), high, round(1 - high, 2))
-        seg = D.segments_b(D.points_b(m, stats, WN.expand_window(inc, minutes)), T.REASONS, beta, points, T.METRIC_FILE)
+        stats = ST.day_thresholds(m, high, round(1 - high, 2))
+        seg = D.segments_b(D.points_b(m, stats, WN.expand_window(inc, minutes), None), T.REASONS, beta, points, T.METRIC_FILE)
         n = seg.groupBy("incident_id").agg(F.count_distinct("component").alias("candidates"))
         parts.append(inc.select("incident_id").join(n, "incident_id", "left").na.fill(0).withColumn("setting", F.lit(k)))
     return E.pick_setting(E.union_all(parts), low=3)

@@ -22,10 +22,13 @@ def r(name, digits=6):
 
 # ------------------------------------------------------------------ stages
 def calls(spark, sf_dir):
-    def build():
-        rows = WN.window_join(T.event_spans(spark, sf_dir), T.incidents(spark, sf_dir)).drop("start_ts", "end_ts")
-        return SP.call_pairs(rows, ["incident_id"])
-    return stage(spark, sf_dir, "calls", build)
+    return stage(spark, sf_dir, "calls", lambda: SP.call_pairs(window_spans(spark, sf_dir), ["incident_id"]))
+
+
+def window_spans(spark, sf_dir):
+    """Event spans inside the incidents."""
+    return stage(spark, sf_dir, "window_spans", lambda: WN.window_join(
+        T.event_spans(spark, sf_dir), T.incidents(spark, sf_dir)).drop("start_ts", "end_ts"))
 
 
 def candidates(spark, sf_dir):
@@ -58,7 +61,7 @@ def onsets(spark, sf_dir):
     from sonde.operators.detect import kpi_onsets
     def build():
         m = QD.metrics(spark, sf_dir)
-        res = WN.multi_resolution_onset(m, QD.stats_relaxed(spark, sf_dir), T.incidents(spark, sf_dir), (3600, 7200, 21600))
+        res = WN.multi_resolution_onset(m, QD.stats_table(spark, sf_dir), T.incidents(spark, sf_dir), (3600, 7200, 21600))
         return G.onset_choice(QD.scores(spark, sf_dir), res, kpi_onsets(QD.segments(spark, sf_dir)), (3600, 7200, 21600))
     return stage(spark, sf_dir, "onsets", build)
 

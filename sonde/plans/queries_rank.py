@@ -284,10 +284,8 @@ def metric_scores(spark, sf_dir):
 
 
 def flow_trace(spark, sf_dir):
-    def build():
-        rows = WN.window_join(T.event_spans(spark, sf_dir), T.incidents(spark, sf_dir)).drop("start_ts", "end_ts")
-        return SP.trace_evidence(rows, metric_scores(spark, sf_dir))
-    return stage(spark, sf_dir, "flow_trace", build)
+    return stage(spark, sf_dir, "flow_trace", lambda: SP.trace_evidence(
+        QG.window_spans(spark, sf_dir), metric_scores(spark, sf_dir)))
 
 
 def log_reasons(spark, sf_dir):

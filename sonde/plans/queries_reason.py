@@ -10,7 +10,7 @@ from sonde.operators import logs as L
 from sonde.operators import reason as R
 from sonde.operators import windows as WN
 from sonde.plans import queries_detect as QD
-from sonde.plans.queries_graph import candidates, topology_logs
+from sonde.plans.queries_graph import candidates, topology_logs, window_spans
 from sonde.plans.queries_sources import category_sql, family_sql, ownership_sql, reason_prior_sql
 from sonde.plans.queries_spans import incident_spans
 from sonde.plans.registry import cte, query, sql_any, sql_case
@@ -171,8 +171,7 @@ def trace_duration_reason(spark, sf_dir):
 
 
 def trace_reason(spark, sf_dir):
-    rows = WN.window_join(T.event_spans(spark, sf_dir), T.incidents(spark, sf_dir))
-    return R.trace_reason_scores(rows, REASONS)
+    return R.trace_reason_scores(window_spans(spark, sf_dir), REASONS)
 
 
 # ------------------------------------------------------------------ KPI categories, profiles, patterns

@@ -8,6 +8,7 @@ from sonde.functions import scalars as S
 from sonde.operators import spans as SP
 from sonde.operators import windows as WN
 from sonde.plans.registry import cte, query
+from sonde.plans.stages import stage
 from sonde.sources import tables as T
 
 
@@ -16,9 +17,9 @@ def r(name, digits=6):
 
 
 def incident_spans(spark, sf_dir):
-    """The large spans with the thirty-day incident they fall in."""
-    return WN.window_join(T.spans(spark, sf_dir), T.span_incidents(spark, sf_dir), width=86400).drop(
-        "start_ts", "end_ts")
+    """The large spans with the thirty-day incident they fall in, written once: most span queries read it often."""
+    return stage(spark, sf_dir, "incident_spans", lambda: WN.window_join(
+        T.spans(spark, sf_dir), T.span_incidents(spark, sf_dir), width=86400).drop("start_ts", "end_ts"))
 
 
 cte("inc_spans", "SELECT i.incident_id, s.* FROM spans s JOIN span_incidents i ON s.ts BETWEEN i.start_ts AND i.end_ts")

@@ -113,15 +113,9 @@ def arrays(spark, sf_dir):
     return stage(spark, sf_dir, "arrays", lambda: build_arrays(spark, sf_dir))
 
 
-def missing_share(spark, sf_dir):
-    bins = WN.resample(T.raw_metrics(spark, sf_dir), 3600)
-    return WN.with_roles(bins, T.incidents(spark, sf_dir)).groupBy(*SP.KEYS).agg(
-        F.avg(F.col("value").isNull().cast("double")).alias("missing_share"))
-
-
 def evidence(spark, sf_dir, spectral=True):
     return stage(spark, sf_dir, f"evidence_{spectral}", lambda: SP.anomaly_evidence(
-        arrays(spark, sf_dir), missing_share(spark, sf_dir), use_spectral=spectral))
+        arrays(spark, sf_dir), use_spectral=spectral))
 
 
 @query("agg8_spectral_features", f"""
@@ -160,7 +154,7 @@ def spectral_class(spark, sf_dir):
 
 @query("agg12_anomaly_evidence", "SELECT * EXCLUDE (explanation) FROM evidence")
 def anomaly_evidence(spark, sf_dir):
-    return SP.anomaly_evidence(build_arrays(spark, sf_dir), missing_share(spark, sf_dir)).drop("explanation")
+    return SP.anomaly_evidence(build_arrays(spark, sf_dir)).drop("explanation")
 
 
 @query("scl28_explanation", f"SELECT {K}, explanation FROM evidence")

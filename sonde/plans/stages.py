@@ -47,3 +47,10 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if key not in _STAGES:
         _STAGES[key] = written(build(), name)
     return _STAGES[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """Forget the stage tables of this session, so the next query computes its stages anew."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _STAGES if k[0] == app]:
+        del _STAGES[key]
