@@ -89,7 +89,9 @@ def baseline_features(base: pd.Series, length: pd.Series) -> pd.DataFrame:
             v = found[f].reshape(len(pos), count)
             centre = np.median(v, axis=1)
             out[f"{f}_med"] = centre
-            out[f"{f}_mad"] = np.median(np.abs(v - centre[:, None]), axis=1)
+            spread = np.median(np.abs(v - centre[:, None]), axis=1)
+            # a spread below the rounding noise of the values is none
+            out[f"{f}_mad"] = np.where(spread < 1e-9 * np.abs(centre), 0.0, spread)
         return out
 
     return _grouped([(len(b), int(n)) for b, n in zip(base, length)], compute, BASE_FIELDS)

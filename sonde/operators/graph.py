@@ -40,17 +40,32 @@ def lag_scores(merged: DataFrame, max_lag: int = 5) -> DataFrame:
     Lags with fewer than three pairs or a flat side do not count.
     """
     w = W.partitionBy(*EDGE).orderBy("ts")
+    whole = W.partitionBy(*EDGE)
     lags = range(max_lag + 1)
-    df = merged.select(*EDGE, "x", "y", *[F.lead("y", k).over(w).alias(f"_y{k}") for k in lags if k],
-                       *[F.lead("x", k).over(w).alias(f"_x{k}") for k in lags if k])
+    centred = merged.select(*EDGE, "ts", *[(F.col(c) - F.avg(c).over(whole)).alias(f"_{c}0") for c in ("x", "y")])
+    df = centred.select(*EDGE, "_x0", "_y0", *[
+        F.lead(f"_{c}0", k).over(w).alias(f"_{c}{k}") for c in ("x", "y") for k in lags if k])
+    sums = {}
 
-    def corr(a: str, b: str, k: int):
-        # null pairs are skipped; a flat side gives no number
-        return F.when(F.count("*") - k >= 3, F.nanvl(F.coalesce(F.abs(F.corr(a, b)), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    def total(name, c):
+        sums[name] = F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
+        return F.col(name)
 
-    g = df.groupBy(*EDGE).agg(
-        F.count("*").alias("_n"), corr("x", "y", 0).alias("_c0"),
-        *[corr("x", f"_y{k}", k).alias(f"_f{k}") for k in lags if k], *[corr("y", f"_x{k}", k).alias(f"_r{k}") for k in lags if k])
+    def corr(a: str, b: str, k: int):
+        # over the rows that still have a partner; sums of centred values, no gathering
+        u, v, key = F.when(F.col(b).isNotNull(), F.col(a)), F.col(b), f"{a}{b}"
+        n = F.col("_n") - k
+        su, sv = total(f"{key}_u", u), total(f"{key}_v", v)
+        vu = F.greatest(n * total(f"{key}_uu", u * u) - su * su, F.lit(0.0))
+        vv = F.greatest(n * total(f"{key}_vv", v * v) - sv * sv, F.lit(0.0))
+        spread = F.sqrt(vu * vv)
+        both = F.abs(n * total(f"{key}_uv", u * v) - su * sv)
+        return F.when((n >= 3) & (spread >= 1e-12 * n), both / F.greatest(spread, F.lit(1e-300))).otherwise(0.0)
+
+    parts = {"_c0": corr("_x0", "_y0", 0), **{f"_f{k}": corr("_x0", f"_y{k}", k) for k in lags if k},
+             **{f"_r{k}": corr("_y0", f"_x{k}", k) for k in lags if k}}
+    g = df.groupBy(*EDGE).agg(F.count("*").alias("_n"), *sums.values()).select(
+        *EDGE, "_n", *[c.alias(name) for name, c in parts.items()])
     forward = F.greatest(*[F.col(f"_f{k}") for k in lags if k])
     back = F.greatest(*[F.col(f"_r{k}") for k in lags if k])
     total = forward + back

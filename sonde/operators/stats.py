@@ -77,17 +77,17 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
         bracket(i, p) for i, p in enumerate(probs.values())]).alias("_t"))
     # map side: rows far from every bracket only add to the counts below
     counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    hit = (counted.join(targets, keys)
-           .select(*keys, "_v", F.col("_v").alias("_own"), "_c", F.explode("_t").alias("t"))
-           .filter(F.col("_v") <= F.col("t.hi")))
-    inner = F.when(F.col("_v") >= F.col("t.lo"), F.col("_v"))
-    folded = (hit.groupBy(*keys, F.col("t.i").alias("i"), F.col("t.pos").alias("pos"), inner.alias("_v"))
-              .agg(F.sum("_c").alias("_c"), F.max("_own").alias("_own")))
-    w = W.partitionBy(*keys, "i").orderBy(F.col("_v").asc_nulls_first())
+    hit = counted.join(targets, keys).select(*keys, "_v", "_c", F.explode("_t").alias("t"))
+    side = F.when(F.col("_v") < F.col("t.lo"), 0).when(F.col("_v") <= F.col("t.hi"), 1).otherwise(2)
+    folded = (hit.groupBy(*keys, F.col("t.i").alias("i"), F.col("t.pos").alias("pos"), side.alias("_side"),
+                          F.when(side == 1, F.col("_v")).alias("_in"))
+              .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last")))
+    w = W.partitionBy(*keys, "i").orderBy("_side", "_in")
     upto = F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    # all values below a bracket fold into one row; the wanted rank is at most its last one
-    ranked = folded.withColumn("_hi", upto - 1).withColumn(
-        "_lo", F.col("_hi") - F.col("_c") + 1).withColumn("_v", F.col("_own"))
+    # what lies outside a bracket is one row on each side; of it a wanted rank can only be
+    # the last one below or the first one above
+    ranked = folded.withColumn("_hi", upto - 1).withColumn("_lo", F.col("_hi") - F.col("_c") + 1).withColumn(
+        "_v", F.when(F.col("_side") == 2, F.col("_first")).otherwise(F.col("_last")))
     at_floor = F.max(F.when(F.floor("pos").between(F.col("_lo"), F.col("_hi")), F.col("_v")))
     at_ceil = F.max(F.when(F.ceil("pos").between(F.col("_lo"), F.col("_hi")), F.col("_v")))
     found = ranked.groupBy(*keys, "i").agg(

@@ -379,8 +379,10 @@ x AS (SELECT a.incident_id, a.name AS component, a.score, w.ts, false AS t FROM
   UNION ALL SELECT incident_id, component, score, ts, true FROM bt),
 y AS (SELECT x.incident_id, x.component, coalesce(lr, any_r) AS reason, coalesce(x.ts, k.start_ts) AS ts, round(x.score, 9) AS base, round(x.score + CASE WHEN t THEN 0 ELSE coalesce(lraw, 0) END, 4)::DOUBLE AS score, failure_count
   FROM x JOIN tasks k ON k.incident_id = x.incident_id AND k.time_only = x.t LEFT JOIN l ON l.incident_id = x.incident_id AND l.component = x.component LEFT JOIN g ON g.incident_id = x.incident_id)
-SELECT incident_id, component, reason, ts, score, row_number() OVER (PARTITION BY incident_id ORDER BY base DESC, component) AS rank FROM y
-QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY base DESC, component) <= failure_count""")
+SELECT incident_id, component, coalesce(reason, '{DEFAULT_REASON}') AS reason, ts, score, row_number() OVER (PARTITION BY incident_id ORDER BY base DESC, component) AS rank FROM y
+QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY base DESC, component) <= failure_count
+UNION ALL SELECT k.incident_id, '{DEFAULT_COMPONENT}', coalesce(any_r, '{DEFAULT_REASON}'), k.start_ts, 0.0, 1 FROM tasks k LEFT JOIN g ON g.incident_id = k.incident_id
+WHERE k.incident_id NOT IN (SELECT incident_id FROM y)""")
 
 
 def answers(spark, sf_dir):

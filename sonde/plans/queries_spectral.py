@@ -48,10 +48,12 @@ SELECT {K}, w, ni, nb, CASE WHEN e >= 1e-12 THEN e ELSE 0 END AS total_energy, C
   CASE WHEN e >= 1e-12 THEN ent ELSE 0 END AS entropy
 FROM a LEFT JOIN g USING ({K}, w)""")
 _F = SP.STAT_FEATURES
-cte("spec_base", f"""
+cte("spec_raw", f"""
 WITH m AS (SELECT {K}, {', '.join(f'median({f}) AS {f}_med' for f in _F)} FROM spec_features WHERE w >= 0 GROUP BY ALL)
 SELECT {K}, {', '.join(f'any_value({f}_med) AS {f}_med, median(abs({f} - {f}_med)) AS {f}_mad' for f in _F)}
 FROM spec_features JOIN m USING ({K}) WHERE w >= 0 GROUP BY {K}""")
+cte("spec_base", f"""
+SELECT {K}, {', '.join(f'{f}_med, CASE WHEN {f}_mad < 1e-9 * abs({f}_med) THEN 0 ELSE {f}_mad END AS {f}_mad' for f in _F)} FROM spec_raw""")
 cte("spec_z", f"""
 SELECT f.*, (ln(total_energy + 1e-8) - ln(total_energy_med + 1e-8)) / (1.4826 * total_energy_mad + 1e-8) AS energy_z,
   (low_ratio - low_ratio_med) / (1.4826 * low_ratio_mad + 1e-8) AS low_z, (high_ratio - high_ratio_med) / (1.4826 * high_ratio_mad + 1e-8) AS high_z,
