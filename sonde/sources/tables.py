@@ -7,6 +7,8 @@ The tables hold no telemetry, so metrics, logs, spans and records are expressed
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,21 @@ METRIC_FILE = "metric_container.csv"
 WORDS = ("timeout", "connection reset", "gc memory", "disk read", "cpu")
 
 
+_KNOWN: dict[tuple, DataFrame] = {}
+
+
+def once(build):
+    """Keep the (lazy) relation of a session and folder, so footers are read and plans built once."""
+    @wraps(build)
+    def relation(spark: SparkSession, sf_dir: str, *names) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__, *names)
+        if key not in _KNOWN:
+            _KNOWN[key] = build(spark, sf_dir, *names)
+        return _KNOWN[key]
+    return relation
+
+
+@once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +67,7 @@ _KPI_SQL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in KP
 _EPOCH_SQL = "CAST(floor(epoch(ts)) AS BIGINT)"
 
 
+@once
 def raw_metrics(spark, sf_dir) -> DataFrame:
     """One row per event: component, kpi, day, ts, value (timestamps may repeat)."""
     kpi = F
@@ -69,6 +87,7 @@ cte("metrics", """
 SELECT component, kpi, day, ts, avg(value) AS value FROM raw_metrics GROUP BY ALL""")
 
 
+@once
 def incidents(spark, sf_dir) -> DataFrame:
     """Eight one-day windows on whole days, as the windows of parsed tasks would be."""
     days = (table(spark, sf_dir, "events")
@@ -89,6 +108,7 @@ FROM events
 WHERE CAST(floor({_EPOCH_SQL} / 86400) AS BIGINT) - {FIRST_DAY // DAY} IN {INCIDENT_DAYS}""")
 
 
+@once
 def event_spans(spark, sf_dir) -> DataFrame:
     """Spans in the window of the metrics: traces of five consecutive events."""
     e = F.col("event_id")
@@ -108,6 +128,7 @@ SELECT CAST(floor(event_id / 5) AS BIGINT) AS trace_id, event_id AS span_id,
 FROM events""")
 
 
+@once
 def spans(spark, sf_dir) -> DataFrame:
     """Traces from orders: a line is the child of the line before it."""
     return (table(spark, sf_dir, "lineitem")
@@ -130,6 +151,7 @@ SELECT l_orderkey AS trace_id, CAST(l_linenumber AS BIGINT) AS span_id,
 FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 
 
+@once
 def span_incidents(spark, sf_dir) -> DataFrame:
     """Thirty-day windows that tile the range of the ship dates."""
     width = 30 * DAY
@@ -147,6 +169,7 @@ FROM (SELECT DISTINCT CAST(floor((floor(epoch(l_shipdate) / 86400) * 86400 - {SP
       / {30 * DAY}) AS BIGINT) AS incident_id FROM lineitem)""")
 
 
+@once
 def logs(spark, sf_dir) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     word = F
@@ -168,6 +191,7 @@ SELECT event_id AS log_id, {_COMPONENT_SQL} AS component, {_EPOCH_SQL} AS ts,
 FROM events""")
 
 
+@once
 def text_logs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("log_id"), F.col("source").alias("component"),
@@ -179,6 +203,7 @@ SELECT doc_id AS log_id, source AS component, {FIRST_DAY} + doc_id * 60 AS ts, t
 FROM documents""")
 
 
+@once
 def records(spark, sf_dir) -> DataFrame:
     """Failure records: every error event, with a reason by its ``k``."""
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -198,6 +223,7 @@ SELECT event_id AS row_id, {_COMPONENT_SQL} AS component, CASE {_K_SQL} % {len(R
 FROM events WHERE event_type = 'error'""")
 
 
+@once
 def experiences(spark, sf_dir) -> DataFrame:
     """Past cases: six features of each vector as a sparse pattern."""
     pattern = F.map_from_arrays(
@@ -222,6 +248,7 @@ SELECT case_id, component, anomaly_type, reason, success, 'f' || CAST(i AS VARCH
 FROM experiences, (SELECT unnest(range(6)) AS i)""")
 
 
+@once
 def cases(spark, sf_dir) -> DataFrame:
     """Case memory: one case per conversation, tokens of all its turns."""
     c = table(spark, sf_dir, "conversations")
