@@ -29,7 +29,13 @@ def coefficients(x: np.ndarray) -> np.ndarray:
     """Real FFT of the centred rows, without DC."""
     if x.shape[1] > MAX_POINTS:
         raise ValueError("series longer than a day of minutes: resample first")
-    return np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)[:, 1:] if x.shape[1] else np.zeros((len(x), 0))
+    n = x.shape[1]
+    if n == 0:
+        return np.zeros((len(x), 0), dtype=complex)
+    out = np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)[:, 1:]
+    if n % 2 == 0:
+        out[:, -1].imag = 0.0  # the highest bin of an even length is real
+    return out
 
 
 def describe(p: np.ndarray) -> dict[str, np.ndarray]:

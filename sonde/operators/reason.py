@@ -39,8 +39,7 @@ KEYS = ["incident_id", "component"]
 def log_reason_scores(lines: DataFrame, reasons) -> DataFrame:
     """Score of each reason from the key words in a component's log lines.
 
-    The reference joins the first lines of a file into one text; here every line of the
-    window counts. Word presence and word counts are aggregated line by line with partial
+    Every line of the window counts, not only the first ones of a file. Word presence and word counts are aggregated line by line with partial
     sums, so no text is ever gathered.
     """
     low = F.lower("value")

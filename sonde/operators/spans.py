@@ -72,8 +72,8 @@ def latency_outliers(statistics: DataFrame) -> DataFrame:
 def latency_profile(spans: DataFrame) -> DataFrame:
     """Average, maximum, count and the distribution of durations as a counted histogram.
 
-    The reference keeps the sorted list of durations; the (duration, count) rows carry the
-    same information without gathering a component's spans.
+    A sorted list of durations per component would gather its spans; (duration, count) rows
+    carry the same information.
     """
     per = spans.groupBy("incident_id", "component", "duration").agg(F.count("*").alias("n"))
     return per.groupBy("incident_id", "component").agg(
@@ -82,16 +82,6 @@ def latency_profile(spans: DataFrame) -> DataFrame:
         F.count("*").alias("distinct_durations"))
 
 
-def duration_counts(spans: DataFrame) -> DataFrame:
-    """(incident, component, duration, n) with the rank range of each duration, zero-based."""
-    from pyspark.sql import Window as W
-    per = (spans.filter("duration > 0").groupBy("incident_id", "component", "duration")
-           .agg(F.count("*").alias("n")))
-    w = W.partitionBy("incident_id", "component").orderBy("duration")
-    upto = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return per.withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-
-
 def slow_cut(spans: DataFrame) -> DataFrame:
     return exact_percentiles(spans, ["incident_id"], "duration", {"q95": 0.95})
 

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonde.functions import fixed as V
-from sonde.functions import scalars as S
 
 DAY = 86400
 SERIES = ("component", "kpi")

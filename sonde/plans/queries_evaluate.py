@@ -14,7 +14,6 @@ from sonde.operators import spectral as SP
 from sonde.operators import stats as ST
 from sonde.operators import tasks as TK
 from sonde.operators import windows as WN
-from sonde.plans import queries_detect as QD
 from sonde.plans import queries_graph as QG
 from sonde.plans import queries_rank as QK
 from sonde.plans import queries_spectral as QS
@@ -280,13 +279,13 @@ SELECT incident_id, component, CASE WHEN NOT cand THEN 'AD-FN' WHEN size > 30 TH
   WHEN pc = component AND pr <> reason THEN 'CF-REASON' WHEN pc = component AND coalesce(abs(pt - ts) > 60, true) THEN 'CF-TIME' WHEN pc IS DISTINCT FROM component THEN 'TOOL-ERROR' ELSE 'CORRECT' END AS failure_type FROM x""")
 def first_failed_stage(spark, sf_dir):
     keys = ["incident_id", "component"]
-    times = RKroot(spark, sf_dir)
+    times = root_times(spark, sf_dir)
     final = QK.final_v1(spark, sf_dir).filter("final_rank = 1").join(times, keys, "left").select(*keys, "reason", F.col("root_ts").alias("ts"))
     nodes = G.select_nodes(QG.calls(spark, sf_dir), QG.refined(spark, sf_dir))
     return E.first_failed_stage(truth(spark, sf_dir), QG.candidates(spark, sf_dir), QG.refined(spark, sf_dir), nodes, QK.rank_v1(spark, sf_dir), final)
 
 
-def RKroot(spark, sf_dir):
+def root_times(spark, sf_dir):
     from sonde.operators.rank import root_time
     return root_time(QK.onsets(spark, sf_dir), T.incidents(spark, sf_dir))
 

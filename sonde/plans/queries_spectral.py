@@ -212,8 +212,8 @@ w AS (SELECT incident_id, source, target, lag, corr, floor(abs(corr) * 1e9 + 0.5
 SELECT s.incident_id, s.source, s.target, coalesce(arg_max(corr, (size, -lag)), 0) AS lag_corr, coalesce(arg_max(lag, (size, -lag)), 0) AS best_lag
 FROM pair_std s LEFT JOIN w USING (incident_id, source, target) GROUP BY ALL""")
 cte("pair_power", """
-SELECT incident_id, source, target, n, k, sum(dx * cos(2 * pi() * k * pos / n)) AS xr, -sum(dx * sin(2 * pi() * k * pos / n)) AS xi,
-  sum(dy * cos(2 * pi() * k * pos / n)) AS yr, -sum(dy * sin(2 * pi() * k * pos / n)) AS yi
+SELECT incident_id, source, target, n, k, sum(dx * cos(2 * pi() * k * pos / n)) AS xr, CASE WHEN 2 * k = n THEN 0.0 ELSE -sum(dx * sin(2 * pi() * k * pos / n)) END AS xi,
+  sum(dy * cos(2 * pi() * k * pos / n)) AS yr, CASE WHEN 2 * k = n THEN 0.0 ELSE -sum(dy * sin(2 * pi() * k * pos / n)) END AS yi
 FROM pair_points, (SELECT unnest(range(1, 721)) AS k) WHERE k <= n // 2 GROUP BY incident_id, source, target, n, k""")
 cte("node_power", """
 SELECT incident_id, component || '.' || kpi AS node, k, p, n FROM spec_power WHERE w = -1 AND n >= 4""")
