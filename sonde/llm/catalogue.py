@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL checks."""
 
-from sonde.llm import mix, packing, simhash
+from sonde.llm import classifier, mix, packing, rules, simhash
 
 QUERIES: dict = {}
 CHECKS: dict = {}
-for module in (mix, packing, simhash):
+for module in (mix, rules, classifier, packing, simhash):
     QUERIES |= module.QUERIES
     CHECKS |= module.CHECKS

@@ -72,3 +72,20 @@ def map_texts(docs: DataFrame, build, schema: str, rows: int = 500) -> DataFrame
 
     names = ["doc_id"] + [c.strip().split(" ")[0] for c in schema.split(",")]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
+
+
+def keep_texts(docs: DataFrame, build) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text a Python function keeps.
+
+    ``build()`` runs once per partition and returns a function from a list of texts
+    to a list of booleans; rows are filtered where they are read.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+        apply = None
+        for batch in batches:
+            apply = apply or build()
+            yield batch.filter(pa.array(apply(batch.column(at).to_pylist()), pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

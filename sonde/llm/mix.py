@@ -84,7 +84,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     inside = inside.withColumn("extra", (2 * start + F.col("size") <= 2 * F.col("lack")).cast("int"))
     outside = outside.withColumn("extra", F.coalesce(F.col("bin") < F.coalesce(F.col("cut_bin"), F.lit(BINS)), F.lit(False)).cast("int"))
     return (inside.unionByName(outside).withColumn("copies", F.col("whole") + F.col("extra"))
-            .select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")))
+            .select("doc_id", "size", "source", "source_size", "target", F.col("copies").cast("long"), (F.col("size") * F.col("copies")).alias("taken")))
+
+
+def repeated(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (rows that share a doc_id alike)."""
+    taken = (mix(docs, **settings).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
+             .filter("copies > 0"))
+    with_copies = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return with_copies.select(docs.columns)
 
 
 def op2_mix_sources(spark, sf_dir):

@@ -120,10 +120,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one row of each component kept: that of the smallest doc_id (of equal ones, any)."""
+    """The rows of ``docs`` with one row of each component kept: that of the smallest doc_id.
+
+    Of rows that share this doc_id any one stays; rows without a doc_id all stay.
+    """
     found = near_duplicates(docs.select("doc_id", "text"))
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op8_simhash_groups(spark, sf_dir):
