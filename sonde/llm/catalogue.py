@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL checks."""
 
-from sonde.llm import classifier, licenses, mix, packing, rules, simhash, sketch, urls
+from sonde.llm import classifier, licenses, mix, ngrams, packing, rules, simhash, sketch, urls
 
 QUERIES: dict = {}
 CHECKS: dict = {}
-for module in (mix, rules, classifier, packing, sketch, simhash, urls, licenses):
+for module in (ngrams, mix, rules, classifier, packing, sketch, simhash, urls, licenses):
     QUERIES |= module.QUERIES
     CHECKS |= module.CHECKS
