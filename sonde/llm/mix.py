@@ -91,8 +91,9 @@ def repeated(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (rows that share a doc_id alike)."""
     taken = (mix(docs, **settings).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
              .filter("copies > 0"))
-    with_copies = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return with_copies.select(docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
+    return (whole.join(taken, F.col("row.doc_id").eqNullSafe(F.col("taken_id")))
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*"))
 
 
 def op2_mix_sources(spark, sf_dir):
