@@ -1,4 +1,4 @@
-"""Spectra of bounded series: small numpy helpers on Arrow batches.
+"""Spectra of series of any length: small numpy helpers on Arrow batches.
 
 Nested SQL lambdas would evaluate the mean and the total once per element; a real FFT per
 batch does not. Rows of equal length are stacked, so a batch is a few matrix calls.
@@ -22,13 +22,8 @@ def _struct(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.IntegerType() if n in whole else T.DoubleType()) for n in names])
 
 
-MAX_POINTS = 1440
-
-
 def coefficients(x: np.ndarray) -> np.ndarray:
     """Real FFT of the centred rows, without DC."""
-    if x.shape[1] > MAX_POINTS:
-        raise ValueError("series longer than a day of minutes: resample first")
     n = x.shape[1]
     if n == 0:
         return np.zeros((len(x), 0), dtype=complex)

@@ -192,21 +192,19 @@ def _hop(state: DataFrame, edges: DataFrame) -> DataFrame:
         F.max(F.least("strength", "weight")).alias("strength"))
 
 
-def influence(edges: DataFrame, nodes: DataFrame, depth: int = 6, cut_every: int = 3) -> DataFrame:
+def influence(edges: DataFrame, nodes: DataFrame, depth: int = 6) -> DataFrame:
     """Largest bottleneck weight from every node to every node over paths of at most ``depth`` edges.
 
     All origins of all incidents advance together; a self edge of weight 1 keeps shorter
-    paths, so a hop reads its predecessor once. The lineage is cut every few hops.
+    paths, so a hop reads its predecessor once.
     """
     stay = nodes.select("incident_id", F.col("component").alias("node"), F.col("component").alias("next"),
                         F.lit(1.0).alias("weight"))
     moves = edges.select("incident_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").unionByName(stay)
     state = nodes.select("incident_id", F.col("component").alias("origin"), F.col("component").alias("node"),
                          F.lit(1.0).alias("strength"))
-    for hop in range(1, depth + 1):
+    for _ in range(depth):
         state = _hop(state, moves)
-        if hop % cut_every == 0 and hop < depth:
-            state = written(state, f"influence-{hop}")
     return state
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from sonde.functions import scalars as S
 from sonde.operators.windows import top_k
 
-SALTS = 32
-
 
 def with_norm(df: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Add the Euclidean norm of a sparse feature map."""
@@ -28,17 +26,18 @@ def relevant_pairs(queries: DataFrame, store: DataFrame) -> DataFrame:
     """Query-case pairs sharing component or anomaly type; all cases for a query that shares neither.
 
     Two equi-joins whose second skips what the first already paired. Queries without any
-    relevant case meet the store over salted keys, so no single task sees the whole store.
+    relevant case are a stated set that meets all of the store in blocks, one for each shuffle partition.
     """
     q = with_norm(queries).select("query_id", F.col("component").alias("q_component"), F.col("anomaly_type").alias("q_type"),
                                   F.col("pattern").alias("q_pattern"), F.col("norm").alias("q_norm"))
     s = with_norm(store)
+    salts = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_component = q.join(s, F.col("q_component") == F.col("component"))
     by_type = q.join(s, F.col("q_type") == F.col("anomaly_type")).filter(F.col("q_component") != F.col("component"))
     alone = (q.join(s.select(F.col("component").alias("q_component")).distinct(), "q_component", "left_anti")
              .join(s.select(F.col("anomaly_type").alias("q_type")).distinct(), "q_type", "left_anti")
-             .select(*q.columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")))
-    spread = s.withColumn("_salt", F.pmod(F.hash("case_id"), F.lit(SALTS)))
+             .select(*q.columns, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")))
+    spread = s.withColumn("_salt", F.pmod(F.hash("case_id"), F.lit(salts)))
     rest = alone.join(spread, "_salt").drop("_salt")
     return by_component.unionByName(by_type).unionByName(rest)
 

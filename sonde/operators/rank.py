@@ -209,35 +209,55 @@ def onset_clusters(onsets: DataFrame, incidents: DataFrame, top: DataFrame, min_
         "incident_id", F.col("o_ts").alias("global_ts"), "types", "components", "size", "cluster_score")
 
 
-def select_causes(candidates: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Up to three causes per incident, best first, at least ``max(60, window / 2n)`` seconds apart.
+def select_causes(candidates: DataFrame, incidents: DataFrame, most: int | None = None, fill_up: bool = True) -> DataFrame:
+    """``failure_count`` causes per incident, best first, at least ``max(60, window / 2n)`` seconds apart.
 
     ``candidates`` holds (incident_id, component, ts, score, key); ``incidents`` the window and
-    failure_count. Each round takes the best remaining row and drops those too close to it;
-    what is then missing is filled with the best rows not taken yet.
+    failure_count. Each round takes an incident's best row that keeps its distance from the times
+    chosen so far, one aggregate over the pool; what is then missing is filled with the best rows
+    not taken yet (``fill_up``). ``most`` is the largest failure_count, looked up if not given.
     """
+    if most is None:
+        most = incidents.agg(F.max("failure_count")).first()[0] or 0
     gap = F.greatest(F.lit(60.0), (F.col("end_ts") - F.col("start_ts")) / (2.0 * F.col("failure_count")))
     inc = incidents.select("incident_id", "failure_count", gap.alias("_gap"))
-    order = F.struct(F.col("score"), F.col("key"), -F.col("ts"))
+    pick = F.struct("score", "key", (-F.col("ts")).alias("_late"), "component")
     unique = candidates.filter("ts IS NOT NULL").groupBy("incident_id", "component", "ts").agg(
         F.max(F.struct("score", "key")).alias("b")).select("incident_id", "component", "ts", "b.*")
-    pool = unique.join(inc, "incident_id")
-    left, chosen = pool, None
-    for n in range(1, 4):
-        best = left.filter(F.col("failure_count") >= n).groupBy("incident_id").agg(
-            F.max_by(F.struct("component", "ts", "score", "key"), order).alias("b")).select("incident_id", "b.*", F.lit(n).alias("pick"))
-        chosen = best if chosen is None else chosen.unionByName(best)
-        taken = best.select("incident_id", F.col("ts").alias("_t"))
-        left = left.join(taken, "incident_id", "left").filter(
-            F.col("_t").isNull() | (F.abs(F.col("ts") - F.col("_t")) >= F.col("_gap"))).drop("_t")
-    have = chosen.groupBy("incident_id").agg(F.count("*").alias("_have"))
-    rest = pool.join(chosen.select("incident_id", "component", "ts").distinct(), ["incident_id", "component", "ts"], "left_anti")
-    fill = top_k(rest, ["incident_id"], [F.desc("score"), F.desc("key"), "ts"], 3, "_k").join(have, "incident_id").filter(
-        F.col("_k") <= F.col("failure_count") - F.col("_have"))
-    fill = fill.select("incident_id", "component", "ts", "score", "key", (F.col("_have") + F.col("_k")).alias("pick"))
+    pool = unique.join(inc, "incident_id").select("incident_id", "failure_count", "_gap", pick.alias("_row"), "ts")
+    chosen = pool.groupBy("incident_id").agg(F.array(F.max(F.when(F.col("failure_count") >= 1, F.col("_row")))).alias("_rows"))
+    chosen = chosen.withColumn("_rows", F.array_compact("_rows"))
+    for _ in range(1, most):
+        far = F.forall("_rows", lambda r: F.abs(F.col("ts") + r["_late"]) >= F.col("_gap"))
+        next_best = pool.join(chosen, "incident_id").filter((F.size("_rows") < F.col("failure_count")) & far).groupBy("incident_id").agg(
+            F.max("_row").alias("_next"))
+        chosen = chosen.join(next_best, "incident_id", "left").select(
+            "incident_id", F.when(F.col("_next").isNull(), F.col("_rows")).otherwise(F.array_append("_rows", F.col("_next"))).alias("_rows"))
+    rest = pool.join(chosen, "incident_id").filter((F.size("_rows") < F.col("failure_count")) & ~F.array_contains("_rows", F.col("_row")))
+    fill = top_k(rest.select("incident_id", "_row", "ts", (F.col("failure_count") - F.size("_rows")).alias("_need"), F.size("_rows").alias("_have"),
+                             F.col("_row.score").alias("score"), F.col("_row.key").alias("key")),
+                 ["incident_id"], [F.desc("score"), F.desc("key"), "ts"], max(most, 1), "_k").filter(F.col("_k") <= F.col("_need"))
+    first = chosen.select("incident_id", F.posexplode("_rows").alias("pick", "_row"))
+    both = first.select("incident_id", (F.col("pick") + 1).alias("pick"), "_row")
+    if fill_up:
+        both = both.unionByName(fill.select("incident_id", (F.col("_have") + F.col("_k")).alias("pick"), "_row"))
     w = W.partitionBy("incident_id").orderBy("ts", "pick")
-    return chosen.unionByName(fill).withColumn("position", F.row_number().over(w)).select(
-        "incident_id", "component", "ts", "score", "position")
+    return both.select("incident_id", "pick", "_row.component", (-F.col("_row._late")).alias("ts"), "_row.score").withColumn(
+        "position", F.row_number().over(w)).select("incident_id", "component", "ts", "score", "position")
+
+
+def time_causes(onsets: DataFrame, ranking: DataFrame, incidents: DataFrame, most: int | None = None) -> DataFrame:
+    """Onset times for incidents that ask for several times only.
+
+    Segments below 75% of the window compete by root score times severity (at least 0.1); the
+    best that keep their distance are taken and nothing is filled up.
+    """
+    seg = onsets.join(incidents.select("incident_id", (F.col("end_ts") - F.col("start_ts")).alias("_len")), "incident_id").filter(
+        (F.col("end_ts") - F.col("start_ts")) < 0.75 * F.col("_len"))
+    pool = seg.join(ranking.select(*KEYS, "root_score"), KEYS).select(
+        *KEYS, F.col("steepest_ts").alias("ts"), F.round(F.col("root_score") * F.greatest(F.lit(0.1), "severity"), 9).alias("score"),
+        F.concat("component", F.lit("."), "kpi").alias("key"))
+    return select_causes(pool, incidents, most, fill_up=False)
 
 
 # ------------------------------------------------------------------ answers

@@ -45,6 +45,18 @@ def all_calls(spans: DataFrame, keys=()) -> DataFrame:
     return both.groupBy(*keys, "caller", "callee").agg(F.sum("calls").alias("calls"))
 
 
+def component_calls(spans: DataFrame, components, keys=()) -> DataFrame:
+    """Calls between candidates: parent and child spans, and rows that name what they call, in candidate form.
+
+    Ids are brought to the candidate list after counting, on one row per pair.
+    """
+    named = "ds_name" in spans.columns and "service_name" in spans.columns
+    pairs = all_calls(spans, keys) if named else call_pairs(spans, keys)
+    for end in ("caller", "callee"):
+        pairs = pairs.withColumn(end, S.normalise_component(F.col(end), components))
+    return pairs.filter(F.col("caller") != F.col("callee")).groupBy(*keys, "caller", "callee").agg(F.sum("calls").alias("calls"))
+
+
 def component_statistics(spans: DataFrame) -> DataFrame:
     """Count, mean, exact median and p95 (max below five spans), max, population deviation."""
     keys = ["incident_id", "component"]

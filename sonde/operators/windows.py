@@ -12,6 +12,12 @@ DAY = 86400
 SERIES = ("component", "kpi")
 
 
+def whole_days(incidents: DataFrame) -> DataFrame:
+    """The windows widened to the local days (UTC+8) that they touch."""
+    start = lambda ts: F.floor((ts + V.LOCAL_OFFSET_SECONDS) / 86400).cast("bigint") * 86400 - V.LOCAL_OFFSET_SECONDS
+    return incidents.select("incident_id", start(F.col("start_ts")).alias("start_ts"), (start(F.col("end_ts")) + 86399).alias("end_ts"))
+
+
 def window_join(rows: DataFrame, windows: DataFrame, start: str = "start_ts", end: str = "end_ts",
                 keys=(), width: int = V.HALF_HOUR, ts: str = "ts") -> DataFrame:
     """Rows with ``start <= ts <= end`` of each window, as an equi-join on time slots.

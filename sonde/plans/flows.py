@@ -92,7 +92,7 @@ def causal_flow(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incidents
     cands = written(D.candidates(scores, s.cut, s.keep), "candidates")
     refined = written(cands.join(D.layer_filter(cands).filter("refined").select(*KEYS), KEYS, "left_semi"), "refined")
     inside = _inside(spans, incidents)
-    calls = SP.call_pairs(inside, ["incident_id"])
+    calls = SP.component_calls(inside, s.components, ["incident_id"])
     if s.infer_dependencies:
         calls = G.infer_missing(calls, refined)
     calls = written(calls, "calls")
@@ -123,7 +123,9 @@ def causal_flow_v2(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incide
     cands = written(D.candidates(scores, s.cut, s.keep), "candidates")
     profiles = R.component_profiles(segments, s.file_name)
     refined = written(D.layer_filter_weighted(cands, profiles, top=s.top), "refined")
-    calls = G.merge_calls(SP.call_pairs(_inside(spans, incidents), ["incident_id"]), TP.mine_calls(logs, window, s.components))
+    # a window is too short to show who calls whom: the skeleton takes the whole day
+    day = WN.window_join(spans, WN.whole_days(incidents)).drop("start_ts", "end_ts")
+    calls = G.merge_calls(SP.component_calls(day, s.components, ["incident_id"]), TP.mine_calls(logs, window, s.components))
     calls = written(calls, "calls")
     lags = G.lag_scores(G.aligned(G.causal_pairs(calls), D.intensity(points)))
     edges = written(G.weigh_with_logs(calls, lags, scores), "edges")
@@ -141,7 +143,10 @@ def causal_flow_v2(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incide
     seg = onsets.join(final.select(*KEYS, "final_score"), KEYS).select(
         *KEYS, F.col("steepest_ts").alias("ts"), F.round(F.col("final_score") * (0.75 + 0.25 * F.col("severity")), 9).alias("score"),
         F.concat("component", F.lit("."), "kpi").alias("key"))
-    causes = RK.select_causes(own.unionByName(seg), incidents).join(chosen.select(*KEYS, "reason"), KEYS, "left")
+    several = incidents.filter(~(F.col("time_only") & (F.col("failure_count") > 1)))
+    only_times = incidents.filter(F.col("time_only") & (F.col("failure_count") > 1))
+    causes = RK.select_causes(own.unionByName(seg), several).unionByName(RK.time_causes(onsets, ranking.filter("kept"), only_times)).join(
+        chosen.select(*KEYS, "reason"), KEYS, "left")
     ranked = final.join(times, KEYS, "left").select(*KEYS, "reason", F.col("root_ts").alias("ts"), F.col("final_score").alias("score"), F.col("final_rank").alias("rank"))
     return {"segments": segments, "candidates": cands, "refined": refined, "edges": edges, "ranking": ranking, "final": ranked, "causes": causes,
             "global_time": RK.onset_clusters(onsets, window, ranking.filter("kept"))}
@@ -179,8 +184,14 @@ def evidence_flow(metrics: DataFrame, spans: DataFrame, logs: DataFrame, inciden
             "notes": RK.recheck_notes(confidence), "conflict": RK.conflict(own, trace)}
 
 
-def predict(final: DataFrame, incidents: DataFrame, s: Settings, fields: str = "target_fields") -> DataFrame:
-    """Prediction text per incident from the ranked causes, completed and constrained to the candidates."""
-    none = final.limit(0).select("incident_id", F.col("rank").alias("position"), "component", "reason", "ts")
-    answers = RK.complete_answers(incidents, none, final, s.components, s.reasons)
+def predict(final: DataFrame, incidents: DataFrame, s: Settings, fields: str = "target_fields", causes: DataFrame | None = None) -> DataFrame:
+    """Prediction text per incident, completed and constrained to the candidates.
+
+    Where several failures are asked for, the spaced ``causes`` of a flow answer; what they
+    leave open, and single failures, come from the ranked rows of ``final``.
+    """
+    given = (final.limit(0).withColumnRenamed("rank", "position") if causes is None else
+             causes.join(incidents.filter("failure_count > 1").select("incident_id"), "incident_id", "left_semi"))
+    given = given.select("incident_id", "position", "component", "reason", "ts")
+    answers = RK.complete_answers(incidents, given, final, s.components, s.reasons)
     return RK.render_predictions(answers.join(incidents.select("incident_id", fields), "incident_id"), fields)

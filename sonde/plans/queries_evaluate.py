@@ -52,18 +52,18 @@ def task_generation(spark, sf_dir):
 # ------------------------------------------------------------------ predictions for the generated tasks
 cte("predictions", """
 WITH p AS (SELECT r.row_id, r.slot, q.pos, q.ts + CASE WHEN r.row_id % 2 = 0 THEN 30 ELSE 90 END + 28800 AS t,
-  CASE WHEN r.row_id % 3 = 0 THEN 'frontend' ELSE q.component END AS component, q.reason FROM slot_records r JOIN slot_records q ON q.slot = r.slot WHERE q.pos <= 3)
+  CASE WHEN r.row_id % 3 = 0 THEN 'frontend' ELSE q.component END AS component, q.reason FROM slot_records r JOIN slot_records q ON q.slot = r.slot)
 SELECT row_id, '{' || string_agg('"' || pos || '": {"root cause occurrence datetime": "' || strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S')
   || '", "root cause component": "' || component || '", "root cause reason": "' || reason || '"}', ', ' ORDER BY pos DESC) || '}' AS prediction FROM p GROUP BY row_id""")
 
 
 def predictions(spark, sf_dir):
-    """For each task up to three answers in reverse order, some with a wrong component or time."""
+    """For each task an answer for every failure of its half hour, in reverse order, some with a wrong component or time."""
     from pyspark.sql import Window as W
     def build():
         r = T.records(spark, sf_dir).withColumn("slot", S.half_hour(F.col("ts")))
         pos = r.withColumn("pos", F.row_number().over(W.partitionBy("slot").orderBy("ts", "row_id")))
-        head = pos.filter("pos <= 3").groupBy("slot").agg(F.sort_array(F.collect_list(
+        head = pos.groupBy("slot").agg(F.sort_array(F.collect_list(
             F.struct("pos", "ts", "component", "reason")), asc=False).alias("a"))
 
         def entry(x):
@@ -99,7 +99,9 @@ WITH g AS (SELECT row_id, regexp_extract_all(scoring_points, 'component is ([^\\
   regexp_extract_all(scoring_points, 'of (\\d{4}-[^\\n]+)', 1) AS t FROM generated)
 SELECT row_id, c, r, t, greatest(len(c), len(r), len(t)) AS n, len(c) + len(r) + len(t) AS total FROM g""")
 cte("orders", """
-SELECT * FROM (VALUES (1, 0, [0]), (2, 0, [0, 1]), (2, 1, [1, 0]), (3, 0, [0, 1, 2]), (3, 1, [0, 2, 1]), (3, 2, [1, 0, 2]), (3, 3, [1, 2, 0]), (3, 4, [2, 0, 1]), (3, 5, [2, 1, 0])) AS o(n, k, perm)""")
+WITH RECURSIVE p(n, perm) AS (SELECT n, []::BIGINT[] FROM (SELECT DISTINCT n FROM wanted WHERE n > 0)
+  UNION ALL SELECT n, list_append(perm, j) FROM p, (SELECT unnest(range((SELECT max(n) FROM wanted))) AS j) WHERE len(perm) < n AND j < n AND NOT list_contains(perm, j))
+SELECT n, row_number() OVER (PARTITION BY n ORDER BY perm) - 1 AS k, perm FROM p WHERE len(perm) = n""")
 cte("pred_lists", """
 SELECT row_id, list(component ORDER BY j) AS pc, list(reason ORDER BY j) AS pr, list(t ORDER BY j) AS pt, count(*) AS np FROM parsed GROUP BY row_id""")
 cte("tried", """

@@ -251,6 +251,26 @@ SELECT incident_id, caller, callee, coalesce(t.calls, 0) AS trace_calls, coalesc
 FROM calls_inc t FULL JOIN log_calls l USING (incident_id, caller, callee)""")
 
 
+# incidents of half an hour, around noon: their call graph is that of the whole local day
+cte("noon_windows", "SELECT incident_id, start_ts + 43200 AS start_ts, start_ts + 44999 AS end_ts FROM incidents")
+
+
+def noon_windows(spark, sf_dir):
+    return T.incidents(spark, sf_dir).select("incident_id", (F.col("start_ts") + 43200).alias("start_ts"), (F.col("start_ts") + 44999).alias("end_ts"))
+
+
+@query("grf1_whole_day_calls", """
+WITH d AS (SELECT incident_id, (start_ts + 28800) // 86400 AS day FROM noon_windows),
+s AS (SELECT d.incident_id, e.* FROM event_spans e JOIN d ON (e.ts + 28800) // 86400 = d.day),
+p AS (SELECT incident_id, trace_id, span_id, min(component) AS component FROM s GROUP BY ALL)
+SELECT s.incident_id, p.component AS caller, s.component AS callee, count(*) AS calls FROM s JOIN p ON p.incident_id = s.incident_id AND p.trace_id = s.trace_id AND p.span_id = s.parent_id
+WHERE p.component <> s.component GROUP BY ALL""")
+def whole_day_calls(spark, sf_dir):
+    days = WN.whole_days(noon_windows(spark, sf_dir))
+    spans = WN.window_join(T.event_spans(spark, sf_dir), days).drop("start_ts", "end_ts")
+    return SP.component_calls(spans, T.COMPONENTS, ["incident_id"])
+
+
 @query("grf9_merge_calls", "SELECT * FROM merged_calls")
 def merge_calls(spark, sf_dir):
     return G.merge_calls(calls(spark, sf_dir), log_calls(spark, sf_dir))

@@ -244,6 +244,20 @@ def select_causes(spark, sf_dir):
     return RK.select_causes(_cause_pool(spark, sf_dir), tasks(spark, sf_dir))
 
 
+cte("time_pool", f"""
+WITH a AS (SELECT s.incident_id, s.component, steepest_ts AS ts, round(root_score * greatest(0.1, severity), 9)::DOUBLE AS score, s.component || '.' || kpi AS key
+  FROM seg_full s JOIN rank_v2 r USING ({C}) WHERE r.kept AND s.end_ts - s.start_ts < 0.75 * len)
+SELECT incident_id, component, ts, max((score, key, -ts)) AS b, max(score) AS score, failure_count, greatest(60.0, (t.end_ts - t.start_ts) / (2.0 * failure_count)) AS gap
+FROM a JOIN tasks t USING (incident_id) GROUP BY ALL""")
+
+
+@query("rnk9_time_only_causes", _rounds().replace("cause_pool", "time_pool") + """,
+c AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+SELECT incident_id, component, ts, score, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY ts, pick) AS INTEGER) AS position FROM c""")
+def time_only_causes(spark, sf_dir):
+    return RK.time_causes(onsets(spark, sf_dir), rank_v2(spark, sf_dir).filter("kept"), tasks(spark, sf_dir))
+
+
 def _cause_pool(spark, sf_dir):
     keys = ["incident_id", "component"]
     final = final_v2(spark, sf_dir)

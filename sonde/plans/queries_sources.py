@@ -19,7 +19,7 @@ def _folder(spark, sf_dir, name, write):
     """A folder with files derived from the tables, written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _FOLDERS:
-        path = f"{shared_folder(spark)}/sonde/{key[0]}/files-{len(_FOLDERS)}-{name}"
+        path = f"{shared_folder(spark)}/files-{len(_FOLDERS)}-{name}"
         write(path)
         _FOLDERS[key] = path
     return _FOLDERS[key]

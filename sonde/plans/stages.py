@@ -1,39 +1,38 @@
 """Stage tables: cut the lineage of a long flow by writing a stage to shared storage.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-session without that setting (tests) falls back to a fresh temporary folder.
+The folder is the one that ``spark.checkpoint.dir`` names, else the warehouse: both are
+shared by all executors. A stage that is read back survives the loss of executors, and
+its real size feeds the join strategy of the stages that read it (``persist`` does
+neither, and nested cached plans grow without bound). An application's stage tables are
+deleted when it ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_KNOWN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="sonde-")
-    return _LOCAL[app]
+    """A folder of this application on shared storage, deleted when its driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/sonde-{spark.sparkContext.applicationId}"
+    if folder not in _KNOWN:
+        _KNOWN.add(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    The copy survives the loss of executors, and its real size feeds the join
-    strategy of the stages that read it.
-    """
+    """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sonde/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

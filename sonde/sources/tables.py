@@ -17,7 +17,6 @@ from sonde.plans.registry import cte
 
 DAY = 86400
 FIRST_DAY = 1704067200
-INCIDENT_DAYS = (5, 8, 11, 14, 17, 20, 23, 26)
 SPAN_START = 788918400
 COMPONENTS = ("node-1", "mysql_02", "redis_03", "checkout-4", "gateway_5", "frontend")
 KPIS = {
@@ -89,14 +88,13 @@ SELECT component, kpi, day, ts, avg(value) AS value FROM raw_metrics GROUP BY AL
 
 @once
 def incidents(spark, sf_dir) -> DataFrame:
-    """Eight one-day windows on whole days, as the windows of parsed tasks would be."""
+    """A one-day window for every day with telemetry, as the windows of parsed tasks would be."""
     days = (table(spark, sf_dir, "events")
             .select(F.floor(S.epoch_of_naive(F.col("ts")) / DAY).cast("bigint").alias("day"))
             .distinct())
     start = F.col("day") * DAY
     offset = F.col("day") - FIRST_DAY // DAY
-    return (days.filter(offset.isin(*INCIDENT_DAYS))
-            .select(offset.cast("bigint").alias("incident_id"), start.alias("start_ts"),
+    return (days.select(offset.cast("bigint").alias("incident_id"), start.alias("start_ts"),
                     (start + DAY - 1).alias("end_ts")))
 
 
@@ -104,8 +102,7 @@ cte("incidents", f"""
 SELECT DISTINCT CAST(floor({_EPOCH_SQL} / 86400) AS BIGINT) - {FIRST_DAY // DAY} AS incident_id,
        CAST(floor({_EPOCH_SQL} / 86400) AS BIGINT) * 86400 AS start_ts,
        CAST(floor({_EPOCH_SQL} / 86400) AS BIGINT) * 86400 + 86399 AS end_ts
-FROM events
-WHERE CAST(floor({_EPOCH_SQL} / 86400) AS BIGINT) - {FIRST_DAY // DAY} IN {INCIDENT_DAYS}""")
+FROM events""")
 
 
 @once
@@ -225,10 +222,10 @@ FROM events WHERE event_type = 'error'""")
 
 @once
 def experiences(spark, sf_dir) -> DataFrame:
-    """Past cases: six features of each vector as a sparse pattern."""
+    """Past cases: all features of each vector as a sparse pattern."""
     pattern = F.map_from_arrays(
-        F.array(*[F.lit(f"f{i}") for i in range(6)]),
-        F.array(*[F.round(F.get("embedding", F.lit(i)).cast("double"), 4) for i in range(6)]))
+        F.transform("embedding", lambda _, i: F.concat(F.lit("f"), i.cast("string"))),
+        F.transform("embedding", lambda x: S.rounded(x.cast("double"), 4)))
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("case_id"),
         F.concat(F.lit("c"), (F.col("vec_id") % 12).cast("string")).alias("component"),
@@ -245,7 +242,7 @@ FROM embeddings""")
 cte("patterns", """
 SELECT case_id, component, anomaly_type, reason, success, 'f' || CAST(i AS VARCHAR) AS feature,
        round(CAST(embedding[i + 1] AS DOUBLE), 4) AS weight
-FROM experiences, (SELECT unnest(range(6)) AS i)""")
+FROM experiences, unnest(range(len(embedding))) AS u(i)""")
 
 
 @once

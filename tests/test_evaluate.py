@@ -51,6 +51,24 @@ def test_scoring(spark):
     assert out[1].passed == ["A", "B"] and sorted(out[2].failed) == ["A"]
 
 
+def test_first_best_order_among_all_orders():
+    random.seed(8)
+    for _ in range(400):
+        n = random.randint(1, 5)
+        gain = [[random.choice((0, 0, 1, 2, 3)) for _ in range(n)] for _ in range(n)]
+        best = max(itertools.permutations(range(n)), key=lambda p: (sum(gain[i][p[i]] for i in range(n)), tuple(-j for j in p)))
+        assert tuple(E._first_order(sum(gain, []))) == best
+    many = np.random.default_rng(0).integers(0, 4, (40, 40))
+    assert sorted(E._first_order(many.ravel())) == list(range(40))
+
+
+def test_five_causes(spark):
+    rows = [(f"2021-03-04 14:{10 * i:02d}:00", "ABCDE"[i], "vwxyz"[i]) for i in range(5)]
+    out = run(spark, (text(*[answer(i + 1, *r) for i, r in enumerate(rows[::-1])]), criteria(*rows)),
+              (text(*[answer(i + 1, *r) for i, r in enumerate(rows[:4])]), criteria(*rows)))
+    assert [r.score for r in out] == [1.0, 0.0] and len(out[0].passed) == 15 and not out[0].failed
+
+
 def test_large_tasks_match_all_orders(spark):
     random.seed(3)
     for n in (3, 5, 6):
@@ -71,7 +89,8 @@ def test_assignment_matches_enumeration():
     for n in range(1, 7):
         for _ in range(20):
             g = rng.integers(0, 4, (n, n)).astype(float)
-            assert E._assign(g) == max(sum(g[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+            column, _ = E._assign(g)
+            assert sum(g[i, column[i]] for i in range(n)) == max(sum(g[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
 
 
 def test_alignment_refuses_unequal_lengths(spark):

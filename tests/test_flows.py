@@ -1,6 +1,9 @@
+import re
+
 import numpy as np
 import pytest
 
+from sonde.operators import spans as SP
 from sonde.plans import flows
 from sonde.sources import telemetry as TM
 from sonde.streaming.ingest import ingest
@@ -75,6 +78,30 @@ def test_causal_flow_v2(spark, telemetry):
     assert out["causes"].filter("incident_id = 7").count() == 1
 
 
+def test_call_graph_of_the_day(spark, telemetry):
+    """Parents before the window and direct calls count; ids are brought to the candidates."""
+    m, s, lg, inc = telemetry
+    early = spark.createDataFrame([("x", "p", None, "Redis01", START - 4000, 1.0, True), ("x", "q", "p", "Mysql01.ts:8088", START + 60, 1.0, True)], s.schema)
+    out = flows.causal_flow_v2(m, early, lg, inc.filter("incident_id = 7"), SETTINGS)
+    assert {(r.source, r.target) for r in out["edges"].filter("call_count > 0").collect()} >= {("Mysql01", "Redis01")}
+    direct = s.selectExpr("*", "CASE WHEN component = 'Tomcat01' THEN 'docker_001:90' END AS ds_name", "CAST(NULL AS string) AS service_name")
+    calls = {(r.caller, r.callee): r.calls for r in SP.component_calls(direct, COMPONENTS).collect()}
+    assert calls["Tomcat01", "docker_001"] == 300 and calls["Tomcat01", "Mysql01"] == 300
+
+
+def test_several_causes_reach_the_answer(spark, telemetry):
+    m, s, lg, inc = telemetry
+    three = inc.filter("incident_id = 7").selectExpr("incident_id", "start_ts", "end_ts", "3 AS failure_count", "time_only", "target_fields")
+    out = flows.causal_flow_v2(m, s, lg, three, SETTINGS)
+    causes = sorted((r.position, r.component) for r in out["causes"].collect())
+    answer = flows.predict(out["final"], three, SETTINGS, causes=out["causes"]).first().prediction
+    found = re.findall(r'"(\d)": {"root cause component": "([^"]+)"', answer)
+    assert len(found) == 3 and [(int(n), c) for n, c in found[:len(causes)]] == causes
+    times = three.selectExpr("incident_id", "start_ts", "end_ts", "failure_count", "true AS time_only", "target_fields")
+    spaced = sorted(r.ts for r in flows.causal_flow_v2(m, s, lg, times, SETTINGS)["causes"].collect())
+    assert spaced and all(b - a >= 300 for a, b in zip(spaced, spaced[1:]))
+
+
 def test_evidence_flow(spark, telemetry):
     m, s, lg, inc = telemetry
     out = flows.evidence_flow(m, s, lg, inc, SETTINGS)

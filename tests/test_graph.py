@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,37 @@ def test_select_causes_keeps_a_gap_and_fills_up(spark):
     assert got == [("a", 1), ("b", 2), ("c", 3)]  # b only fills the place that the gap left open
 
 
+def plain_causes(rows, start, end, n, fill):
+    gap, chosen = max(60.0, (end - start) / (2.0 * n)), []
+    order = sorted(rows, key=lambda r: (r[2], r[3], -r[1]), reverse=True)
+    for r in order:
+        if len(chosen) < n and all(abs(r[1] - c[1]) >= gap for c in chosen):
+            chosen.append(r)
+    for r in order:
+        if fill and len(chosen) < n and r not in chosen:
+            chosen.append(r)
+    return sorted((r[1], r[0]) for r in chosen)
+
+
+def test_select_causes_for_any_number(spark):
+    rng = np.random.default_rng(5)
+    rows, inc, expected = [], [], {}
+    for i in range(12):
+        n = int(rng.integers(1, 8))
+        mine = list({(f"c{rng.integers(0, 6)}", int(rng.integers(0, 1800))): None for _ in range(int(rng.integers(1, 15)))})
+        mine = [(c, t, round(float(rng.random()), 3), f"{c}.{t}") for c, t in mine]
+        rows += [(i, *r) for r in mine]
+        inc.append((i, 0, 1800, n))
+        expected[i] = (mine, n)
+    cand = spark.createDataFrame(rows, "incident_id int, component string, ts long, score double, key string")
+    frame = spark.createDataFrame(inc, "incident_id int, start_ts long, end_ts long, failure_count int")
+    for fill in (True, False):
+        got = {}
+        for r in RK.select_causes(cand, frame, fill_up=fill).orderBy("incident_id", "position").collect():
+            got.setdefault(r.incident_id, []).append((r.ts, r.component))
+        assert {i: sorted(v) for i, v in got.items()} == {i: plain_causes(m, 0, 1800, n, fill) for i, (m, n) in expected.items()}
+
+
 def test_onset_rules(spark):
     cases = [[0.1, 0.35, 0.1, 0.4, 0.2], [0.1, 0.31], [0.1, 0.2], [0.0, 0.1, 0.9, 1.0], [0.5]]
     df = spark.createDataFrame([(i, [(j * 10, d) for j, d in enumerate(c)]) for i, c in enumerate(cases)], "i int, p array<struct<ts:long,deviation:double>>")

@@ -35,6 +35,13 @@ def test_features_of_known_signals(spark):
     assert rows[1].low_ratio > 0.9 and rows[3].high_ratio > 0.9 and rows[2].dominant_index == 11
 
 
+def test_two_days_of_minutes(spark):
+    x = np.random.default_rng(2).normal(50, 10, 2880)
+    row = SP.features(frame(spark, [(x, x)])).first()
+    for name, want in plain_features(x).items():
+        assert row[name] == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
 def test_silent_and_short_series(spark):
     out = SP.spectral_scores(frame(spark, [([5.0] * 10, [5.0] * 30), ([1.0, 2.0], [1.0]), ([3.0], [1.0, 2.0])])).orderBy("component").collect()
     assert out[0].total_energy == 0 and out[0].spectral_class == "no_strong_spectral_anomaly"
