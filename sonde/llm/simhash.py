@@ -68,41 +68,38 @@ def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
 
 
 def blocks_for(n: int, radius: int = RADIUS) -> int:
-    """Fewest blocks whose keys have two bits more than it takes to number ``n`` fingerprints, 10 at most."""
-    return next((b for b in range(radius + 1, 10) if 64 * (b - radius) // b >= n.bit_length() + 2), 10)
+    """Fewest blocks, of 7 to 10, whose keys have three bits more than it takes to number ``n`` fingerprints."""
+    return next((b for b in range(radius + 3, radius + 6) if 64 * (b - radius) // b >= n.bit_length() + 3), radius + 6)
 
 
 def _far(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, blocks: int, radius: int = RADIUS, rounds: int = 2) -> DataFrame:
+def links(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
     """fp, root of every fingerprint of ``fps`` (fp, copies: all different) that has a link."""
     masks = F.array(*[F.lit(m) for m in block_masks(blocks, radius)])
     keyed = (fps.select("fp", "copies", F.posexplode(masks).alias("choice", "mask"))
-             .select("fp", "copies", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key")))
-    keyed = written(keyed, "keys")
+             .select("fp", "copies", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")))
+    # buckets of one member, nearly all, go first; the others get their commonest fingerprint and one by another order
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp"))["fp"].alias("pivot"),
+                                       F.max(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("pivot2")).filter("n > 1").drop("n")
+    shared = written(keyed.drop("copies").join(buckets, "key"), "shared")
     stars = None
-    for turn in range(rounds):
-        # the commonest fingerprint of a bucket first, then one by another order
-        rank = F.struct("copies", "fp") if turn == 0 else F.struct(F.xxhash64("fp"), "fp")
-        pivots = (keyed.groupBy("choice", "key").agg(F.max(rank)["fp"].alias("pivot"), F.count("*").alias("n"))
-                  .filter("n > 1").drop("n"))
-        found = (keyed.join(pivots, ["choice", "key"]).filter((F.col("fp") != F.col("pivot")) & (_far(F.col("fp"), F.col("pivot")) <= radius))
-                 .select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
+    for pivot in ("pivot", "pivot2"):
+        found = (shared.filter((F.col("fp") != F.col(pivot)) & (_far(F.col("fp"), F.col(pivot)) <= radius))
+                 .select(F.col("fp").alias("a"), F.col(pivot).alias("b")).distinct())
         stars = found if stars is None else stars.unionByName(found)
     groups = written(components(stars), "groups")
-    named = (keyed.drop("copies").join(groups, keyed["fp"] == groups["node"], "left")
-             .select("choice", "key", "fp", F.coalesce("root", "fp").alias("root")))
-    named = written(named, "named")
-    mixed = (named.groupBy("choice", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-             .filter("low <> high").select("choice", "key"))
-    left = named.join(mixed, ["choice", "key"])
-    largest = (left.groupBy("choice", "key", "root").agg(F.count("*").alias("n")).groupBy("choice", "key")
+    named = (shared.select("key", "fp").join(groups, F.col("fp") == F.col("node"), "left")
+             .select("key", "fp", F.coalesce("root", "fp").alias("root")))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    left = written(named.join(mixed, "key"), "mixed")
+    largest = (left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
                .agg(F.max(F.struct("n", "root"))["root"].alias("top")))
-    outside = (left.join(largest, ["choice", "key"]).filter("root <> top")
-               .select("choice", "key", F.col("fp").alias("fp2"), F.col("root").alias("root2")))
-    across = (left.join(outside, ["choice", "key"])
+    outside = (left.join(largest, "key").filter("root <> top")
+               .select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2")))
+    across = (left.join(outside, "key")
               .filter((F.col("root") != F.col("root2")) & (_far(F.col("fp"), F.col("fp2")) <= radius))
               .select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
     return components(across.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
