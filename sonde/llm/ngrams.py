@@ -37,6 +37,18 @@ BLOCK_CHARS, BUCKET_GRAMS = 4_000_000, 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def small_numbers(n: np.ndarray) -> bytes:
+    """Counts as bytes: one each, and eight more for those of 255 and above, after their number."""
+    return b"".join((len(n).to_bytes(8, "little"), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype("<u8").tobytes()))
+
+
+def from_small(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=8 + n)
+    return out
+
+
 class Block:
     """The n-grams of some documents.
 
@@ -118,20 +130,20 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
         full = np.flatnonzero(np.diff(cuts))
         return pd.DataFrame({"bucket": full, "block": np.full(len(full), rows["block"].iloc[0]),
                              "keys": [block.keys[cuts[b]:cuts[b + 1]].tobytes() for b in full],
-                             "counts": [block.counts[cuts[b]:cuts[b + 1]].astype(np.uint32).tobytes() for b in full]})
+                             "counts": [small_numbers(block.counts[cuts[b]:cuts[b + 1]]) for b in full]})
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]])).astype(np.uint64)[place]
+        sums = np.bincount(place, np.concatenate([from_small(c) for c in rows["counts"]])).astype(np.int64)[place]
         ends = np.cumsum([len(k) for k in keys])
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"],
-                             "totals": [part.tobytes() for part in np.split(sums, ends[:-1])]})
+                             "totals": [small_numbers(part) for part in np.split(sums, ends[:-1])]})
 
     def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block = Block(rows["text"], order)
-        found = [np.frombuffer(t, np.uint64) for t in answers.sort_values("bucket")["totals"]]
-        totals = np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.int64)
+        found = [from_small(t) for t in answers.sort_values("bucket")["totals"]]
+        totals = np.concatenate([*found, np.zeros(0, np.int64)])
         logs, seen = block.scores(totals, words)
         return pd.DataFrame({"doc_id": rows["doc_id"], "n_words": block.lengths, "n_seen": seen.astype(np.int64), "log_score": logs})
 
