@@ -450,3 +450,37 @@ SAMPLED_KPIS = {
         "adservice-grpc",
     ),
 }
+
+# ---------------------------------------------------------------- component types (fixed values)
+NODE_PREFIXES, NODE_NAMES = ("os_", "node-"), ("host", "node")
+DB_WORD, DB_PREFIX, REDIS_WORD = "mysql", "db", "redis"
+POD_PREFIX, POD_SUFFIX_RE, POD_MARK = "docker_", r"-\d+$", "."
+SERVICE_WORDS = ("tomcat", "apache", "service", "frontend", "cart", "checkout")
+MIDDLEWARE_PREFIXES, MIDDLEWARE_WORDS = ("mg", "ig"), ("middleware", "gateway")
+
+# ---------------------------------------------------------------- explanation sentences (fixed values)
+EXPLAIN_LEVELS = {
+    "high_confidence_anomaly": "shows high-confidence anomaly",
+    "candidate_anomaly": "shows candidate anomaly",
+    "normal_or_weak": "appears normal or weak",
+}
+EXPLAIN_SCORES = (  # column, lower bound, words before the number
+    ("traditional_score", 0.5, "high traditional score"),
+    ("max_abs_z", 3.0, "elevated robust z-score"),
+    ("spectral_score", 0.5, "high spectral score"),
+)
+EXPLAIN_CLASSES = {
+    "slow_trend_anomaly": "suggesting slow trend anomaly",
+    "fast_burst_or_jitter_anomaly": "suggesting burst/jitter anomaly",
+    "periodic_oscillation_anomaly": "suggesting periodic oscillation",
+    "mixed_spectral_anomaly": "suggesting mixed spectral anomaly",
+}
+EXPLAIN_TOO_SHORT = " has insufficient data for anomaly detection."
+RANK_ANOMALY = ((0.7, "has high anomaly score"), (0.4, "has moderate anomaly score"))
+RANK_ANOMALY_LOW = "has low anomaly score"
+RANK_HINTS = (  # column, lower bound, words
+    ("out_evidence", 0.5, "strong outgoing propagation"),
+    ("in_evidence", 0.3, "significantly affected by others"),
+    ("onset_bonus", 0.5, "early onset time"),
+)
+RANK_SUBJECT, RANK_CLASS = "Node ", "spectral type: "

@@ -87,15 +87,14 @@ def half_hour_label(ts: Column) -> Column:
 # ------------------------------------------------------------------ components
 def component_type(component: Column) -> Column:
     low = F.lower(component)
+    starts = lambda prefixes: reduce(lambda a, b: a | b, [low.startswith(p) for p in prefixes])
     return first_match([
-        (low.startswith("os_") | low.startswith("node-") | low.isin("host", "node"), "node"),
-        (F.contains(low, F.lit("mysql")) | low.startswith("db"), "db"),
-        (F.contains(low, F.lit("redis")), "redis"),
-        (low.startswith("docker_") | low.rlike(r"-\d+$") | F.contains(low, F.lit(".")), "pod"),
-        (has_any(low, ("tomcat", "apache", "service", "frontend", "cart", "checkout")),
-         "service"),
-        (low.startswith("mg") | low.startswith("ig") | has_any(low, ("middleware", "gateway")),
-         "middleware"),
+        (starts(V.NODE_PREFIXES) | low.isin(*V.NODE_NAMES), "node"),
+        (F.contains(low, F.lit(V.DB_WORD)) | low.startswith(V.DB_PREFIX), "db"),
+        (F.contains(low, F.lit(V.REDIS_WORD)), "redis"),
+        (low.startswith(V.POD_PREFIX) | low.rlike(V.POD_SUFFIX_RE) | F.contains(low, F.lit(V.POD_MARK)), "pod"),
+        (has_any(low, V.SERVICE_WORDS), "service"),
+        (starts(V.MIDDLEWARE_PREFIXES) | has_any(low, V.MIDDLEWARE_WORDS), "middleware"),
     ], "service")
 
 

@@ -125,14 +125,29 @@ def points_b(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, baselin
 
 def segments_b(points: DataFrame, reasons, beta: float = 0.5, min_points: int = 2,
                file_name: str = "") -> DataFrame:
-    """Islands of detector B; severity is the peak deviation, the first ten points are kept."""
+    """Islands of detector B; severity is the peak deviation, the first ten points are exported.
+
+    Both onsets look at all points of a segment. Sustained: the first at 0.3 or more whose successor
+    is at 0.15 or more, else the first at 0.3, else the first. Steepest: the point before the steepest
+    rise within [-2, +3) of the first point at half the peak, else that point.
+    """
     chosen = points.filter(F.col("deviation") >= beta)
     runs = islands(chosen, KEYS, F.greatest(F.lit(180), F.col("median_gap") * 3))
-    pos = F.row_number().over(W.partitionBy(*KEYS, "island").orderBy("ts"))
+    whole = W.partitionBy(*KEYS, "island")
+    pos = F.row_number().over(whole.orderBy("ts"))
+    runs = (runs.withColumn("_pos", pos).withColumn("_next", F.lead("deviation").over(whole.orderBy("ts")))
+            .withColumn("_peak", F.max("deviation").over(whole))
+            .withColumn("_half", F.min(F.when(F.col("deviation") >= 0.5 * F.col("_peak"), F.col("_pos"))).over(whole)))
+    firm = (F.col("deviation") >= 0.3) & (F.col("_next") >= 0.15)
+    rise = F.col("_next") - F.col("deviation")
+    near = (rise > 0) & (F.col("_pos") >= F.col("_half") - 2) & (F.col("_pos") < F.col("_half") + 3)
+    sustained = F.coalesce(F.min(F.when(firm, F.col("ts"))), F.min(F.when(F.col("deviation") >= 0.3, F.col("ts"))), F.min("ts"))
+    steepest = F.when((F.count("*") <= 1) | (F.max("deviation") <= 0), F.min("ts")).otherwise(F.coalesce(
+        F.max_by("ts", F.when(near, F.struct(rise, -F.col("_pos")))), F.min(F.when(F.col("_pos") == F.col("_half"), F.col("ts")))))
     first = F.when(F.col("_pos") <= 10, F.struct("ts", "value", "deviation", "direction", "threshold"))
-    seg = runs.withColumn("_pos", pos).groupBy(*KEYS, "island").agg(
+    seg = runs.groupBy(*KEYS, "island").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_points"),
-        F.max("deviation").alias("max_deviation"),
+        F.max("deviation").alias("max_deviation"), sustained.alias("sustained_ts"), steepest.alias("steepest_ts"),
         F.max_by(F.struct(F.col("value").alias("peak_value"), "threshold", "direction"),
                  F.struct("deviation", -F.col("ts"))).alias("peak"),
         F.array_sort(F.collect_list(first)).alias("points"))
@@ -141,7 +156,7 @@ def segments_b(points: DataFrame, reasons, beta: float = 0.5, min_points: int =
             .withColumn("reason_hint", hint)
             .withColumn("severity", S.rounded(F.col("max_deviation"), 6))
             .select(*KEYS, "start_ts", "end_ts", "n_points", "max_deviation", "severity", "reason_hint",
-                    "peak.*", "points"))
+                    "peak.*", "points", "sustained_ts", "steepest_ts"))
 
 
 def intensity(points: DataFrame) -> DataFrame:

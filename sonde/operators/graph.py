@@ -208,18 +208,20 @@ def influence(edges: DataFrame, nodes: DataFrame, depth: int = 6) -> DataFrame:
     return state
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All (incident, origin, node) pairs joined by a directed path, by doubling the path length."""
-    reach = written(edges.select("incident_id", F.col("source").alias("origin"), F.col("target").alias("node")).distinct(), "reach")
-    size = reach.count()
+def reach_from(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """(incident, origin, node) of the nodes that directed paths reach from the given components.
+
+    Only the frontier moves, once per hop, until it is empty; the state is written to cut the lineage.
+    """
+    steps = edges.select("incident_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    frontier = origins.select("incident_id", F.col("component").alias("origin"), F.col("component").alias("node")).distinct()
+    keys, seen = ["incident_id", "origin", "node"], None
     while True:
-        right = reach.select("incident_id", F.col("origin").alias("node"), F.col("node").alias("_to"))
-        longer = reach.join(right, ["incident_id", "node"]).select("incident_id", "origin", F.col("_to").alias("node"))
-        reach = written(reach.unionByName(longer).distinct(), "reach")
-        grown = reach.count()
-        if grown == size:
-            return reach
-        size = grown
+        found = frontier.join(steps, ["incident_id", "node"]).select("incident_id", "origin", F.col("next").alias("node")).distinct()
+        frontier = written(found if seen is None else found.join(seen, keys, "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return found.limit(0) if seen is None else seen
+        seen = frontier if seen is None else seen.unionByName(frontier)
 
 
 def hop_distances(edges: DataFrame, origins: DataFrame) -> DataFrame:
@@ -279,7 +281,7 @@ def topology_score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = ["incident_id", "component"]
     known = nodes.select(*keys)
     total = known.groupBy("incident_id").agg(F.count("*").alias("_all"))
-    reach = (closure(edges).filter("origin <> node")
+    reach = (reach_from(edges, known).filter("origin <> node")
              .join(known.withColumnRenamed("component", "node"), ["incident_id", "node"], "left_semi")
              .groupBy("incident_id", F.col("origin").alias("component")).agg(F.count("*").alias("_reach")))
     out = edges.groupBy("incident_id", F.col("source").alias("component")).agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonde.functions import fixed as V
@@ -14,20 +15,19 @@ def _first_word(text, words):
     return S.first_match([(F.contains(text, F.lit(w)), w) for w in words], F.lit(None).cast("string"))
 
 
-def lines_or_day(logs: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Lines of the incident window; of its whole day where the window has none."""
-    inside = window_join(logs, incidents)
-    day = F.floor(F.col("start_ts") / 86400) * 86400
-    empty = incidents.join(inside.select("incident_id").distinct(), "incident_id", "left_anti").withColumn(
-        "start_ts", day).withColumn("end_ts", F.col("start_ts") + 86399)
-    return inside.unionByName(window_join(logs, empty))
-
-
 def error_profile(logs: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Error lines per component: count, ratio, counts by first matching word, score min(1, 3 * ratio)."""
-    lines = lines_or_day(logs, incidents).withColumn(
-        "word", _first_word(F.lower("value"), V.LOG_ERROR_WORDS))
-    per = lines.groupBy("incident_id", "component", "word").agg(F.count("*").alias("n"))
+    """Error lines per component: count, ratio, counts by first matching word, score min(1, 3 * ratio).
+
+    Lines of the incident window count; those of its whole day where the window has none. The
+    lines meet the day once; the choice is made on the counts.
+    """
+    day = F.floor(F.col("start_ts") / 86400).cast("bigint") * 86400
+    wide = incidents.select("incident_id", "start_ts", "end_ts", day.alias("_from"), F.greatest(day + 86399, F.col("end_ts")).alias("_to"))
+    lines = window_join(logs, wide, start="_from", end="_to").withColumn("word", _first_word(F.lower("value"), V.LOG_ERROR_WORDS))
+    inside = F.col("ts").between(F.col("start_ts"), F.col("end_ts"))
+    counted = lines.groupBy("incident_id", "component", "word", inside.alias("_in")).agg(F.count("*").alias("n"))
+    any_inside = F.max("_in").over(W.partitionBy("incident_id"))
+    per = counted.withColumn("_any", any_inside).filter(F.col("_in") == F.col("_any"))
     entry = F.when(F.col("word").isNotNull(), F.struct("word", "n"))
     out = per.groupBy("incident_id", "component").agg(
         F.sum("n").alias("total_logs"), F.sum(F.when(F.col("word").isNotNull(), F.col("n")).otherwise(0)).alias("error_count"),

@@ -114,36 +114,6 @@ def final_blend_v2(ranking: DataFrame, reasons: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ times
-def sustained_onset(points):
-    """First point at 0.3 or more whose successor is at 0.15 or more; else the first at 0.3; else the first.
-
-    ``points`` is the ordered array of at most ten struct(ts, deviation) of a segment.
-    """
-    follow = F.transform(points, lambda p, i: F.struct(
-        p["ts"].alias("ts"), p["deviation"].alias("d"), F.get(points, i + 1)["deviation"].alias("nxt")))
-    firm = F.filter(follow, lambda p: (p["d"] >= 0.3) & F.coalesce(p["nxt"] >= 0.15, F.lit(False)))
-    above = F.filter(follow, lambda p: p["d"] >= 0.3)
-    return F.coalesce(F.get(firm, F.lit(0))["ts"], F.get(above, F.lit(0))["ts"], F.get(points, F.lit(0))["ts"])
-
-
-def steepest_onset(points):
-    """Point before the steepest rise within [-2, +3) of the first point at half the peak."""
-    devs = F.transform(points, lambda p: p["deviation"])
-    peak = F.array_max(devs)
-    first = F.get(F.filter(F.transform(devs, lambda d, i: F.when(d >= 0.5 * peak, i)), lambda i: i.isNotNull()), F.lit(0))
-    rises = F.transform(devs, lambda d, i: F.struct(
-        F.greatest(F.lit(0.0), F.get(devs, i + 1) - d).alias("rise"), (-i).alias("order")))
-    near = F.filter(rises, lambda r: (-r["order"] >= first - 2) & (-r["order"] < first + 3) & (r["rise"] > 0))
-    best = F.when(F.size(near) > 0, -F.array_max(near)["order"]).otherwise(first)
-    return F.when((F.size(points) <= 1) | (peak <= 0), F.get(points, F.lit(0))["ts"]).otherwise(F.get(points, best)["ts"])
-
-
-def segment_onsets(segments: DataFrame) -> DataFrame:
-    """Segments with both onset times."""
-    return segments.withColumn("sustained_ts", sustained_onset(F.col("points"))).withColumn(
-        "steepest_ts", steepest_onset(F.col("points")))
-
-
 def root_time(onsets: DataFrame, incidents: DataFrame) -> DataFrame:
     """v1: onset of the latest segment shorter than 75% of the window, else of the worst."""
     df = onsets.join(incidents.select("incident_id", (F.col("end_ts") - F.col("start_ts")).alias("_len")), "incident_id")

@@ -107,8 +107,9 @@ def balanced_kpis(metrics: DataFrame, windows: DataFrame, n: int, seed: int = 42
         "value", S.rounded(F.col("value"), 2))
 
 
-def fixed_kpis(metrics: DataFrame, windows: DataFrame, names, interval: int = 60) -> DataFrame:
-    """The KPIs of a fixed list, first value per interval, rounded to 2."""
+def fixed_kpis(metrics: DataFrame, windows: DataFrame, dataset: str, interval: int = 60) -> DataFrame:
+    """The KPIs of the dataset's fixed list, first value per interval, rounded to 2."""
+    names = V.SAMPLED_KPIS[dataset]
     rows = window_join(metrics.filter(F.col("kpi").isin(*names)), windows)
     return first_per_interval(rows, ["incident_id", "component", "kpi"], ["value"], interval, ("value",)).withColumn(
         "value", S.rounded(F.col("value"), 2))

@@ -81,13 +81,17 @@ def latency_outliers(statistics: DataFrame) -> DataFrame:
                     F.least(F.lit(1.0), F.col("z") / 5.0).alias("anomaly_score")))
 
 
-def latency_profile(spans: DataFrame) -> DataFrame:
-    """Average, maximum, count and the distribution of durations as a counted histogram.
+def duration_distribution(spans: DataFrame) -> DataFrame:
+    """All durations of each component as (duration, n) rows.
 
-    A sorted list of durations per component would gather its spans; (duration, count) rows
-    carry the same information.
+    A sorted list per component would gather its spans; counted rows carry the same information.
     """
-    per = spans.groupBy("incident_id", "component", "duration").agg(F.count("*").alias("n"))
+    return spans.filter(F.col("duration").isNotNull()).groupBy("incident_id", "component", "duration").agg(F.count("*").alias("n"))
+
+
+def latency_profile(spans: DataFrame) -> DataFrame:
+    """Average, maximum and count of the durations, and how many different ones there are."""
+    per = duration_distribution(spans)
     return per.groupBy("incident_id", "component").agg(
         (F.sum(F.col("duration") * F.col("n")) / F.sum("n")).alias("avg_duration"),
         F.max("duration").alias("max_duration"), F.sum("n").alias("span_count"),

@@ -93,16 +93,9 @@ def anomaly_evidence(arrays: DataFrame, use_traditional: bool = True, use_spectr
     node = F.concat("component", F.lit("."), "kpi")
     number = lambda c: F.format_string("%.2f", F.col(c))
     text = F.concat_ws(
-        ", ", node,
-        F.when(F.col("level") == "high_confidence_anomaly", "shows high-confidence anomaly")
-        .when(F.col("level") == "candidate_anomaly", "shows candidate anomaly").otherwise("appears normal or weak"),
-        F.when(F.col("traditional_score") > 0.5, F.concat(F.lit("high traditional score ("), number("traditional_score"), F.lit(")"))),
-        F.when(F.col("max_abs_z") > 3.0, F.concat(F.lit("elevated robust z-score ("), number("max_abs_z"), F.lit(")"))),
-        F.when(F.col("spectral_score") > 0.5, F.concat(F.lit("high spectral score ("), number("spectral_score"), F.lit(")"))),
-        F.when(F.col("spectral_class") == "slow_trend_anomaly", "suggesting slow trend anomaly")
-        .when(F.col("spectral_class") == "fast_burst_or_jitter_anomaly", "suggesting burst/jitter anomaly")
-        .when(F.col("spectral_class") == "periodic_oscillation_anomaly", "suggesting periodic oscillation")
-        .when(F.col("spectral_class") == "mixed_spectral_anomaly", "suggesting mixed spectral anomaly"))
+        ", ", node, S.first_match([(F.col("level") == k, t) for k, t in V.EXPLAIN_LEVELS.items()], F.lit(None).cast("string")),
+        *[F.when(F.col(c) > low, F.concat(F.lit(f"{t} ("), number(c), F.lit(")"))) for c, low, t in V.EXPLAIN_SCORES],
+        S.first_match([(F.col("spectral_class") == k, t) for k, t in V.EXPLAIN_CLASSES.items()], F.lit(None).cast("string")))
     rounded = ["traditional_score", "spectral_score", "final_score", "max_abs_z", "max_rate", "deviation_score",
                "total_energy", "energy_z", "low_ratio", "mid_ratio", "high_ratio", "dominant_ratio", "entropy"]
     full = df.select(*KEYS, *[S.rounded(F.col(c), 4).alias(c) for c in rounded], "dominant_index",
@@ -111,7 +104,7 @@ def anomaly_evidence(arrays: DataFrame, use_traditional: bool = True, use_spectr
         *KEYS, *[zero.alias(c) for c in rounded], F.lit(0).alias("dominant_index"),
         F.lit(V.SPECTRAL_CLASSES["none"]).alias("spectral_class"), F.lit("insufficient_data").alias("quality_flag"),
         F.lit("normal_or_weak").alias("level"),
-        F.concat(node, F.lit(" has insufficient data for anomaly detection.")).alias("explanation"))
+        F.concat(node, F.lit(V.EXPLAIN_TOO_SHORT)).alias("explanation"))
     return full.unionByName(empty)
 
 
@@ -223,14 +216,10 @@ def root_ranking(evidence: DataFrame, edges: DataFrame, onsets: DataFrame | None
     score = F.greatest(F.lit(0.0), w["anomaly"] * F.col("anomaly") + w["out"] * F.col("out_evidence")
                        - w["in"] * F.col("in_evidence") + w["onset"] * F.col("onset_bonus"))
     text = F.concat(F.concat_ws(
-        ", ", F.concat(F.lit("Node "), "node"),
-        F.when(F.col("anomaly") > 0.7, "has high anomaly score").when(
-            F.col("anomaly") > 0.4, "has moderate anomaly score").otherwise("has low anomaly score"),
-        F.when(F.col("out_evidence") > 0.5, "strong outgoing propagation"),
-        F.when(F.col("in_evidence") > 0.3, "significantly affected by others"),
-        F.when(F.col("onset_bonus") > 0.5, "early onset time"),
-        F.when(F.col("spectral_class") != V.SPECTRAL_CLASSES["none"],
-               F.concat(F.lit("spectral type: "), "spectral_class"))), F.lit("."))
+        ", ", F.concat(F.lit(V.RANK_SUBJECT), "node"),
+        S.first_match([(F.col("anomaly") > low, t) for low, t in V.RANK_ANOMALY], V.RANK_ANOMALY_LOW),
+        *[F.when(F.col(c) > low, t) for c, low, t in V.RANK_HINTS],
+        F.when(F.col("spectral_class") != V.SPECTRAL_CLASSES["none"], F.concat(F.lit(V.RANK_CLASS), "spectral_class"))), F.lit("."))
     df = df.withColumn("root_score", S.rounded(score, 4)).withColumn("explanation", text)
     for c in ("out_evidence", "in_evidence"):
         df = df.withColumn(c, S.rounded(F.col(c), 4))

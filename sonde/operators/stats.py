@@ -46,14 +46,19 @@ def drop_dead_series(stats: DataFrame) -> DataFrame:
     return stats.filter(~dead)
 
 
+#: Cells into which the bracket of a wanted rank is cut.
+CELLS = 1024
+
+
 def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
                       accuracy: int = 10000, interpolate: bool = True) -> DataFrame:
     """Exact percentiles of groups of any size: interpolated, or the element at floor(n * p).
 
-    A mergeable sketch gives each wanted rank a bracket that surely holds it; only the
-    distinct values inside the brackets are ranked, after counting what lies below. No
-    group is ever gathered: the first pass keeps a sketch per key, the second a count,
-    and the ranked values are a share of about 4 / accuracy of the rows per percentile.
+    A mergeable sketch gives each wanted rank a bracket that surely holds it. Rows meet the
+    brackets of their key and are folded where they are read: what lies outside a bracket is
+    a count, what lies inside a counted value. A bracket is cut into ``CELLS`` equal cells, and
+    only the values of the cells that hold the rank are put in order, so no task sees more
+    than about 4 / accuracy / CELLS of a group's values, however large the group.
     """
     keys = list(keys)
     slack = 2.0 / accuracy
@@ -75,19 +80,22 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
 
     targets = sketch.select(*keys, "_n", F.array(*[
         bracket(i, p) for i, p in enumerate(probs.values())]).alias("_t"))
-    # map side: rows far from every bracket only add to the counts below
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    hit = counted.join(targets, keys).select(*keys, "_v", "_c", F.explode("_t").alias("t"))
-    side = F.when(F.col("_v") < F.col("t.lo"), 0).when(F.col("_v") <= F.col("t.hi"), 1).otherwise(2)
-    folded = (hit.groupBy(*keys, F.col("t.i").alias("i"), F.col("t.pos").alias("pos"), side.alias("_side"),
-                          F.when(side == 1, F.col("_v")).alias("_in"))
-              .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last")))
-    w = W.partitionBy(*keys, "i").orderBy("_side", "_in")
-    upto = F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    hit = rows.join(targets, keys).select(*keys, "_v", F.explode("_t").alias("t"))
+    width = F.col("t.hi") - F.col("t.lo")
+    inner = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("t.lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    cell = F.when(F.col("_v") < F.col("t.lo"), -1).when(F.col("_v") <= F.col("t.hi"), inner).otherwise(CELLS).cast("int")
+    folded = (hit.groupBy(*keys, F.col("t.i").alias("i"), F.col("t.pos").alias("pos"), cell.alias("_cell"),
+                          F.when(cell.between(0, CELLS - 1), F.col("_v")).alias("_in"))
+              .agg(F.count("*").alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last")))
+    before = W.partitionBy(*keys, "i").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = folded.groupBy(*keys, "i", "pos", "_cell").agg(F.sum("_c").alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = cells.filter((F.floor("pos") < F.col("_start") + F.col("_n")) & (F.ceil("pos") >= F.col("_start"))).select(*keys, "i", "_cell", "_start")
     # what lies outside a bracket is one row on each side; of it a wanted rank can only be
     # the last one below or the first one above
-    ranked = folded.withColumn("_hi", upto - 1).withColumn("_lo", F.col("_hi") - F.col("_c") + 1).withColumn(
-        "_v", F.when(F.col("_side") == 2, F.col("_first")).otherwise(F.col("_last")))
+    upto = F.col("_start") + F.sum("_c").over(W.partitionBy(*keys, "i", "_cell").orderBy("_in").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = (folded.join(wanted, [*keys, "i", "_cell"]).withColumn("_hi", upto - 1).withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
+              .withColumn("_v", F.when(F.col("_cell") == CELLS, F.col("_first")).otherwise(F.col("_last"))))
     at_floor = F.max(F.when(F.floor("pos").between(F.col("_lo"), F.col("_hi")), F.col("_v")))
     at_ceil = F.max(F.when(F.ceil("pos").between(F.col("_lo"), F.col("_hi")), F.col("_v")))
     found = ranked.groupBy(*keys, "i").agg(
@@ -157,8 +165,13 @@ def pre_fault_mean(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, s
         "incident_id", *SERIES, F.coalesce("_m", "median").alias("baseline_mean"))
 
 
-def data_quality(incidents: DataFrame, metrics: DataFrame, spans: DataFrame, logs: DataFrame) -> DataFrame:
-    """Series, series with rows in the window, span and log rows, and the quality score."""
+def data_quality(incidents: DataFrame, metrics: DataFrame, spans: DataFrame, logs: DataFrame, files: DataFrame,
+                 logs_optional: bool = False) -> DataFrame:
+    """Files of the day, series, series with rows in the window, span and log rows, and the quality score.
+
+    ``files`` holds (day, kind, file_name) with the kinds metric, trace and log; a dataset without
+    logs (``logs_optional``) loses nothing by their absence.
+    """
     day = incidents.select("incident_id", "start_ts", "end_ts",
                            F.floor(F.col("start_ts") / 86400).cast("bigint").alias("day"))
     per_series = metrics.join(day, "day").groupBy("incident_id", *SERIES).agg(
@@ -167,11 +180,14 @@ def data_quality(incidents: DataFrame, metrics: DataFrame, spans: DataFrame, log
         F.count("*").alias("metric_series"), F.sum("hit").alias("series_with_window_rows"))
     t = window_join(spans, incidents).groupBy("incident_id").agg(F.count("*").alias("trace_rows"))
     lg = window_join(logs, incidents).groupBy("incident_id").agg(F.count("*").alias("log_rows"))
-    out = incidents.select("incident_id").join(m, "incident_id", "left").join(
+    found = files.select("day", "kind", "file_name").distinct().groupBy("day").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"{k}_files") for k in ("metric", "trace", "log")])
+    f = day.join(found, "day").drop("day", "start_ts", "end_ts")
+    out = incidents.select("incident_id").join(f, "incident_id", "left").join(m, "incident_id", "left").join(
         t, "incident_id", "left").join(lg, "incident_id", "left").na.fill(0)
-    parts = [("metric_series", 0.35 + 0.35), ("series_with_window_rows", 0.15),
-             ("trace_rows", 0.10), ("log_rows", 0.05)]
-    score = reduce(lambda a, b: a + b, [F.when(F.col(c) > 0, w).otherwise(0.0) for c, w in parts])
+    parts = [("metric_files", 0.35), ("metric_series", 0.35), ("series_with_window_rows", 0.15), ("trace_files", 0.10)]
+    log_part = F.lit(0.05) if logs_optional else F.when(F.col("log_files") > 0, 0.05).otherwise(0.0)
+    score = reduce(lambda a, b: a + b, [F.when(F.col(c) > 0, w).otherwise(0.0) for c, w in parts]) + log_part
     return out.withColumn("quality", S.rounded(score, 4))
 
 

@@ -132,22 +132,19 @@ def multi_resolution_onset(rows: DataFrame, stats: DataFrame, incidents: DataFra
     """
     inside = window_join(rows, incidents).join(
         stats.select(*SERIES, "day", "high"), [*SERIES, "day"])
-    parts = None
-    for size in sizes:
+    rel = F.col("ts") - F.col("start_ts")
+
+    def windows(size: int):
         step = size // 2
-        rel = F.col("ts") - F.col("start_ts")
         k = F.floor(rel / step)
-        starts = F.filter(F.array(k - 2, k - 1, k), lambda x: (x >= 0) & (rel < x * step + size)
-                          & (x * step + size <= F.col("end_ts") - F.col("start_ts")))
-        hit = (inside.withColumn("k", F.explode(starts))
-               .groupBy("incident_id", *SERIES, "day", "k", "start_ts", "high")
-               .agg(F.avg("value").alias("m"))
-               .filter(F.col("m") > F.col("high") * 0.9)
-               .groupBy("incident_id", "component")
-               .agg(F.min(F.col("start_ts") + F.col("k") * step).alias("onset"))
-               .withColumn("resolution", F.lit(size)))
-        parts = hit if parts is None else parts.unionByName(hit)
-    return parts
+        inner = F.filter(F.array(k - 2, k - 1, k), lambda x: (x >= 0) & (rel < x * step + size)
+                         & (x * step + size <= F.col("end_ts") - F.col("start_ts")))
+        return F.transform(inner, lambda x: F.struct(F.lit(size).alias("resolution"), (F.col("start_ts") + x * step).alias("onset")))
+
+    return (inside.select("incident_id", *SERIES, "day", "high", "value", F.inline(F.concat(*[windows(s) for s in sizes])))
+            .groupBy("incident_id", *SERIES, "day", "high", "resolution", "onset").agg(F.avg("value").alias("m"))
+            .filter(F.col("m") > F.col("high") * 0.9)
+            .groupBy("incident_id", "component", "resolution").agg(F.min("onset").alias("onset")))
 
 
 def top_k(df: DataFrame, keys, order, k: int, name: str = "rank") -> DataFrame:

@@ -109,7 +109,7 @@ def causal_flow(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incidents
     reasons = R.choose_reason(cands, list(s.reasons), R.hint_scores(segments), R.log_reason_scores(WN.window_join(logs, window), list(s.reasons)),
                               R.trace_reason_scores(inside, list(s.reasons)), R.category_reason_scores(segments, list(s.reasons)))
     final = RK.final_blend(ranking, reasons, contextual, quality, s.top)
-    times = RK.root_time(RK.segment_onsets(segments), window)
+    times = RK.root_time(segments, window)
     ranked = final.join(times, KEYS, "left").select(*KEYS, "reason", F.col("root_ts").alias("ts"), F.col("combined").alias("score"), F.col("final_rank").alias("rank"))
     return {"segments": segments, "candidates": cands, "refined": refined, "nodes": nodes, "edges": edges, "ranking": ranking,
             "quality": quality, "confidence": RK.top_confidence(ranking, quality), "final": ranked}
@@ -137,19 +137,18 @@ def causal_flow_v2(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incide
     chosen = written(R.choose_reason_by_pattern(nodes, reasons, R.pattern_reasons(segments, reasons, s.file_name),
                                                 R.keyword_reasons(segments, reasons, s.file_name), R.profile_reasons(segments, reasons, s.file_name), log), "reasons")
     final = written(RK.final_blend_v2(ranking, chosen), "final")
-    onsets = written(RK.segment_onsets(segments), "onsets")
-    times = RK.root_time_v2(onsets, window, chosen, s.file_name)
+    times = RK.root_time_v2(segments, window, chosen, s.file_name)
     own = final.join(times, KEYS).select(*KEYS, F.col("root_ts").alias("ts"), F.col("final_score").alias("score"), F.col("component").alias("key"))
-    seg = onsets.join(final.select(*KEYS, "final_score"), KEYS).select(
+    seg = segments.join(final.select(*KEYS, "final_score"), KEYS).select(
         *KEYS, F.col("steepest_ts").alias("ts"), F.round(F.col("final_score") * (0.75 + 0.25 * F.col("severity")), 9).alias("score"),
         F.concat("component", F.lit("."), "kpi").alias("key"))
     several = incidents.filter(~(F.col("time_only") & (F.col("failure_count") > 1)))
     only_times = incidents.filter(F.col("time_only") & (F.col("failure_count") > 1))
-    causes = RK.select_causes(own.unionByName(seg), several).unionByName(RK.time_causes(onsets, ranking.filter("kept"), only_times)).join(
+    causes = RK.select_causes(own.unionByName(seg), several).unionByName(RK.time_causes(segments, ranking.filter("kept"), only_times)).join(
         chosen.select(*KEYS, "reason"), KEYS, "left")
     ranked = final.join(times, KEYS, "left").select(*KEYS, "reason", F.col("root_ts").alias("ts"), F.col("final_score").alias("score"), F.col("final_rank").alias("rank"))
     return {"segments": segments, "candidates": cands, "refined": refined, "edges": edges, "ranking": ranking, "final": ranked, "causes": causes,
-            "global_time": RK.onset_clusters(onsets, window, ranking.filter("kept"))}
+            "global_time": RK.onset_clusters(segments, window, ranking.filter("kept"))}
 
 
 def evidence_flow(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incidents: DataFrame, s: Settings,

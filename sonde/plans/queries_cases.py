@@ -185,13 +185,53 @@ def chosen_traces(spark, sf_dir):
     return stage(spark, sf_dir, "chosen_traces", lambda: SM.diverse_traces(trace_table(spark, sf_dir)))
 
 
-@query("smp2_diverse_traces")
+cte("trace_rows", """
+SELECT incident_id, trace_id, root, pattern_id, eps, anomaly FROM trace_anomalies JOIN trace_roots USING (incident_id, trace_id) JOIN trace_patterns USING (incident_id, trace_id)
+JOIN (SELECT incident_id, trace_id, list(e ORDER BY e) AS eps FROM trace_marks GROUP BY ALL) AS m USING (incident_id, trace_id)""", materialized=True)
+
+
+def _greedy_sql(pool, keys):
+    """Step by step: the best of the first 300 rows left of each group is taken, the others keep their largest overlap."""
+    return f"""
+WITH RECURSIVE g AS (
+  SELECT {keys}, trace_id, eps, anomaly, budget, 0.0::DOUBLE AS nearest, 0 AS k, false AS taken FROM {pool}
+  UNION ALL
+  SELECT {keys}, trace_id, eps, anomaly, budget, greatest(nearest, CASE WHEN len(eps) + len(best_eps) = 0 THEN 1.0
+    ELSE len(list_intersect(eps, best_eps)) / (len(eps) + len(best_eps) - len(list_intersect(eps, best_eps)))::DOUBLE END), k + 1, trace_id = best_id
+  FROM (SELECT *, first_value(trace_id) OVER v AS best_id, first_value(eps) OVER v AS best_eps
+        FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY anomaly DESC, trace_id) AS pos FROM g WHERE NOT taken AND k < budget)
+        WINDOW v AS (PARTITION BY {keys} ORDER BY pos <= 300 DESC, anomaly + 1.0 - nearest DESC, pos)))
+SELECT incident_id, trace_id FROM g WHERE taken"""
+
+
+cte("first_pool", """
+SELECT t.*, greatest(1, 160 // r) AS budget FROM trace_rows t JOIN (SELECT incident_id, count(DISTINCT root) AS r FROM trace_rows GROUP BY ALL) USING (incident_id)
+QUALIFY row_number() OVER (PARTITION BY incident_id, root ORDER BY anomaly DESC, trace_id) <= 460""", materialized=True)
+cte("first_traces", f"""
+SELECT * FROM ({_greedy_sql("first_pool", "incident_id, root")}) JOIN trace_rows USING (incident_id, trace_id)
+QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY root, anomaly DESC, trace_id) <= 160""", materialized=True)
+cte("refill_pool", """
+SELECT t.*, budget FROM trace_rows t JOIN (SELECT incident_id, 160 - count(f.trace_id) AS budget FROM trace_rows LEFT JOIN first_traces f USING (incident_id, trace_id) GROUP BY ALL) USING (incident_id)
+ANTI JOIN first_traces f ON f.incident_id = t.incident_id AND f.trace_id = t.trace_id WHERE budget > 0
+QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY anomaly DESC, t.trace_id) <= 460""", materialized=True)
+cte("diverse", f"""
+SELECT * FROM first_traces UNION ALL BY NAME SELECT * FROM ({_greedy_sql("refill_pool", "incident_id")}) JOIN trace_rows USING (incident_id, trace_id)""", materialized=True)
+
+
+@query("smp2_diverse_traces", "SELECT incident_id, trace_id, root, pattern_id, anomaly FROM diverse")
 def diverse_traces(spark, sf_dir):
-    """Greedy choice: no SQL check; tests compare it with a plain re-computation."""
     return SM.diverse_traces(trace_table(spark, sf_dir)).drop("eps")
 
 
-@query("smp4_sampler_report")
+@query("smp4_sampler_report", f"""
+WITH i AS (SELECT incident_id, count(*) AS input_rows FROM inc_spans GROUP BY ALL), a AS (SELECT incident_id, count(DISTINCT pattern_id) AS patterns FROM trace_rows GROUP BY ALL),
+g AS (SELECT incident_id, count(DISTINCT pattern_id) AS got, count(*) AS rows, avg((anomaly > 0)::INT) AS hot FROM diverse GROUP BY ALL),
+p AS (SELECT incident_id, count(*) / sum(count(*)) OVER (PARTITION BY incident_id) AS p FROM diverse GROUP BY incident_id, pattern_id),
+e AS (SELECT incident_id, -sum(p * log2(p + 1e-12)) AS entropy FROM p GROUP BY ALL),
+t AS (SELECT incident_id, least(80, count(DISTINCT template)) AS tpl FROM inc_templates GROUP BY ALL)
+SELECT i.incident_id, input_rows, coalesce(g.rows, 0) + coalesce(tpl, 0) AS sampled_rows, round(coalesce(got, 0) / greatest(coalesce(patterns, 0), 1), 6)::DOUBLE AS coverage,
+  round(coalesce(entropy, 0), 6)::DOUBLE AS entropy, round(coalesce(hot, 0), 6)::DOUBLE AS anomaly_ratio
+FROM i LEFT JOIN a USING (incident_id) LEFT JOIN g USING (incident_id) LEFT JOIN e USING (incident_id) LEFT JOIN t USING (incident_id)""")
 def sampler_report(spark, sf_dir):
     from sonde.plans.queries_spans import incident_spans
     rows = incident_spans(spark, sf_dir).groupBy("incident_id").agg(F.count("*").alias("input_rows"))
@@ -234,11 +274,19 @@ def balanced_kpis(spark, sf_dir):
     return SM.balanced_kpis(T.raw_metrics(spark, sf_dir), half_hours(spark, sf_dir), 2)
 
 
-@query("smp6_fixed_kpis", """
-SELECT incident_id, component, kpi, ts // 60 AS slot, round(arg_min(value, (ts, value)), 2)::DOUBLE AS value FROM sampled_rows
-WHERE kpi IN ('cpu_used_percent', 'mem_used_percent') GROUP BY incident_id, component, kpi, ts // 60""")
+#: KPIs of the tables under the names one system has for them; the last is in no fixed list.
+SYSTEM_NAMES = {"cpu_used_percent": "container_cpu_used", "mem_used_percent": "Memory_used_pct", "disk_read_bytes": "Disk_io_util",
+                "network_latency_ms": "Sent_queue", "packet_loss_rate": "Dropped_frames"}
+
+
+@query("smp6_fixed_kpis", f"""
+WITH n AS (SELECT incident_id, component, CASE kpi {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in SYSTEM_NAMES.items())} END AS kpi, ts, value FROM sampled_rows)
+SELECT incident_id, component, kpi, ts // 60 AS slot, round(arg_min(value, (ts, value)), 2)::DOUBLE AS value FROM n
+WHERE kpi IN ('Proc_Used_Pct', 'Sess_Connect', 'Proc_User_Used_Pct', 'On_Off_State', 'tnsping_result_time', 'container_cpu_used', 'Memory_used_pct',
+  'Disk_io_util', 'Sent_queue', 'Received_queue') GROUP BY incident_id, component, kpi, ts // 60""")
 def fixed_kpis(spark, sf_dir):
-    return SM.fixed_kpis(T.raw_metrics(spark, sf_dir), half_hours(spark, sf_dir), ("cpu_used_percent", "mem_used_percent"))
+    named = T.raw_metrics(spark, sf_dir).replace(SYSTEM_NAMES, subset=["kpi"])
+    return SM.fixed_kpis(named, half_hours(spark, sf_dir), "telecom")
 
 
 @query("smp5_sampled_traces", """

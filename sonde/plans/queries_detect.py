@@ -142,7 +142,7 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY incident_id, component, kpi ORDER
 SELECT incident_id, component, kpi, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_points, max(deviation) AS max_deviation,
   round(max(deviation), 6) AS severity, {hint_sql("lower(kpi || ' metric_container.csv')", V.REASON_HINT_RULES)} AS reason_hint,
   arg_max(value, (deviation, -ts)) AS peak_value, arg_max(threshold, (deviation, -ts)) AS threshold,
-  arg_max(direction, (deviation, -ts)) AS direction, list(struct_pack(ts := ts, dev := deviation) ORDER BY ts)[1:10] AS pts
+  arg_max(direction, (deviation, -ts)) AS direction, list(struct_pack(ts := ts, dev := deviation) ORDER BY ts) AS pts
 FROM i GROUP BY incident_id, component, kpi, island HAVING count(*) >= {min_points}"""
 
 

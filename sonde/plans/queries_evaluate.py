@@ -25,19 +25,27 @@ from sonde.sources import tables as T
 
 # ------------------------------------------------------------------ task generation
 _LT = "strftime(make_timestamp((ts + 28800) * 1000000), '%Y-%m-%d %H:%M:%S')"
-_CRITERION = {V.FIELD_TIME: ("The ", " root cause occurrence time is within 1 minutes (i.e., <=1min) of ", _LT),
-              V.FIELD_COMPONENT: ("The ", " predicted root cause component is ", "component"),
-              V.FIELD_REASON: ("The ", " predicted root cause reason is ", "reason")}
+
+
+def _around(template: str, name: str) -> tuple[str, str]:
+    """What stands before the index and between it and the value."""
+    before, _, rest = template.partition("{idx}")
+    return before, rest.partition("{" + name + "}")[0]
+
+
+_CRITERION = {V.FIELD_TIME: (*_around(V.CRITERION_TIME, "datetime"), _LT),
+              V.FIELD_COMPONENT: (*_around(V.CRITERION_COMPONENT, "component"), "component"),
+              V.FIELD_REASON: (*_around(V.CRITERION_REASON, "reason"), "reason")}
 cte("slot_records", """
-SELECT *, ts - ts % 1800 AS slot, count(*) OVER (PARTITION BY ts // 1800) AS num, row_number() OVER (PARTITION BY ts // 1800 ORDER BY ts, row_id) AS pos FROM records""")
+SELECT *, ts - ts % 1800 AS slot, count(*) OVER (PARTITION BY ts // 1800) AS num, row_number() OVER (PARTITION BY ts // 1800 ORDER BY ts, row_id) AS pos FROM records""", materialized=True)
 cte("slot_criteria", "WITH x AS (SELECT *, CASE WHEN num > 1 THEN pos || '-th' ELSE 'only' END AS idx FROM slot_records) " + " UNION ALL ".join(
     f"SELECT slot, '{task}' AS task_index, string_agg(" + " || chr(10) || ".join(
         f"'{_CRITERION[f][0]}' || idx || '{_CRITERION[f][1]}' || {_CRITERION[f][2]}" for f in fields)
-    + ", chr(10) ORDER BY pos) || chr(10) AS scoring_points FROM x GROUP BY slot" for task, fields in V.TASK_FIELDS.items()))
+    + ", chr(10) ORDER BY pos) || chr(10) AS scoring_points FROM x GROUP BY slot" for task, fields in V.TASK_FIELDS.items()), materialized=True)
 cte("generated", """
 SELECT r.row_id, c.task_index, num, strftime(make_timestamp((slot + 28800) * 1000000), '%Y-%m-%d %H:%M:%S') || ' to '
   || strftime(make_timestamp((slot + 30600) * 1000000), '%Y-%m-%d %H:%M:%S') AS time_period, scoring_points, slot
-FROM (SELECT *, 'task_' || (CAST('0x' || substr(md5('42:' || row_id), 1, 8) AS BIGINT) % 7 + 1) AS task_index FROM slot_records) r JOIN slot_criteria c USING (slot, task_index)""")
+FROM (SELECT *, 'task_' || (CAST('0x' || substr(md5('42:' || row_id), 1, 8) AS BIGINT) % 7 + 1) AS task_index FROM slot_records) r JOIN slot_criteria c USING (slot, task_index)""", materialized=True)
 
 
 def generated(spark, sf_dir):
@@ -54,7 +62,7 @@ cte("predictions", """
 WITH p AS (SELECT r.row_id, r.slot, q.pos, q.ts + CASE WHEN r.row_id % 2 = 0 THEN 30 ELSE 90 END + 28800 AS t,
   CASE WHEN r.row_id % 3 = 0 THEN 'frontend' ELSE q.component END AS component, q.reason FROM slot_records r JOIN slot_records q ON q.slot = r.slot)
 SELECT row_id, '{' || string_agg('"' || pos || '": {"root cause occurrence datetime": "' || strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S')
-  || '", "root cause component": "' || component || '", "root cause reason": "' || reason || '"}', ', ' ORDER BY pos DESC) || '}' AS prediction FROM p GROUP BY row_id""")
+  || '", "root cause component": "' || component || '", "root cause reason": "' || reason || '"}', ', ' ORDER BY pos DESC) || '}' AS prediction FROM p GROUP BY row_id""", materialized=True)
 
 
 def predictions(spark, sf_dir):
@@ -79,7 +87,7 @@ def predictions(spark, sf_dir):
 
 cte("parsed", """
 SELECT row_id, unnest(regexp_extract_all(prediction, 'datetime": "(.*?)"', 1)) AS t, unnest(regexp_extract_all(prediction, 'component": "(.*?)"', 1)) AS component,
-  unnest(regexp_extract_all(prediction, 'reason": "(.*?)"', 1)) AS reason, unnest(range(len(regexp_extract_all(prediction, 'reason": "(.*?)"', 1)))) AS j FROM predictions""")
+  unnest(regexp_extract_all(prediction, 'reason": "(.*?)"', 1)) AS reason, unnest(range(len(regexp_extract_all(prediction, 'reason": "(.*?)"', 1)))) AS j FROM predictions""", materialized=True)
 
 
 @query("scl26_prediction_extract", """
@@ -97,22 +105,22 @@ def row_alignment(spark, sf_dir):
 cte("wanted", """
 WITH g AS (SELECT row_id, regexp_extract_all(scoring_points, 'component is ([^\\n]+)', 1) AS c, regexp_extract_all(scoring_points, 'reason is ([^\\n]+)', 1) AS r,
   regexp_extract_all(scoring_points, 'of (\\d{4}-[^\\n]+)', 1) AS t FROM generated)
-SELECT row_id, c, r, t, greatest(len(c), len(r), len(t)) AS n, len(c) + len(r) + len(t) AS total FROM g""")
+SELECT row_id, c, r, t, greatest(len(c), len(r), len(t)) AS n, len(c) + len(r) + len(t) AS total FROM g""", materialized=True)
 cte("orders", """
 WITH RECURSIVE p(n, perm) AS (SELECT n, []::BIGINT[] FROM (SELECT DISTINCT n FROM wanted WHERE n > 0)
   UNION ALL SELECT n, list_append(perm, j) FROM p, (SELECT unnest(range((SELECT max(n) FROM wanted))) AS j) WHERE len(perm) < n AND j < n AND NOT list_contains(perm, j))
-SELECT n, row_number() OVER (PARTITION BY n ORDER BY perm) - 1 AS k, perm FROM p WHERE len(perm) = n""")
+SELECT n, row_number() OVER (PARTITION BY n ORDER BY perm) - 1 AS k, perm FROM p WHERE len(perm) = n""", materialized=True)
 cte("pred_lists", """
-SELECT row_id, list(component ORDER BY j) AS pc, list(reason ORDER BY j) AS pr, list(t ORDER BY j) AS pt, count(*) AS np FROM parsed GROUP BY row_id""")
+SELECT row_id, list(component ORDER BY j) AS pc, list(reason ORDER BY j) AS pr, list(t ORDER BY j) AS pt, count(*) AS np FROM parsed GROUP BY row_id""", materialized=True)
 cte("tried", """
 WITH x AS (SELECT w.row_id, w.n, total, k, unnest(range(w.n)) AS i, unnest(perm) AS j, c, r, t, pc, pr, pt FROM wanted w JOIN pred_lists p ON p.row_id = w.row_id AND p.np = w.n JOIN orders o ON o.n = w.n),
 h AS (SELECT row_id, k, total, i, CASE WHEN len(c) = n AND c[i + 1] = pc[j + 1] THEN c[i + 1] END AS hc, CASE WHEN len(r) = n AND r[i + 1] = pr[j + 1] THEN r[i + 1] END AS hr,
   CASE WHEN len(t) = n AND abs(epoch(CAST(t[i + 1] AS TIMESTAMP)) - epoch(CAST(pt[j + 1] AS TIMESTAMP))) <= 60 THEN t[i + 1] END AS ht FROM x)
 SELECT row_id, k, sum((hc IS NOT NULL)::INT + (hr IS NOT NULL)::INT + (ht IS NOT NULL)::INT) AS got,
-  coalesce(string_agg(nullif(concat_ws('|', hc, hr, ht), ''), '|' ORDER BY i), '') AS passed FROM h GROUP BY ALL""")
+  coalesce(string_agg(nullif(concat_ws('|', hc, hr, ht), ''), '|' ORDER BY i), '') AS passed FROM h GROUP BY ALL""", materialized=True)
 cte("scored", """
 WITH b AS (SELECT row_id, arg_max(got, (got, -k)) AS got, arg_max(passed, (got, -k)) AS passed FROM tried GROUP BY ALL)
-SELECT w.row_id, CASE WHEN total > 0 THEN round_even(coalesce(got, 0) / total, 2) END AS score, coalesce(passed, '') AS passed, w.c, w.r, w.t FROM wanted w LEFT JOIN b USING (row_id)""")
+SELECT w.row_id, CASE WHEN total > 0 THEN round_even(coalesce(got, 0) / total, 2) END AS score, coalesce(passed, '') AS passed, w.c, w.r, w.t FROM wanted w LEFT JOIN b USING (row_id)""", materialized=True)
 
 
 def aligned(spark, sf_dir):
@@ -158,6 +166,20 @@ def score_by_task(spark, sf_dir):
     return E.score_by_task(scored(spark, sf_dir))
 
 
+@query("src13_score_report", """
+SELECT time_period AS query, prediction AS answer, scoring_points AS groundtruth, CASE WHEN passed = '' THEN '[]' ELSE to_json(string_split(passed, '|'))::VARCHAR END AS passed,
+  score::DOUBLE AS score, task_index FROM scored JOIN generated USING (row_id) JOIN predictions USING (row_id)""")
+def score_report(spark, sf_dir):
+    from sonde.plans.queries_sources import _folder
+    from sonde.sources import telemetry as TM
+
+    def write(path):
+        rows = E.score_predictions(aligned(spark, sf_dir)).withColumn("instruction", F.col("time_period"))
+        TM.append_report(rows.filter("row_id % 2 = 0"), path)
+        TM.append_report(rows.filter("row_id % 2 = 1"), path)
+    return TM.read_report(spark, _folder(spark, sf_dir, "report", write)).drop("failed")
+
+
 # ------------------------------------------------------------------ truth and match rates
 cte("truth", """
 SELECT i.incident_id, arg_min(component, (ts, row_id)) AS component, arg_min(reason, (ts, row_id)) AS reason, min(ts) AS ts FROM incidents i JOIN records r ON r.ts BETWEEN i.start_ts AND i.end_ts GROUP BY ALL""")

@@ -153,17 +153,17 @@ SELECT {C}, kpi, start_ts, sustained_ts, CASE WHEN n <= 1 OR peak <= 0 THEN t0 E
 
 
 def onsets(spark, sf_dir):
-    return stage(spark, sf_dir, "seg_onsets", lambda: RK.segment_onsets(QD.segments(spark, sf_dir)))
+    return QD.segments(spark, sf_dir)
 
 
 @query("win12_sustained_onset", f"SELECT {C}, kpi, start_ts, sustained_ts FROM seg_onsets")
 def sustained_onset(spark, sf_dir):
-    return RK.segment_onsets(QD.segments(spark, sf_dir)).select("incident_id", "component", "kpi", "start_ts", "sustained_ts")
+    return onsets(spark, sf_dir).select("incident_id", "component", "kpi", "start_ts", "sustained_ts")
 
 
 @query("win13_steepest_onset", f"SELECT {C}, kpi, start_ts, steepest_ts FROM seg_onsets")
 def steepest_onset(spark, sf_dir):
-    return RK.segment_onsets(QD.segments(spark, sf_dir)).select("incident_id", "component", "kpi", "start_ts", "steepest_ts")
+    return onsets(spark, sf_dir).select("incident_id", "component", "kpi", "start_ts", "steepest_ts")
 
 
 cte("seg_full", f"SELECT s.*, sustained_ts, steepest_ts, i.end_ts - i.start_ts AS len FROM segments_b s JOIN seg_onsets USING ({C}, kpi, start_ts) JOIN incidents i ON i.incident_id = s.incident_id")

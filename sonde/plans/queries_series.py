@@ -24,8 +24,8 @@ FROM metrics m JOIN incidents i ON m.ts BETWEEN i.start_ts AND i.end_ts""")
 
 @query("scl1_window_filter", "SELECT incident_id, component, kpi, count(*) AS n FROM in_window GROUP BY ALL")
 def window_filter(spark, sf_dir):
-    return WN.window_join(T.raw_metrics(spark, sf_dir).groupBy("component", "kpi", "day", "ts").agg(
-        F.avg("value").alias("value")), T.incidents(spark, sf_dir)).groupBy(
+    inside = WN.window_join(T.raw_metrics(spark, sf_dir), T.incidents(spark, sf_dir))
+    return inside.select("incident_id", "component", "kpi", "ts").distinct().groupBy(
         "incident_id", "component", "kpi").agg(F.count("*").alias("n"))
 
 

@@ -211,15 +211,29 @@ def json_append(spark, sf_dir):
         "row_id", "component", "reason", F.array_join("words", "|").alias("words"))
 
 
+@query("src13_case_files", "SELECT CAST(incident_id AS BIGINT) AS case_id, start_ts, end_ts FROM incidents")
+def case_files(spark, sf_dir):
+    path = _folder(spark, sf_dir, "case-files", lambda p: TM.write_case_files(T.incidents(spark, sf_dir).withColumnRenamed("incident_id", "case_id"), p))
+    return spark.read.schema("case_id BIGINT, start_ts BIGINT, end_ts BIGINT").json(path)
+
+
 def short_incidents(spark, sf_dir):
-    """One-hour windows inside the incident days."""
-    return T.incidents(spark, sf_dir).select(
-        "incident_id", (F.col("start_ts") + 21600).alias("start_ts"),
-        (F.col("start_ts") + 21600 + 3599).alias("end_ts"))
+    """The one-hour windows of all days."""
+    hours = T.incidents(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(23).cast("bigint"))).alias("h"))
+    start = F.col("start_ts") + 3600 * F.col("h")
+    return hours.select((F.col("incident_id") * 24 + F.col("h")).alias("incident_id"), start.alias("start_ts"), (start + 3599).alias("end_ts"))
 
 
 cte("short_incidents", """
-SELECT incident_id, start_ts + 21600 AS start_ts, start_ts + 21600 + 3599 AS end_ts FROM incidents""")
+SELECT incident_id * 24 + h AS incident_id, start_ts + 3600 * h AS start_ts, start_ts + 3600 * h + 3599 AS end_ts FROM incidents, unnest(range(24)) AS u(h)""")
+
+
+def day_files(spark, sf_dir):
+    """Files that hold the telemetry of a day: one for each KPI, one of spans, one of logs."""
+    day = F.floor(F.col("ts") / 86400).cast("bigint").alias("day")
+    kind = lambda df, name, file: df.select(day, F.lit(name).alias("kind"), file.alias("file_name")).distinct()
+    return kind(T.raw_metrics(spark, sf_dir), "metric", F.col("kpi")).unionByName(
+        kind(T.event_spans(spark, sf_dir), "trace", F.lit("trace_span"))).unionByName(kind(T.logs(spark, sf_dir), "log", F.lit("log_service")))
 
 
 @query("src14_data_quality", """
@@ -231,20 +245,23 @@ s AS (SELECT incident_id, count(*) AS metric_series, sum(hit) AS in_window FROM
 t AS (SELECT i.incident_id, count(*) AS n FROM event_spans e JOIN short_incidents i
       ON e.ts BETWEEN i.start_ts AND i.end_ts GROUP BY ALL),
 l AS (SELECT i.incident_id, count(*) AS n FROM logs e JOIN short_incidents i
-      ON e.ts BETWEEN i.start_ts AND i.end_ts GROUP BY ALL)
-SELECT i.incident_id, coalesce(metric_series, 0) AS metric_series,
+      ON e.ts BETWEEN i.start_ts AND i.end_ts GROUP BY ALL),
+f AS (SELECT day, count(DISTINCT kpi) AS n FROM raw_metrics GROUP BY day),
+tf AS (SELECT DISTINCT ts // 86400 AS day FROM event_spans), lf AS (SELECT DISTINCT ts // 86400 AS day FROM logs)
+SELECT i.incident_id, coalesce(f.n, 0) AS metric_files, (tf.day IS NOT NULL)::BIGINT AS trace_files, (lf.day IS NOT NULL)::BIGINT AS log_files, coalesce(metric_series, 0) AS metric_series,
        CAST(coalesce(in_window, 0) AS BIGINT) AS series_with_window_rows,
        coalesce(t.n, 0) AS trace_rows, coalesce(l.n, 0) AS log_rows,
-       round((CASE WHEN coalesce(metric_series, 0) > 0 THEN 0.7 ELSE 0 END)
+       round((CASE WHEN coalesce(f.n, 0) > 0 THEN 0.35 ELSE 0 END) + (CASE WHEN coalesce(metric_series, 0) > 0 THEN 0.35 ELSE 0 END)
            + (CASE WHEN coalesce(in_window, 0) > 0 THEN 0.15 ELSE 0 END)
-           + (CASE WHEN coalesce(t.n, 0) > 0 THEN 0.1 ELSE 0 END)
-           + (CASE WHEN coalesce(l.n, 0) > 0 THEN 0.05 ELSE 0 END), 4) + 0.0 AS quality
+           + (CASE WHEN tf.day IS NOT NULL THEN 0.1 ELSE 0 END)
+           + (CASE WHEN lf.day IS NOT NULL THEN 0.05 ELSE 0 END), 4) + 0.0 AS quality
 FROM short_incidents i LEFT JOIN s USING (incident_id) LEFT JOIN t USING (incident_id)
-LEFT JOIN l USING (incident_id)""".replace(" AS quality", "::DOUBLE AS quality"))
+LEFT JOIN l USING (incident_id) LEFT JOIN f ON f.day = i.start_ts // 86400 LEFT JOIN tf ON tf.day = i.start_ts // 86400
+LEFT JOIN lf ON lf.day = i.start_ts // 86400""".replace(" AS quality", "::DOUBLE AS quality"))
 def data_quality(spark, sf_dir):
     from sonde.operators.stats import data_quality as profile
     return profile(short_incidents(spark, sf_dir), T.raw_metrics(spark, sf_dir),
-                   T.event_spans(spark, sf_dir), T.logs(spark, sf_dir))
+                   T.event_spans(spark, sf_dir), T.logs(spark, sf_dir), day_files(spark, sf_dir))
 
 
 _TYPE_ORDER = "CASE ctype WHEN 'db' THEN 0 WHEN 'redis' THEN 1 WHEN 'service' THEN 2 WHEN 'middleware' THEN 3 ELSE 5 END"

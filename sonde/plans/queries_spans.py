@@ -90,6 +90,11 @@ def latency_outliers(spark, sf_dir):
         "anomaly_score", S.rounded(F.col("anomaly_score"), 6))
 
 
+@query("agg15_duration_distribution", "SELECT incident_id, component, duration, count(*) AS n FROM inc_spans GROUP BY ALL")
+def duration_distribution(spark, sf_dir):
+    return SP.duration_distribution(incident_spans(spark, sf_dir))
+
+
 @query("agg15_latency_profile", """
 SELECT incident_id, component, round(avg(duration), 6) AS avg_duration, max(duration) AS max_duration, count(*) AS span_count,
   count(DISTINCT duration) AS distinct_durations FROM inc_spans GROUP BY ALL""")
@@ -156,10 +161,10 @@ def trace_roots(spark, sf_dir):
 
 @query("join6_semi_join_sampling", """
 SELECT incident_id, trace_id, span_id, component FROM inc_spans
-WHERE (incident_id, trace_id) IN (SELECT (incident_id, trace_id) FROM inc_spans WHERE NOT success)""")
+JOIN (SELECT DISTINCT incident_id, trace_id FROM inc_spans WHERE NOT success) AS failed USING (incident_id, trace_id)""")
 def semi_join(spark, sf_dir):
     s = incident_spans(spark, sf_dir)
-    chosen = s.filter(~F.col("success")).select("incident_id", "trace_id")
+    chosen = s.filter(~F.col("success")).select("incident_id", "trace_id").distinct()
     return s.join(chosen, ["incident_id", "trace_id"], "left_semi").select(
         "incident_id", "trace_id", "span_id", "component")
 

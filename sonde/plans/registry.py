@@ -11,15 +11,19 @@ import re
 QUERIES: dict = {}
 CHECKS: dict = {}
 FRAGMENTS: dict[str, str] = {}
+#: Relations that a check computes once, however often it reads them.
+MATERIALIZED: set[str] = set()
 
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
-def cte(name: str, sql: str) -> None:
+def cte(name: str, sql: str, materialized: bool = False) -> None:
     """Register a named SQL relation; it may mention relations registered before it."""
     if name in FRAGMENTS:
         raise ValueError(f"duplicate relation {name}")
     FRAGMENTS[name] = sql.strip()
+    if materialized:
+        MATERIALIZED.add(name)
 
 
 def _needed(sql: str) -> list[str]:
@@ -63,7 +67,7 @@ def nudge_rounds(sql: str) -> str:
 def with_relations(sql: str) -> str:
     sql = sql.strip()
     names = _needed(sql)
-    body = ",\n".join(f"{n} AS (\n{FRAGMENTS[n]}\n)" for n in names)
+    body = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in MATERIALIZED)}(\n{FRAGMENTS[n]}\n)" for n in names)
     if names and re.match(r"WITH RECURSIVE\b", sql):
         sql = f"WITH RECURSIVE {body},\n{sql[15:]}"
     elif names and re.match(r"WITH\b", sql):

@@ -137,6 +137,30 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+REPORT = ("query", "answer", "groundtruth", "passed", "failed", "score", "task_index")
+
+
+def score_report(scored: DataFrame) -> DataFrame:
+    """Report rows of scored tasks (instruction, prediction, scoring_points, passed, failed, score, task_index)."""
+    return scored.select(F.col("instruction").alias("query"), F.col("prediction").alias("answer"), F.col("scoring_points").alias("groundtruth"),
+                         F.to_json("passed").alias("passed"), F.to_json("failed").alias("failed"), "score", "task_index")
+
+
+def append_report(scored: DataFrame, path: str) -> None:
+    """Append the report rows to a CSV folder with a header in each file."""
+    score_report(scored).write.mode("append").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    schema = ", ".join(f"{c} {'DOUBLE' if c == 'score' else 'STRING'}" for c in REPORT)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_case_files(cases: DataFrame, path: str, key: str = "case_id") -> None:
+    """One JSON folder for each case, named by its key."""
+    cases.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+
+
 def graph_export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON document per incident with its nodes and edges (bounded by components)."""
     n = nodes.groupBy("incident_id").agg(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sonde.operators import detect as DT
 from sonde.operators import graph as G
 from sonde.operators import hypotheses as H
 from sonde.operators import rank as RK
@@ -45,8 +46,10 @@ def test_influence_on_a_cyclic_graph(spark, depth):
     assert got == pytest.approx(want)
 
 
-def test_closure_and_distances(spark):
-    reach = {(r.origin, r.node) for r in G.closure(edges(spark)).collect()}
+def test_reach_and_distances(spark):
+    every = spark.createDataFrame([(1, n) for n in NODES], "incident_id int, component string")
+    reach = {(r.origin, r.node) for r in G.reach_from(edges(spark), every).collect()}
+    assert {(r.origin, r.node) for r in G.reach_from(edges(spark), every.filter("component IN ('a', 'alone')")).collect()} == {x for x in reach if x[0] == "a"}
     assert reach == {(o, n) for o in NODES for a, b, _ in EDGES if a == o for n in widest(b, 20)}
     calls = spark.createDataFrame([(1, "a", "b", 1), (1, "b", "c", 1), (1, "a", "x", 1), (1, "x", "c", 1), (1, "z", "y", 1)],
                                   "incident_id int, caller string, callee string, calls long")
@@ -146,10 +149,13 @@ def test_select_causes_for_any_number(spark):
 
 
 def test_onset_rules(spark):
-    cases = [[0.1, 0.35, 0.1, 0.4, 0.2], [0.1, 0.31], [0.1, 0.2], [0.0, 0.1, 0.9, 1.0], [0.5]]
-    df = spark.createDataFrame([(i, [(j * 10, d) for j, d in enumerate(c)]) for i, c in enumerate(cases)], "i int, p array<struct<ts:long,deviation:double>>")
-    out = df.select("i", RK.sustained_onset(F.col("p")).alias("a"), RK.steepest_onset(F.col("p")).alias("b")).orderBy("i").collect()
-    assert [r.a for r in out] == [30, 10, 0, 20, 0]
+    late = [0.1] * 14 + [0.2, 0.9, 0.95, 0.4]
+    cases = [[0.1, 0.35, 0.1, 0.4, 0.2], [0.1, 0.31], [0.1, 0.2], [0.0, 0.1, 0.9, 1.0], [0.5], late]
+    rows = [(1, "c", f"k{i}", j * 10, 1.0, d, "high", 1.0, 10) for i, c in enumerate(cases) for j, d in enumerate(c)]
+    points = spark.createDataFrame(rows, "incident_id int, component string, kpi string, ts long, value double, deviation double, "
+                                         "direction string, threshold double, median_gap long")
+    out = DT.segments_b(points, [], beta=-1.0, min_points=1).orderBy("kpi").collect()
+    assert [r.sustained_ts for r in out] == [30, 10, 0, 20, 0, 150] and [len(r.points) for r in out] == [min(10, len(c)) for c in cases]
 
     def steep(c):
         if len(c) == 1:
@@ -161,7 +167,7 @@ def test_onset_rules(spark):
                 best, at = c[i + 1] - c[i], i
         return at * 10
 
-    assert [r.b for r in out] == [steep(c) for c in cases]
+    assert [r.steepest_ts for r in out] == [steep(c) for c in cases]
 
 
 def test_widest_paths_of_all_small_graphs_agree_with_enumeration():
