@@ -84,7 +84,8 @@ def links(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
     # buckets of one member, nearly all, go first; the others get their commonest fingerprint and one by another order
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp"))["fp"].alias("pivot"),
                                        F.max(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("pivot2")).filter("n > 1").drop("n")
-    shared = written(keyed.drop("copies").join(buckets, "key"), "shared")
+    # without the hint Spark may broadcast the exploded keys: it takes them for as small as the fingerprints' file
+    shared = written(keyed.drop("copies").join(buckets.hint("merge"), "key"), "shared")
     stars = None
     for pivot in ("pivot", "pivot2"):
         found = (shared.filter((F.col("fp") != F.col(pivot)) & (_far(F.col("fp"), F.col(pivot)) <= radius))
