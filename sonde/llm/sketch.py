@@ -24,7 +24,7 @@ from sonde.llm.common import WORD, table, written
 
 WIDTH, SCALE = 5, 4
 #: Id ranges by quantile (a power of two), and rows above which a range is cut further.
-RANGES, RANGE_ROWS = 256, 20_000
+RANGES, RANGE_ROWS = 1024, 5_000
 _TOP = -(1 << 63)
 
 
