@@ -23,7 +23,7 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and most copies of a document.
 SHARE, CAP = 1.5, 2
 #: Ranges in which the Pareto order of a source is summed before the cut is searched in one of them.
-BINS = 4096
+BINS = 1024
 
 
 def uniform(key: Column, seed: int) -> Column:
