@@ -31,5 +31,6 @@ def sample(docs: DataFrame, labels: DataFrame, only: Column, most: int, bits: in
             found = [grams.vector(t) for t in batch]
             return [[s.tobytes() for s, _ in found], [v.tobytes() for _, v in found]], None
         return run
-    rows = map_texts(texts, build, "slots binary, values binary").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    rows = map_texts(texts, build, "slots binary, values binary").join(F.broadcast(chosen), "doc_id").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [(r["label"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows]
