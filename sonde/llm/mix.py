@@ -75,6 +75,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     cuts = (summed.withColumn("below", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
             .filter((F.col("below") <= F.col("lack")) & (F.col("below") + F.col("words") > F.col("lack")))
             .select(F.col("goal_source").alias("cut_source"), F.col("bin").alias("cut_bin"), "below"))
+    # written, as the targets are: of known size, so that the rows need not be shuffled by source to meet them
+    cuts = written(cuts, "mix-cuts")
     cut = ranked.join(cuts, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left")
     outside = cut.filter(~F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False)))
     inside = cut.filter(F.col("bin") == F.col("cut_bin"))
