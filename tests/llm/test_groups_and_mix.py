@@ -238,3 +238,18 @@ def check_packing(rows, ids, twice=None, check_offsets=True):
 def test_kept_ids(spark):
     rows = packing.pieces(cases.edge(spark), capacity=16, keep_ids=True).collect()
     assert all(len(r["ids"]) == r["length"] <= 16 for r in rows)
+
+
+def test_added_tokens_are_met_in_the_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"in{end}side", end * 3, f"{end} {end}\n\n{end}", f"two  {end}  spaces \n{end}", "<|endoftext|", f"<|{end}|>",
+             "<|ENDOFTEXT|>", f"na\u00efve{end}\U0001F600", f"word {end} " * 3000]
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert ids[0] == [50256, 0] and ids[1] == [64, 220, 50256, 275, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(packing.packed(docs).collect(), ids)
+    whole = {r["doc_id"]: r["ids"] for r in packing.pieces(docs, capacity=1 << 20, keep_ids=True).collect()}
+    assert whole == ids
