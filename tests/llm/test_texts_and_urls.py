@@ -190,3 +190,24 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(cascade.levels) > 2
     wrong = universe.filter(cascade.has(F.col("key")) != F.col("key").isin(listed))
     assert wrong.count() == 0
+
+
+def test_backoff_with_trigrams_against_sql(spark):
+    cases.same_as_sql(spark, ngrams.op1_stupid_backoff_trigrams, ngrams.TRIGRAMS_SQL)
+
+
+def test_backoff_with_trigrams_reads_two_words_back(spark):
+    """Few words in many orders: most bigrams occur elsewhere, some trigrams do not."""
+    docs = [(1, "a b c a b d"), (2, "b c a b d a"), (3, "a b d a b c"), (4, "c a b c"), (5, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = sorted(ngrams.scored(frame, ngrams.ORDER_WHOLE).collect(), key=lambda r: r["doc_id"])
+    assert [(r["n_words"], r["log_score"]) for r in rows] == plain_scores([t for _, t in docs], ngrams.ORDER_WHOLE)
+
+
+def test_small_encodings_lose_nothing():
+    rng = np.random.default_rng(5)
+    for keys in ([], [0], [2 ** 64 - 1], range(300), [0, 1, 2 ** 63, 2 ** 64 - 1], np.unique(rng.integers(0, 2 ** 64, 5000, dtype=np.uint64)),
+                 np.unique(rng.integers(0, 2 ** 52, 5000, dtype=np.uint64)) + np.uint64(3 << 60)):
+        keys = np.array(keys, dtype=np.uint64)
+        assert np.array_equal(ngrams.from_hashes(ngrams.sorted_hashes(keys)), keys)
+    assert ngrams.from_small(ngrams.small_numbers(np.array([0, 1, 254, 255, 256, 10 ** 12]))).tolist() == [0, 1, 254, 255, 256, 10 ** 12]
