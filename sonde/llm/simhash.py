@@ -118,14 +118,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one row of each component kept: that of the smallest doc_id.
+    """The rows of ``docs`` with one row of each component kept: the smallest by doc_id, then by a hash of all columns.
 
-    Of rows that share this doc_id any one stays; rows without a doc_id all stay.
+    A row counts by itself, also if others share its doc_id. Of a component's rows
+    without a doc_id one stays too.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*cols, *[c.isNull() for c in cols])
+    rows = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row.alias("hash")))
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    numbered = found.filter("NOT doc_id.no_id AND doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    others = found.filter("doc_id.no_id").groupBy("component_id").agg(F.min("doc_id").alias("_row")).select("_row")
+    first = numbered.unionByName(others).distinct()
+    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def op8_simhash_groups(spark, sf_dir):

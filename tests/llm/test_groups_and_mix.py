@@ -253,3 +253,13 @@ def test_added_tokens_are_met_in_the_text(spark):
     check_packing(packing.packed(docs).collect(), ids)
     whole = {r["doc_id"]: r["ids"] for r in packing.pieces(docs, capacity=1 << 20, keep_ids=True).collect()}
     assert whole == ids
+
+
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    """5A is a copy of 3, 5B and 5C stand alone; of rows without doc_id, one of each group stays."""
+    text = {c: " ".join(f"{c}{i * i % 89}" for i in range(60)) for c in "abcde"}
+    rows = [(3, text["a"], "en", "s", 1), (5, text["a"], "en", "s", 1), (5, text["b"], "en", "s", 1), (5, text["c"], "en", "s", 1),
+            (None, text["d"], "en", "s", 1), (None, text["d"], "en", "s", 1), (None, text["e"], None, "s", 1), (None, text["e"], "s", None, 1)]
+    for parts in (1, 5):
+        kept = simhash.deduplicated(spark.createDataFrame(rows, cases.COLUMNS).repartition(parts)).collect()
+        assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("3", "a"), ("5", "b"), ("5", "c"), ("None", "d"), ("None", "e")]
