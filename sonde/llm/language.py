@@ -17,16 +17,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import crc_of, map_texts, table
+from sonde.llm.common import crc_of, map_texts, table, written
 
 #: Bytes of a window, units of a direction.
 STEPS, UNITS = 64, 8
-#: Documents learned from for each language and languages at most, windows of each document.
-PER_LANGUAGE, MOST_LANGUAGES, WINDOWS = 300, 500, 6
+#: Documents learned from for each language, of all languages together (at least one of each), windows of each document.
+PER_LANGUAGE, OF_ALL, WINDOWS = 300, 150_000, 6
 BATCH, EPOCHS, RATE = 128, 6, 0.01
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
-#: Windows scored at once.
-WIDE = 2048
+#: Windows scored at once, up to so many languages; with more languages fewer.
+WIDE, MANY = 2048, 64
 
 
 def sigmoid(x):
@@ -156,15 +156,16 @@ def pooled(model: BiGru, texts: list) -> np.ndarray:
     """Mean probability of each language over the bytes of each text."""
     windows, full, owner = laid_out(texts)
     sums, steps = np.zeros((len(texts), len(model.b))), windows.shape[1]
-    for at in range(0, len(windows), WIDE):
-        part = windows[at:at + WIDE]
+    wide = max(1, WIDE * MANY // max(MANY, len(model.b)))
+    for at in range(0, len(windows), wide):
+        part = windows[at:at + wide]
         p = model.probabilities(model.states(part)[0])
-        ends = full[at:at + WIDE]
+        ends = full[at:at + wide]
         if (ends < steps).any():
             p *= (np.arange(steps)[:, None] < ends[None, :])[:, None, :]
         each = p.sum(axis=0, dtype=np.float64)
         for k in range(each.shape[0]):
-            sums[:, k] += np.bincount(owner[at:at + WIDE], each[k], len(texts))
+            sums[:, k] += np.bincount(owner[at:at + wide], each[k], len(texts))
     return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
 
 
@@ -173,11 +174,16 @@ def has_letter(text: str | None) -> bool:
 
 
 def sample(docs: DataFrame) -> list:
-    """(lang, windows as bytes) of a bounded number of documents of each language outside the held-out fold."""
-    known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (crc_of("doc_id") % FOLDS != HELD_OUT))
+    """(lang, windows as bytes) of a bounded number of documents of each language outside the held-out fold.
+
+    Every language has its documents of the lowest draw; many languages share ``OF_ALL``.
+    """
+    usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    known = docs.select("doc_id", "lang", "text").filter(usable & (crc_of("doc_id") % FOLDS != HELD_OUT)).select("doc_id", "lang")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    chosen = known.join(F.broadcast(counts), "lang").filter(draw < 1.5 * PER_LANGUAGE / F.col("n")).select("doc_id", "lang").distinct()
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("low")), "languages")
+    each = min(PER_LANGUAGE, OF_ALL / max(counts.count(), 1))
+    chosen = known.join(counts, "lang").filter((draw < 1.5 * each / F.col("n")) | (draw == F.col("low"))).select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def build():
@@ -200,7 +206,8 @@ def learned(docs: DataFrame) -> tuple[list[str], BiGru | None]:
     if not names:
         return [], None
     windows = np.concatenate([w for _, w in rows])
-    labels = np.repeat([names.index(lang) for lang, _ in rows], [len(w) for _, w in rows])
+    place = {lang: k for k, lang in enumerate(names)}
+    labels = np.repeat([place[lang] for lang, _ in rows], [len(w) for _, w in rows])
     return names, trained(windows, windows > 0, labels, len(names))
 
 

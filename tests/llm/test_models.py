@@ -195,3 +195,20 @@ def test_language_edge_rows(spark):
     assert language.learned(cases.empty(spark)) == ([], None)
     assert {r["lang_pred"] for r in language.identified(cases.edge(spark), [], None).collect()} == {"und"}
     assert language.identified(cases.empty(spark), names, model).count() == 0
+
+
+def test_every_language_is_learned_from(spark, monkeypatch):
+    """More languages than were learned before, one of them frequent; the rest keep one document at least."""
+    monkeypatch.setattr(language, "OF_ALL", 60, raising=False)
+    rows = [(i, f"text number {i} of language {i % 600}", f"l{i % 600}") for i in range(2400)] + [(5000 + i, f"word {i}", "big") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = {r["lang"] for r in docs.filter(crc_of("doc_id") % language.FOLDS != language.HELD_OUT).select("lang").distinct().collect()}
+    sampled = language.sample(docs)
+    assert len(taught) > 500 and {lang for lang, w in sampled if w} == taught and len(sampled) < 2 * len(taught)
+
+
+def test_pooling_does_not_depend_on_its_portions(monkeypatch):
+    model, texts = language.BiGru(90), ["abc " * 50, "d\u00e9j\u00e0 vu " * 400]
+    whole = language.pooled(model, texts)
+    monkeypatch.setattr(language, "WIDE", 3)
+    assert language.pooled(model, texts) == pytest.approx(whole, abs=1e-6)
