@@ -14,6 +14,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,13 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+_ADVERT = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE"""
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE", _ADVERT, 1)
+# the long ones, a file each
+TEXTS |= {file.name.removesuffix(".txt"): file.read_text(encoding="utf-8") for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
 # One-line notices.
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),

@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import llm_cases as cases
 import numpy as np
 import pytest
@@ -211,3 +212,14 @@ def test_small_encodings_lose_nothing():
         keys = np.array(keys, dtype=np.uint64)
         assert np.array_equal(ngrams.from_hashes(ngrams.sorted_hashes(keys)), keys)
     assert ngrams.from_small(ngrams.small_numbers(np.array([0, 1, 254, 255, 256, 10 ** 12]))).tolist() == [0, 1, 254, 255, 256, 10 ** 12]
+
+
+def test_long_license_texts_are_known(spark):
+    names = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    rows = [(i, "Copyright (c) 2020 Somebody\n" + licenses.TEXTS.get(n, n).replace("\n", "\n\n  ").upper()) for i, n in enumerate(names)]
+    found = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license"] for r in found] == names
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert con.execute(licenses.SQL + " ORDER BY doc_id").fetchall() == [tuple(r) for r in found]
