@@ -80,3 +80,10 @@ def test_instruction_parsing(spark):
     assert out[2].start_ts is None and out[3].start_ts is None
     assert out[3].failure_count == 3 and out[4].failure_count == 3
     assert len(out[4].target_fields) == 3
+
+
+def test_failure_count_without_a_cut(spark):
+    said = ["The number of failures is 12.", "five failures occurred", "0 failures were reported", "multiple failures", "one failure", "why?"]
+    tasks = spark.createDataFrame(list(enumerate(said)), "i int, instruction string")
+    for most, want in ((None, [12, 5, 1, 3, 1, 1]), (3, [3, 3, 1, 3, 1, 1]), (2, [2, 2, 1, 2, 1, 1])):
+        assert [r["failure_count"] for r in TK.failure_count(tasks, most).orderBy("i").collect()] == want
