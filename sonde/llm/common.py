@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonde.plans.stages import shared_folder, written  # noqa: F401  (re-exported: the folder all executors share)
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,33 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without it gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="sonde-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Fewest rows that make a key hot: one in so many of all rows. So there are at most as many hot keys.
+HOT = 10_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def meet(rows: DataFrame, totals: DataFrame, key: str, n: str, size: int) -> DataFrame:
+    """Inner join of ``rows`` (``size`` rows, read twice) with ``totals``, which has one row per key and its rows in ``n``.
 
-    Later steps re-read the files, so lost executors cost no re-computation and
-    Spark joins them by their real size.
+    A key of more than one in ``HOT`` rows, of which there are at most ``HOT``, meets its
+    rows where they are; the others are too small to weigh on the task they share.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    named = totals.withColumnRenamed(key, "_key").withColumn("_hot", F.col(n) * HOT > size).drop(n)
+    hot = F.broadcast(named.filter("_hot"))
+    marked = rows.join(hot, F.col(key).eqNullSafe(F.col("_key")), "left")
+    others = marked.filter("_hot IS NULL").select(rows.columns).join(named.filter("NOT _hot"), F.col(key).eqNullSafe(F.col("_key")))
+    return marked.filter("_hot").unionByName(others).drop("_key", "_hot")
+
 
+def crc_of_text(text: Column) -> Column:
+    """crc32 of a text's UTF-8."""
+    return F.crc32(text.cast("binary"))
 
 
 def crc_of(column: str) -> Column:
     """crc32 of a number written as text (null: of the empty text)."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+    return crc_of_text(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def count_words(text: Column) -> Column:
