@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
-from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,12 +31,18 @@ CAPACITY, CLOSING = 2048, 0
 PARTS, PART_ROWS = 64, 200_000
 
 
+#: White space as the vocabulary's pattern knows it, and the length from which a run of it is cut out by hand.
+BLANKS, LONG_RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1000
+
+
 def encoder(path: str | None = None):
     """The ranks file of the public byte-level vocabulary ``byte_bpe_50k`` as a function text -> ids.
 
     The library differs from the one that reads ``byte_bpe_50k.json`` (four times as
     fast); vocabulary, pattern, added tokens (read from the JSON, met anywhere in a
-    text) and ids are the same, which tests hold.
+    text) and ids are the same, which tests hold. Its pattern engine gives up on white
+    space of about a million characters: such texts are cut where the pattern cuts
+    them, before the last blank of a long run, or behind it at the end of a stretch.
     """
     import public_tokenizers
     import tiktoken
@@ -45,7 +51,29 @@ def encoder(path: str | None = None):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return partial(own.encode, allowed_special="all")
+    runs = re.compile(f"[{BLANKS}]{{{LONG_RUN},}}(?=([^{BLANKS}])?)")
+    stretches = re.compile("|".join(map(re.escape, added)) or "(?!)")
+
+    def stretch(text: str) -> list[int]:
+        """The ids of a text without added tokens."""
+        ids, at = [], 0
+        for run in runs.finditer(text):
+            end = run.end() - (run.group(1) is not None)
+            ids += own.encode_ordinary(text[at:run.start()])
+            ids += own._encode_single_piece(text[run.start():end].encode())
+            at = end
+        return ids + own.encode_ordinary(text[at:])
+
+    def encode(text: str) -> list[int]:
+        try:
+            return own.encode(text, allowed_special="all")
+        except ValueError:
+            ids, at = [], 0
+            for token in stretches.finditer(text):
+                ids += [*stretch(text[at:token.start()]), added[token.group()]]
+                at = token.end()
+            return ids + stretch(text[at:])
+    return encode
 
 
 def cut(length: int, capacity: int) -> list[int]:
