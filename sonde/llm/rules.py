@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonde.llm.common import WORD, keep_texts, map_texts, table
@@ -96,8 +96,9 @@ def fit(rows: list[tuple], bits: int = BITS) -> Model | None:
     return Model(weights.astype(np.float32), *platt(scores, labels[list(held)]))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return fit(sample(docs, labels, F.lit(True), MOST_ROWS, BITS, CHARS))
+def trained(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model | None:
+    """The model learned from the labelled rows for which ``use`` holds (all)."""
+    return fit(sample(docs, labels, F.lit(True) if use is None else use, MOST_ROWS, BITS, CHARS))
 
 
 def judge(docs: DataFrame, model: Model | None, threshold: float):
