@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import llm_cases as cases
 import numpy as np
@@ -111,6 +112,34 @@ def test_mix_edge_rows(spark):
     assert back.filter("doc_id = 4").count() == copies["4"] and mix.repeated(cases.empty(spark)).count() == 0
 
 
+def test_mix_does_not_depend_on_the_layout(spark):
+    """Rows that share a doc_id or have none: equal results over three layouts, and each source near its target after repeating."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join(["w"] * rng.randrange(0, 40)) + f" {i % 50}", "en", rng.choice(["a", "b", None]), 0) for i in range(600)]
+    rows += rows[:60]
+    found = set()
+    for parts in (1, 4, 9):
+        frame = spark.createDataFrame(rows, cases.COLUMNS).repartition(parts)
+        mixed = mix.mix(frame, share=0.7).collect()
+        found.add(str(sorted((str(r["doc_id"]), r["size"], str(r["source"]), r["copies"]) for r in mixed)))
+    assert len(found) == 1
+    words = Counter()
+    for r in mix.repeated(frame, share=0.7).collect():
+        words[r["source"]] += len(r["text"].split())
+    for source in ("a", "b", None):
+        own = [r for r in mixed if r["source"] == source]
+        assert words[source] == sum(r["taken"] for r in own)
+        assert abs(words[source] - own[0]["target"]) <= max(r["size"] for r in own) / 2
+
+
+def test_larger_documents_are_likelier(spark):
+    rows = [(i, "w " * (3 if i % 2 else 60), "en", "a", 0) for i in range(4000)]
+    taken = mix.mix(spark.createDataFrame(rows, cases.COLUMNS), share=0.4).collect()
+    small, large = ([r["copies"] for r in taken if r["size"] == n] for n in (3, 60))
+    # two and six binary digits: three times the chance
+    assert 2.5 < (sum(large) / len(large)) / (sum(small) / len(small)) < 3.5
+
+
 def test_targets_fill_up(spark):
     """Filling up by repeated sharing, as the definition has it."""
     sizes = {"a": 10, "b": 500, "c": 30, "d": 0, "e": 7, None: 200}
@@ -198,7 +227,6 @@ def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = cases.texts()
     ids = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for d, t in docs.items()}
     check_packing(packing.op5_best_fit_packing(spark, cases.SF).collect(), ids)
@@ -240,6 +268,16 @@ def test_kept_ids(spark):
     assert all(len(r["ids"]) == r["length"] <= 16 for r in rows)
 
 
+def test_long_white_space_is_cut_where_the_pattern_cuts():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    plain, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    n = 1_100_000
+    for text in (" " * n, "\n" * n, "x" + "\n" * n + "a b  \n" + "\t " * (n // 2) + "<|endoftext|>" + " " * n + " 9", "\u3000 " * (n // 2) + "é", " " * n + "a"):
+        assert own(text) == plain.encode(text, add_special_tokens=False).ids
+    assert len(own(" " * 10_000_000)) == 10_000_000 and len(own("a" * 3_000_000)) == 750_000
+
+
 def test_added_tokens_are_met_in_the_text(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

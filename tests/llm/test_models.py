@@ -92,7 +92,61 @@ def test_slots_and_dot_agree():
     for text in [None, "", "a", "a a a a", "Ein Satz, zwei Sätze!! \U0001F600", cases.LONG, "y" * 300_000]:
         slots, values = g.vector(text)
         assert g.dot(text, weights) == pytest.approx(float(weights[slots] @ values), rel=1e-4, abs=1e-4)
-    assert "".join(g.slices(cases.LONG)) == cases.LONG and max(map(len, g.slices("y" * 700_000))) == grams.SLICE
+
+
+def plain_families(text, bits, chars):
+    """Slots of the uni- and bigrams of tokens and of the character n-grams, listed one by one."""
+    mask, shift = (1 << 64) - 1, 64 - bits
+
+    def mixed(h):
+        h = ((h ^ h >> 32) * 0xD6E8FEB86659FD93) & mask
+        return h ^ h >> 29
+
+    def token(data):
+        total, power = 0, 1
+        for byte in data:
+            total, power = (total + (byte + 1) * power) & mask, (power * 0x9E3779B97F4A7C15) & mask
+        return mixed(total)
+    tokens = re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\x09-\x0d\x20]+", text.encode())
+    h = [token(t) for t in tokens]
+    pairs = [0x5851F42D4C957F2D if a == b else mixed((a * 0xA24BAED4963EE407 + b) & mask) for a, b in zip(h, h[1:])]
+    letters = []
+    for i in range(len(text) - chars + 1):
+        g = 0
+        for c in text[i:i + chars]:
+            g = (g * 0xD1342543DE82EF95 + ord(c) + 1) & mask
+        letters.append(mixed(g))
+    return [[x >> shift for x in family] for family in (h, pairs, letters)]
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 18])
+def test_families_equal_listed_ngrams(monkeypatch, size):
+    monkeypatch.setattr(grams, "SLICE", size)
+    g = grams.Grams(20, 3)
+    texts = ["", "a", "ab cd", "z" * 300, "Ein Satz, zwei  Sätze!! \U0001F600é\n\n&&& the the", " " * 40 + "x", "ä" * 50 + "," * 50]
+    if size == 1 << 18:
+        texts = ["wörd, of 12!! " * 40_000 + "é" * 300_000 + " " * 200_000 + "end"]
+        assert len(texts[0]) > 1_000_000
+    for text in texts:
+        assert [f.tolist() for f in g.families(text)] == plain_families(text, 20, 3)
+
+
+def test_training_vectors_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "MOST_SLOTS", 5)
+    docs = spark.createDataFrame([(1, "a " * 9 + " ".join(f"w{i}" for i in range(50)))], "doc_id long, text string")
+    (label, slots, values), = labelled.sample(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), crc_of("doc_id") >= 0, 9, 18)
+    assert label == 1 and len(slots) == len(values) == 5 and sorted(slots.tolist()) == slots.tolist() and values.max() > 1
+
+
+def test_rules_on_held_out_labels(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    quality = qualities()
+    rows = rules.judged(docs, rules.trained(docs, labels, crc_of("doc_id") % 4 != 0)).collect()
+    held = [(quality[r["doc_id"]], r["kept"]) for r in rows
+            if r["doc_id"] in quality and not r["base_failed"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0]
+    assert len(held) > 50
+    assert np.mean([kept for q, kept in held if q == 1]) > 0.95
+    assert np.mean([not kept for q, kept in held if q == 0]) > 0.85
 
 
 def test_token_hashes_tell_tokens_apart():

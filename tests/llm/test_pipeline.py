@@ -61,7 +61,6 @@ def test_every_copy_is_packed(stages):
     import public_tokenizers
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {r["doc_id"]: tokenizer.encode(r["text"], add_special_tokens=False).ids + [0] for r in stages["mix_sources"]}
     times = Counter(r["doc_id"] for r in stages["mix_sources"])
     first = {(r["doc_id"], r["piece"]): r for r in stages["pack"]}
