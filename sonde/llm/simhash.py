@@ -31,6 +31,8 @@ from sonde.llm.common import WORD, map_texts, table, written
 from sonde.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Members of a bucket compared with each other at most, and blocks that the bits left out by a larger bucket's key are cut into.
+MOST_MEMBERS, FINER = 500, 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -76,11 +78,54 @@ def _far(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def finer_masks(mask: int, blocks: int = FINER, radius: int = RADIUS) -> list[int]:
+    """``mask`` with every choice of ``blocks - radius`` blocks of the bits it leaves out, as signed longs."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = [sum(1 << b for b in free[len(free) * i // blocks:len(free) * (i + 1) // blocks]) for i in range(blocks)]
+    masks = {(mask % (1 << 64)) | sum(c) for c in itertools.combinations(parts, blocks - radius)}
+    return sorted(m - (1 << 64) if m >= 1 << 63 else m for m in masks)
+
+
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of (key, fp, root, ...) whose bucket holds several groups, with the bucket's size in ``members``."""
+    several = (rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+               .filter("low <> high").select("key", "members"))
+    return rows.join(several, "key")
+
+
+def small_buckets(rows: DataFrame, masks: list[int], radius: int = RADIUS) -> DataFrame:
+    """key, fp, root in buckets of few members that hold every linked pair of different groups of the buckets of ``rows``.
+
+    ``rows`` has key, fp, root, members, and its buckets' mask as a place in ``masks``. Every
+    round halves the bits that large buckets leave out; members differ, so it ends.
+    """
+    done = rows.filter(F.col("members") <= MOST_MEMBERS).select("key", "fp", "root")
+    large = rows.filter(F.col("members") > MOST_MEMBERS)
+    while not large.isEmpty():
+        # from each mask to its finer ones: as many rows as there are masks
+        used = [r["at"] for r in large.select("at").distinct().collect()]
+        finer = {at: finer_masks(masks[at], radius=radius) for at in used}
+        masks = sorted({m for found in finer.values() for m in found})
+        place = {m: i for i, m in enumerate(masks)}
+        steps = rows.sparkSession.createDataFrame([(at, [(place[m], m) for m in found]) for at, found in finer.items()],
+                                                  "at int, finer array<struct<at: int, mask: long>>")
+        dealt = (large.join(F.broadcast(steps), "at").select("key", "fp", "root", F.explode("finer").alias("to"))
+                 .select(F.xxhash64("key", "to.at", F.col("fp").bitwiseAND(F.col("to.mask"))).alias("key"), "fp", "root", F.col("to.at").alias("at")))
+        rows = written(mixed_buckets(dealt), "finer")
+        done = done.unionByName(rows.filter(F.col("members") <= MOST_MEMBERS).select("key", "fp", "root"))
+        large = rows.filter(F.col("members") > MOST_MEMBERS)
+    return done
+
+
 def links(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
     """fp, root of every fingerprint of ``fps`` (fp, copies: all different) that has a link."""
-    masks = F.array(*[F.lit(m) for m in block_masks(blocks, radius)])
+    numbers = block_masks(blocks, radius)
+    masks = F.array(*[F.lit(m) for m in numbers])
+
+    def key(choice, mask):
+        return F.xxhash64(choice, F.col("fp").bitwiseAND(mask))
     keyed = (fps.select("fp", "copies", F.posexplode(masks).alias("choice", "mask"))
-             .select("fp", "copies", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")))
+             .select("fp", "copies", key(F.col("choice"), F.col("mask")).alias("key")))
     # buckets of one member, nearly all, go first; the others get their commonest fingerprint and one by another order
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp"))["fp"].alias("pivot"),
                                        F.max(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("pivot2")).filter("n > 1").drop("n")
@@ -94,8 +139,10 @@ def links(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
     groups = written(components(stars), "groups")
     named = (shared.select("key", "fp").join(groups, F.col("fp") == F.col("node"), "left")
              .select("key", "fp", F.coalesce("root", "fp").alias("root")))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = written(named.join(mixed, "key"), "mixed")
+    left = written(mixed_buckets(named), "mixed")
+    # the choice of blocks behind a key is found again for members of large buckets only
+    choice = F.when(F.col("members") > MOST_MEMBERS, F.array_position(F.transform(masks, lambda m, i: key(i, m)), F.col("key")) - 1)
+    left = small_buckets(left.withColumn("at", choice.cast("int")), numbers, radius)
     largest = (left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
                .agg(F.max(F.struct("n", "root"))["root"].alias("top")))
     outside = (left.join(largest, "key").filter("root <> top")
