@@ -79,6 +79,21 @@ def test_links_of_a_hot_group(spark, blocks):
     assert len(set(zip(plain, ours))) == len(set(plain)) == len(set(ours))
 
 
+def test_links_of_a_large_bucket_without_a_group(spark, monkeypatch):
+    """Fingerprints that share three blocks but hardly any link: dealt anew, no link lost."""
+    monkeypatch.setattr(simhash, "MOST_MEMBERS", 20)
+    rng = random.Random(6)
+    fps = {(rng.getrandbits(37) << 27) | 0x2ABCDEF for _ in range(900)}
+    for base in sorted(fps)[::30]:
+        fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))))
+    fps = sorted(fps)
+    signed = [(f - (1 << 64) if f >= 1 << 63 else f, 1) for f in fps]
+    roots = {r["node"]: r["root"] for r in simhash.links(spark.createDataFrame(signed, "fp long, copies long"), 7).collect()}
+    plain = plain_components(list(enumerate(fps)))
+    ours = [roots.get(s, s) for s, _ in signed]
+    assert len(set(zip(plain, ours))) == len(set(plain)) == len(set(ours)) < len(fps)
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100), (200, 201), (201, 200)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
