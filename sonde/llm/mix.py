@@ -25,7 +25,7 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and most copies of a document.
 SHARE, CAP = 1.5, 2
 #: Rows in one of the ranges in which the Pareto order is summed, about, before the cut is searched in one of them.
-RANGE_ROWS, LEAST_RANGES = 100_000, 16
+RANGE_ROWS, LEAST_RANGES = 20_000, 64
 
 
 def number(digest: Column, at: int, digits: int) -> Column:
@@ -107,17 +107,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     cuts = (summed.withColumn("below", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
             .filter((F.col("below") <= F.col("lack")) & (F.col("below") + F.col("words") > F.col("lack")))
             .select(F.col("goal_source").alias("cut_source"), F.col("bin").alias("cut_bin"), "below"))
-    cuts = written(cuts, "mix-cuts")
-    cut = ranked.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    outside = cut.filter(~F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False)))
-    inside = cut.filter(F.col("bin") == F.col("cut_bin"))
-    in_order = Window.partitionBy("source").orderBy("order", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("below") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
-    # a document is taken while more than half of it is lacking
-    inside = inside.withColumn("extra", (2 * start + F.col("size") <= 2 * F.col("lack")).cast("int"))
-    outside = outside.withColumn("extra", F.coalesce(F.col("bin") < F.coalesce(F.col("cut_bin"), F.lit(ranges)), F.lit(False)).cast("int"))
+    rank = ["order", "doc_id", "size", "tie"]
+    near = (ranked.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bin") == F.col("cut_bin")))
+            .groupBy("source", "cut_bin", "below", "lack", *rank).agg(F.count("*").alias("times")))
+    in_order = Window.partitionBy("source").orderBy(*rank).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("below") + F.coalesce(F.sum(F.col("size") * F.col("times")).over(in_order), F.lit(0))
+    # a document is taken while more than half of it is lacking: of equal ones so many
+    fits = F.floor((2 * (F.col("lack") - F.col("start")) - F.col("size")) / (2 * F.col("size"))) + 1
+    first = (near.withColumn("start", start).withColumn("fit", F.greatest(fits, F.lit(0)))
+             .groupBy(F.col("source").alias("cut_source"), "cut_bin")
+             .agg(F.min(F.when(F.col("fit") < F.col("times"), F.struct(F.struct(*rank).alias("rank"), "fit"))).alias("cut")))
+    cuts = written(first.select("cut_source", "cut_bin", F.col("cut.rank").alias("cut_rank"), F.col("cut.fit").alias("fit")), "mix-cuts")
+    cut = ranked.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").withColumn("rank", F.struct(*rank))
+    # rows that fit in part, all equal, are counted off; the others know whether they lie before the cut
+    partly = F.coalesce((F.col("rank") == F.col("cut_rank")) & (F.col("fit") > 0), F.lit(False))
+    before = (F.col("bin") < F.coalesce(F.col("cut_bin"), F.lit(ranges))) | ((F.col("bin") == F.col("cut_bin")) & F.coalesce(F.col("rank") < F.col("cut_rank"), F.lit(True)))
+    some = cut.filter(partly).withColumn("extra", (F.row_number().over(Window.partitionBy("source").orderBy("order")) <= F.col("fit")).cast("int"))
+    others = cut.filter(~partly).withColumn("extra", F.coalesce(before, F.lit(False)).cast("int"))
     copies = F.coalesce(F.col("whole") + F.col("extra"), F.lit(0))
-    return (inside.unionByName(outside).withColumn("copies", copies.cast("long"))
+    return (some.unionByName(others).withColumn("copies", copies.cast("long"))
             .select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
                     *(["row"] if carry else [])))
 
