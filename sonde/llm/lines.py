@@ -47,7 +47,9 @@ def row_digest(docs: DataFrame) -> Column:
 
 def keyed(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """row (a digest of the document), doc_id, at (from 0), line (a digest of the key) of every long line."""
-    split = docs.select(row_digest(docs).alias("row"), "doc_id", F.posexplode(lines_of(docs["text"])).alias("at", "line"))
+    # the digest has a step of its own: beside the generator it would be computed for every line
+    known = docs.select(row_digest(docs).alias("row"), "doc_id", "text")
+    split = known.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     bare = F.btrim("line", F.lit(_SPACE))
     return (split.filter(F.length(bare) >= least_chars)
             .select("row", "doc_id", "at", F.unhex(F.md5(F.translate(bare, _UPPER, _LOWER).cast("binary"))).alias("line")))
@@ -132,16 +134,22 @@ def dropped(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = L
 
 
 def without(lines: Column, cut: Column) -> Column:
-    """The lines but those numbered in ``cut``, joined: the stretches between the numbers, each copied once."""
-    known = F.struct(lines.alias("lines"), F.concat(F.array(F.lit(-1)), cut, F.array(F.size(lines))).alias("cuts"))
-
-    def stretches(s):
-        def stretch(i):
-            before, now = F.element_at(s["cuts"], i), F.element_at(s["cuts"], i + 1)
-            return F.slice(s["lines"], before + 2, now - before - 1)
-        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(s["cuts"]) - 1), stretch)), "\n")
-    # an array of one struct, so that the text is split once and not for each stretch
-    return F.transform(F.array(known), stretches)[0]
+    """The lines but those numbered in ``cut``, joined, in time proportional to their number.
+
+    The numbers become one byte a line, 1 for a cut; a byte is read from its place, while slices
+    of an array copy it whole each time.
+    """
+    cuts = F.concat(F.array(F.lit(-1)), cut, F.array(F.size(lines)))
+    known = F.array(F.struct(lines.alias("lines"), cuts.alias("cuts")))  # one struct, so that the text is split once
+
+    def flagged(s):
+        zeros = F.transform(F.sequence(F.lit(1), F.size(s["cuts"]) - 1),
+                            lambda i: F.repeat(F.lit("0"), F.element_at(s["cuts"], i + 1) - F.element_at(s["cuts"], i) - 1))
+        return F.struct(s["lines"].alias("lines"), F.array_join(zeros, "1").cast("binary").alias("flags"))
+
+    def joined(s):
+        return F.array_join(F.filter(s["lines"], lambda line, i: F.substr(s["flags"], i + 1, F.lit(1)) == F.lit(b"0")), "\n")
+    return F.transform(F.transform(known, flagged), joined)[0]
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
