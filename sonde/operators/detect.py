@@ -59,8 +59,8 @@ def persistence_weight(points: Column, duration: Column, gap: Column, hint: Colu
             * F.when(F.contains(F.lower(kpi), F.lit("zabbix_agentd")), 0.35).otherwise(1.0))
 
 
-def segments_a(points: DataFrame, keep: int = 80) -> DataFrame:
-    """Islands of detector A with severity (sum + max) * persistence; top ``keep`` per incident."""
+def segments_a(points: DataFrame, keep: int | None = 80) -> DataFrame:
+    """Islands of detector A with severity (sum + max) * persistence; top ``keep`` per incident (None: all)."""
     runs = islands(points, KEYS, F.greatest(F.lit(180), F.col("median_gap") * 3))
     seg = runs.groupBy(*KEYS, "island", "median_gap", "reason_hint").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("points"),
@@ -201,8 +201,8 @@ def severity_idf(segments: DataFrame) -> DataFrame:
     return raw.withColumn("score", S.rounded(score, 6)).select("incident_id", "component", "score", "first_ts")
 
 
-def candidates(scores: DataFrame, cut: float = 0.05, keep: int = 30) -> DataFrame:
-    """Components above the cut, best ``keep`` per incident."""
+def candidates(scores: DataFrame, cut: float = 0.05, keep: int | None = 30) -> DataFrame:
+    """Components above the cut, best ``keep`` per incident (None: all)."""
     return top_k(scores.filter(F.col("score") > cut), ["incident_id"], [F.desc("score"), "component"], keep)
 
 
@@ -236,8 +236,8 @@ def layer_filter(cands: DataFrame, single_cut: float = 0.80) -> DataFrame:
 
 
 def layer_filter_weighted(cands: DataFrame, profiles: DataFrame, failure_count: int = 1,
-                          top: int = 4) -> DataFrame:
-    """Evidence-weighted filter: 0.65 severity + 0.35 local evidence, 58% cut, best per layer, width cap."""
+                          top: int | None = 4) -> DataFrame:
+    """Evidence-weighted filter: 0.65 severity + 0.35 local evidence, 58% cut, best per layer, width cap (top None: no cap)."""
     typed = (cands.join(profiles.select("incident_id", "component", "local_evidence"),
                         ["incident_id", "component"], "left")
              .withColumn("evidence", F.round(0.65 * F.col("score") + 0.35 * F.coalesce("local_evidence", "score"), 9))
@@ -250,6 +250,6 @@ def layer_filter_weighted(cands: DataFrame, profiles: DataFrame, failure_count:
     own = F.col("layer") == F.col("primary")
     keep = (F.col("evidence") >= 0.58 * F.col("best")) | (
         (own | (F.col("layer_score") >= 0.5 * F.col("best"))) & (F.col("component") == F.col("layer_best")))
-    width = max(top * 3, failure_count * 4, 8)
+    width = None if top is None else max(top * 3, failure_count * 4, 8)
     return top_k(df.filter(keep), ["incident_id"], [F.desc("evidence"), "component"], width).select(
         "incident_id", "component", "evidence", "layer", "primary", "rank")

@@ -16,8 +16,8 @@ def _confidence(state, n_for, n_against):
     return F.round(S.clamp(base + F.least(F.lit(0.1), 0.02 * n_for) - F.least(F.lit(0.3), 0.05 * n_against)), 9)
 
 
-def hypothesise(evidence: DataFrame, ranking: DataFrame, top: int = 5) -> DataFrame:
-    """One row per incident and node: the best scored nodes and the three best ranked."""
+def hypothesise(evidence: DataFrame, ranking: DataFrame, top: int | None = 5) -> DataFrame:
+    """One row per incident and node: the ``top`` best scored nodes (None: all) and the three best ranked."""
     node = evidence.select("incident_id", F.concat("component", F.lit("."), "kpi").alias("node"),
                            "final_score", "spectral_class")
     best = top_k(node, ["incident_id"], [F.desc("final_score"), "node"], top).filter("final_score >= 0.1")
@@ -80,7 +80,7 @@ def rerank(ranking: DataFrame, hypotheses: DataFrame) -> DataFrame:
         "incident_id", "node", "confidence")
     df = ranking.join(boost, ["incident_id", "node"], "left").withColumn(
         "new_score", S.rounded(F.col("root_score") * (1.0 + F.coalesce("confidence", F.lit(0.0))), 4))
-    return top_k(df, ["incident_id"], [F.desc("new_score"), "node"], 2 ** 31 - 1, "new_rank")
+    return top_k(df, ["incident_id"], [F.desc("new_score"), "node"], None, "new_rank")
 
 
 def verify_support(support: DataFrame) -> DataFrame:

@@ -63,14 +63,15 @@ def reason_evidence(counts: DataFrame, reasons) -> DataFrame:
         F.sum(F.col("_r.weight") * F.col("n")).alias("score")).filter("score IS NOT NULL")
 
 
-def template_counts(counts: DataFrame, keep: int = 50) -> DataFrame:
+def template_counts(counts: DataFrame, keep: int | None = 50) -> DataFrame:
+    """Most frequent ``keep`` templates of an incident (None: all)."""
     per = counts.withColumn("template_id", S.template_id(F.col("template"))).groupBy("incident_id", "template_id").agg(
         F.sum("n").alias("n"))
     return top_k(per, ["incident_id"], [F.desc("n"), "template_id"], keep)
 
 
-def template_sample(counts: DataFrame, keep: int = 80) -> DataFrame:
-    """Templates by weight 1, +4 with an error word, +2 with a resource word, per line."""
+def template_sample(counts: DataFrame, keep: int | None = 80) -> DataFrame:
+    """Templates by weight 1, +4 with an error word, +2 with a resource word, per line; first ``keep`` of an incident (None: all)."""
     low = F.lower("template")
     weight = (1 + F.when(S.has_any(low, V.TEMPLATE_ERROR_WORDS), 4).otherwise(0)
               + F.when(S.has_any(low, V.TEMPLATE_RESOURCE_WORDS), 2).otherwise(0))

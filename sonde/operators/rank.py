@@ -53,8 +53,8 @@ def top_confidence(ranking: DataFrame, quality: DataFrame) -> DataFrame:
     return g.join(quality, "incident_id", "left").select("incident_id", S.rounded(score, 6).alias("confidence"))
 
 
-def intervention_ranking_v2(nodes: DataFrame, evidence: DataFrame, edges: DataFrame, unexplained: DataFrame, top: int = 4) -> DataFrame:
-    """v2: .35 evidence + .20 source + .20 earliness + .25 unexplained; adaptive number kept."""
+def intervention_ranking_v2(nodes: DataFrame, evidence: DataFrame, edges: DataFrame, unexplained: DataFrame, top: int | None = 4) -> DataFrame:
+    """v2: .35 evidence + .20 source + .20 earliness + .25 unexplained; adaptive number kept (top None: all)."""
     hot = nodes.select("incident_id", F.col("component").alias("source"), F.col("score").alias("_p"))
     parents = edges.join(hot, ["incident_id", "source"]).groupBy("incident_id", F.col("target").alias("component")).agg(F.max("_p").alias("_pmax"))
     w = W.partitionBy("incident_id")
@@ -65,18 +65,19 @@ def intervention_ranking_v2(nodes: DataFrame, evidence: DataFrame, edges: DataFr
     early = F.exp(-(F.col("first_ts") - F.min("first_ts").over(w)) / 300.0)
     score = (0.35 * F.coalesce("evidence", "score") + 0.20 * source + 0.20 * early + 0.25 * F.coalesce("unexplained", F.lit(0.0)))
     ranked = _ranked(df.withColumn("root_score", S.rounded(S.clamp(score), 6)), "root_score")
-    keep = F.greatest(F.lit(top), F.ceil(F.sqrt(F.count("*").over(w))) + top)
-    return ranked.withColumn("kept", F.col("rank") <= keep).select(*KEYS, "score", "first_ts", "root_score", "rank", "kept")
+    kept = F.lit(True) if top is None else F.col("rank") <= F.greatest(F.lit(top), F.ceil(F.sqrt(F.count("*").over(w))) + top)
+    return ranked.withColumn("kept", kept).select(*KEYS, "score", "first_ts", "root_score", "rank", "kept")
 
 
-def final_blend(ranking: DataFrame, reasons: DataFrame, contextual: DataFrame, quality: DataFrame, top: int = 4) -> DataFrame:
-    """v1 blend over the best ``top`` candidates with its two promotions.
+def final_blend(ranking: DataFrame, reasons: DataFrame, contextual: DataFrame, quality: DataFrame, top: int | None = 4) -> DataFrame:
+    """v1 blend over the best ``top`` candidates (None: all) with its two promotions.
 
     A candidate whose graph-free score beats that of the leader by more than 0.10 is promoted;
     then an infrastructure leader gives way to the best service or pod within 0.15.
     """
     w = W.partitionBy("incident_id")
-    df = (ranking.filter(F.col("rank") <= top).join(reasons, KEYS, "left").join(contextual.select(*KEYS, "discounted"), KEYS, "left")
+    best = ranking if top is None else ranking.filter(F.col("rank") <= top)
+    df = (best.join(reasons, KEYS, "left").join(contextual.select(*KEYS, "discounted"), KEYS, "left")
           .join(quality, "incident_id", "left").na.fill(0.0, ["reason_score", "discounted", "quality"]))
     lo, hi = F.min("first_ts").over(w), F.max("first_ts").over(w)
     early = 1.0 - (F.col("first_ts") - lo) / F.greatest(hi - lo, F.lit(1))

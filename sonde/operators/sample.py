@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,48 +13,82 @@ from sonde.functions import fixed as V
 from sonde.functions import scalars as S
 from sonde.operators.windows import top_k, window_join
 
+#: Rows left that the greedy choice looks at, in order of anomaly (None: all).
 POOL = 300
 
 
-def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pick ``budget`` rows: anomaly plus one minus the largest Jaccard overlap with those picked.
-
-    Looks at the first 300 rows left, in order of anomaly; the first best wins.
-    """
-    rows = pdf.sort_values(["anomaly", "trace_id"], ascending=[False, True]).reset_index(drop=True)
-    sets = [frozenset(e) for e in rows["eps"]]
-    left, taken, nearest = list(range(len(rows))), [], [0.0] * len(rows)
-    for _ in range(min(int(rows["budget"].iloc[0]), len(rows))):
-        view = left[:POOL]
-        best = max(range(len(view)), key=lambda j: (rows["anomaly"][view[j]] + 1.0 - nearest[view[j]], -j))
-        chosen = left.pop(best)
-        taken.append(chosen)
-        for i in left:
-            union = len(sets[i] | sets[chosen])
-            overlap = len(sets[i] & sets[chosen]) / union if union else 1.0
-            nearest[i] = max(nearest[i], overlap)
-    return rows.loc[taken, [c for c in rows.columns if c != "budget"]]
-
-
-def diverse_traces(traces: DataFrame, budget: int = 160) -> DataFrame:
+def chooser(pool: int | None):
+    """The greedy choice from one group as a pandas function."""
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pick ``budget`` rows: anomaly plus one minus the largest Jaccard overlap with those picked.
+
+        Looks at the first ``pool`` rows left, in order of anomaly; the first best wins. Rows of
+        equal sets are one class, whose first row is its best. Overlaps only grow, so a class's
+        last known score bounds it from above: only the class on top of the heap is compared
+        with what was picked since.
+        """
+        rows = pdf.sort_values(["anomaly", "trace_id"], ascending=[False, True]).reset_index(drop=True)
+        anomaly, sets = rows["anomaly"].tolist(), [frozenset(e) for e in rows["eps"]]
+        budget, waiting, nearest, compared = min(int(rows["budget"].iloc[0]), len(rows)), {}, {}, {}
+        heap, taken = [], []
+
+        def enter(i: int) -> None:
+            queue = waiting.setdefault(sets[i], deque())
+            queue.append(i)
+            if len(queue) == 1:
+                heapq.heappush(heap, (-(anomaly[i] + 1.0 - nearest.get(sets[i], 0.0)), i))
+        seen = len(rows) if pool is None else min(pool, len(rows))
+        for i in range(seen):
+            enter(i)
+        while len(taken) < budget:
+            score, i = heapq.heappop(heap)
+            kind = sets[i]
+            for chosen in taken[compared.get(kind, 0):]:
+                union = len(kind | sets[chosen])
+                nearest[kind] = max(nearest.get(kind, 0.0), len(kind & sets[chosen]) / union if union else 1.0)
+            compared[kind] = len(taken)
+            now = -(anomaly[i] + 1.0 - nearest.get(kind, 0.0))
+            if now != score:
+                heapq.heappush(heap, (now, i))
+                continue
+            taken.append(i)
+            queue = waiting[kind]
+            queue.popleft()
+            if queue:
+                heapq.heappush(heap, (-(anomaly[queue[0]] + 1.0 - nearest.get(kind, 0.0)), queue[0]))
+            if seen < len(rows):
+                enter(seen)
+                seen += 1
+        return rows.loc[taken, [c for c in rows.columns if c != "budget"]]
+    return greedy
+
+
+def diverse_traces(traces: DataFrame, budget: int = 160, pool: int | None = POOL) -> DataFrame:
     """At most ``budget`` traces per incident: an equal share per root component, then a refill.
 
     ``traces`` holds (incident_id, trace_id, root, pattern_id, eps, anomaly). Spark cuts each
-    group to the rows the greedy choice can ever look at (300 + budget) before Python sees it.
+    group to the rows the greedy choice can ever look at before Python sees it: ``pool`` +
+    budget rows, or without a pool the first ``budget`` of each set, as equal sets are chosen
+    in order of anomaly.
     """
     traces = traces.select("incident_id", "trace_id", "root", "pattern_id", "eps", "anomaly")
     schema = traces.schema
     order = [F.desc("anomaly"), "trace_id"]
+
+    def visible(rows: DataFrame, keys: list[str]) -> DataFrame:
+        if pool is None:
+            return top_k(rows.withColumn("_set", F.array_sort(F.array_distinct("eps"))), [*keys, "_set"], order, budget).drop("rank", "_set")
+        return top_k(rows, keys, order, pool + budget).drop("rank")
+    greedy = chooser(pool)
     share = traces.groupBy("incident_id").agg(F.count_distinct("root").alias("_r")).withColumn(
         "budget", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("_r"))).cast("int")).drop("_r")
-    pool = top_k(traces.join(share, "incident_id"), ["incident_id", "root"], order, POOL + budget).drop("rank")
-    first = pool.groupBy("incident_id", "root").applyInPandas(greedy, schema)
+    first = visible(traces.join(share, "incident_id"), ["incident_id", "root"]).groupBy("incident_id", "root").applyInPandas(greedy, schema)
     first = top_k(first, ["incident_id"], ["root", F.desc("anomaly"), "trace_id"], budget).drop("rank")
     room = traces.select("incident_id").distinct().join(
         first.groupBy("incident_id").agg(F.count("*").alias("_n")), "incident_id", "left").withColumn(
         "budget", F.lit(budget) - F.coalesce("_n", F.lit(0)).cast("int")).filter("budget > 0").drop("_n")
     rest = traces.join(first.select("incident_id", "trace_id"), ["incident_id", "trace_id"], "left_anti").join(room, "incident_id")
-    refill = top_k(rest, ["incident_id"], order, POOL + budget).drop("rank").groupBy("incident_id").applyInPandas(greedy, schema)
+    refill = visible(rest, ["incident_id"]).groupBy("incident_id").applyInPandas(greedy, schema)
     return first.unionByName(refill)
 
 

@@ -158,8 +158,8 @@ def trace_anomaly(spans: DataFrame, scores: DataFrame, keys=("incident_id",)) ->
             .groupBy(*on).agg((F.sum(F.coalesce("score", F.lit(0.0))) + 2.0 * F.sum("failed")).alias("anomaly")))
 
 
-def call_chains(spans: DataFrame, limit: int = 50) -> DataFrame:
-    """First traces of an incident that touch at least two components."""
+def call_chains(spans: DataFrame, limit: int | None = 50) -> DataFrame:
+    """First ``limit`` traces (None: all) of an incident that touch at least two components."""
     parts = spans.select("incident_id", "trace_id", "component").distinct()
     chains = parts.groupBy("incident_id", "trace_id").agg(
         F.array_sort(F.collect_list("component")).alias("components")).filter(F.size("components") >= 2)

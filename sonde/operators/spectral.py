@@ -120,10 +120,11 @@ def detection_summary(evidence: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ edges
-def candidate_edges(evidence: DataFrame, sources: int = 20, targets: int = 30) -> DataFrame:
+def candidate_edges(evidence: DataFrame, sources: int | None = 20, targets: int | None = 30) -> DataFrame:
     """Pairs of a top source (score >= 0.5) and a top target (score >= 0.3) of one incident.
 
-    Both sides are cut before the join, so an incident yields at most ``sources * targets`` pairs.
+    Both sides are cut before the join, so an incident yields at most ``sources * targets`` pairs;
+    None lifts a cut.
     """
     node = evidence.select("incident_id", F.concat("component", F.lit("."), "kpi").alias("node"),
                            F.col("final_score").alias("s"))

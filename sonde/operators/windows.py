@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonde.functions import fixed as V
+from sonde.plans.stages import written
 
 DAY = 86400
 SERIES = ("component", "kpi")
@@ -147,7 +148,29 @@ def multi_resolution_onset(rows: DataFrame, stats: DataFrame, incidents: DataFra
             .groupBy("incident_id", "component", "resolution").agg(F.min("onset").alias("onset")))
 
 
-def top_k(df: DataFrame, keys, order, k: int, name: str = "rank") -> DataFrame:
-    """First ``k`` rows of each key; Spark cuts each partition before the shuffle."""
+def top_k(df: DataFrame, keys, order, k: int | None, name: str = "rank") -> DataFrame:
+    """First ``k`` rows of each key; Spark cuts each partition before the shuffle. None: all rows, ranked."""
+    if k is None:
+        return ranked(df, keys, order, name)
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def ranked(df: DataFrame, keys, order, name: str = "rank") -> DataFrame:
+    """Every row with its rank in its key, however many rows a key has.
+
+    Rows are dealt into ranges of (key, order), so a key with many rows spans several
+    tasks; a row's rank is its place in its range after the rows of the ranges before.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    dealt = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = sizes.select(*[F.col(k).alias(f"_base_{k}") for k in keys], F.col("_range").alias("_base_range"),
+                         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_range") == F.col("_base_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_base_{k}"))
+    place = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    return (dealt.withColumn(name, place).join(bases, same)
+            .withColumn(name, (F.col(name) + F.col("_base")).cast("int")).select(*df.columns, name))
