@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sonde.functions import fixed as V
 from sonde.functions import scalars as S
 from sonde.operators.windows import top_k
+from sonde.plans.stages import written
 
 KEYS = ["incident_id", "component"]
 
@@ -180,44 +181,60 @@ def onset_clusters(onsets: DataFrame, incidents: DataFrame, top: DataFrame, min_
         "incident_id", F.col("o_ts").alias("global_ts"), "types", "components", "size", "cluster_score")
 
 
-def select_causes(candidates: DataFrame, incidents: DataFrame, most: int | None = None, fill_up: bool = True) -> DataFrame:
+#: Units of a time scaled so that two times of an incident exclude each other within ``1 << 40`` of them.
+_NEAR = 1 << 40
+
+
+def spaced(pool: DataFrame) -> DataFrame:
+    """The rows of ``pool`` (incident_id, _row, _at, ...) that a greedy choice by ``_row`` would take, best first and apart.
+
+    A row that is the best within its distance will be taken whatever happens elsewhere, so
+    a round takes all of these and drops what lies near them. The rows left shrink with every
+    round; a round is written, so the plan does not grow with the number of answers.
+    """
+    near = W.partitionBy("incident_id").orderBy("_at").rangeBetween(-_NEAR, _NEAR)
+    left, chosen = pool, None
+    while True:
+        best = left.withColumn("_best", F.max("_row").over(near).eqNullSafe(F.col("_row")))
+        marked = written(best.withColumn("_lost", F.max("_best").over(near)), "spaced")
+        taken = marked.filter("_best").select(pool.columns)
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        left = marked.filter("NOT _lost").select(pool.columns)
+        if left.isEmpty():
+            return chosen
+
+
+def select_causes(candidates: DataFrame, incidents: DataFrame, fill_up: bool = True) -> DataFrame:
     """``failure_count`` causes per incident, best first, at least ``max(60, window / 2n)`` seconds apart.
 
     ``candidates`` holds (incident_id, component, ts, score, key); ``incidents`` the window and
-    failure_count. Each round takes an incident's best row that keeps its distance from the times
-    chosen so far, one aggregate over the pool; what is then missing is filled with the best rows
-    not taken yet (``fill_up``). ``most`` is the largest failure_count, looked up if not given.
+    failure_count. The best rows that keep their distance from better ones are taken; what is
+    then missing is filled with the best rows not taken yet (``fill_up``).
     """
-    if most is None:
-        most = incidents.agg(F.max("failure_count")).first()[0] or 0
     gap = F.greatest(F.lit(60.0), (F.col("end_ts") - F.col("start_ts")) / (2.0 * F.col("failure_count")))
-    inc = incidents.select("incident_id", "failure_count", gap.alias("_gap"))
+    inc = incidents.filter("failure_count >= 1").select("incident_id", "failure_count", "start_ts", gap.alias("_gap"))
     pick = F.struct("score", "key", (-F.col("ts")).alias("_late"), "component")
     unique = candidates.filter("ts IS NOT NULL").groupBy("incident_id", "component", "ts").agg(
         F.max(F.struct("score", "key")).alias("b")).select("incident_id", "component", "ts", "b.*")
-    pool = unique.join(inc, "incident_id").select("incident_id", "failure_count", "_gap", pick.alias("_row"), "ts")
-    chosen = pool.groupBy("incident_id").agg(F.array(F.max(F.when(F.col("failure_count") >= 1, F.col("_row")))).alias("_rows"))
-    chosen = chosen.withColumn("_rows", F.array_compact("_rows"))
-    for _ in range(1, most):
-        far = F.forall("_rows", lambda r: F.abs(F.col("ts") + r["_late"]) >= F.col("_gap"))
-        next_best = pool.join(chosen, "incident_id").filter((F.size("_rows") < F.col("failure_count")) & far).groupBy("incident_id").agg(
-            F.max("_row").alias("_next"))
-        chosen = chosen.join(next_best, "incident_id", "left").select(
-            "incident_id", F.when(F.col("_next").isNull(), F.col("_rows")).otherwise(F.array_append("_rows", F.col("_next"))).alias("_rows"))
-    rest = pool.join(chosen, "incident_id").filter((F.size("_rows") < F.col("failure_count")) & ~F.array_contains("_rows", F.col("_row")))
-    fill = top_k(rest.select("incident_id", "_row", "ts", (F.col("failure_count") - F.size("_rows")).alias("_need"), F.size("_rows").alias("_have"),
-                             F.col("_row.score").alias("score"), F.col("_row.key").alias("key")),
-                 ["incident_id"], [F.desc("score"), F.desc("key"), "ts"], max(most, 1), "_k").filter(F.col("_k") <= F.col("_need"))
-    first = chosen.select("incident_id", F.posexplode("_rows").alias("pick", "_row"))
-    both = first.select("incident_id", (F.col("pick") + 1).alias("pick"), "_row")
+    # whole seconds: times are too near up to ceil(gap) - 1, half a second above which is one unit
+    place = F.floor((F.col("ts") - F.col("start_ts")) * float(_NEAR) / (F.ceil("_gap") - 0.5))
+    pool = written(unique.join(inc, "incident_id").select("incident_id", "failure_count", pick.alias("_row"), place.alias("_at")), "causes")
+    best = W.partitionBy("incident_id").orderBy(F.desc("_row"))
+    first = written(spaced(pool).withColumn("pick", F.row_number().over(best)).filter(F.col("pick") <= F.col("failure_count")), "chosen")
+    both = first.select("incident_id", "pick", "_row")
     if fill_up:
-        both = both.unionByName(fill.select("incident_id", (F.col("_have") + F.col("_k")).alias("pick"), "_row"))
+        have = first.groupBy("incident_id").agg(F.count("*").alias("_have"))
+        rest = (pool.join(first.select("incident_id", "_row"), ["incident_id", "_row"], "left_anti")
+                .join(have, "incident_id").filter(F.col("_have") < F.col("failure_count")))
+        order = W.partitionBy("incident_id").orderBy(F.desc("_row.score"), F.desc("_row.key"), F.desc("_row._late"))
+        fill = rest.withColumn("pick", F.col("_have") + F.row_number().over(order)).filter(F.col("pick") <= F.col("failure_count"))
+        both = both.unionByName(fill.select("incident_id", F.col("pick").cast("int"), "_row"))
     w = W.partitionBy("incident_id").orderBy("ts", "pick")
     return both.select("incident_id", "pick", "_row.component", (-F.col("_row._late")).alias("ts"), "_row.score").withColumn(
         "position", F.row_number().over(w)).select("incident_id", "component", "ts", "score", "position")
 
 
-def time_causes(onsets: DataFrame, ranking: DataFrame, incidents: DataFrame, most: int | None = None) -> DataFrame:
+def time_causes(onsets: DataFrame, ranking: DataFrame, incidents: DataFrame) -> DataFrame:
     """Onset times for incidents that ask for several times only.
 
     Segments below 75% of the window compete by root score times severity (at least 0.1); the
@@ -228,7 +245,7 @@ def time_causes(onsets: DataFrame, ranking: DataFrame, incidents: DataFrame, mos
     pool = seg.join(ranking.select(*KEYS, "root_score"), KEYS).select(
         *KEYS, F.col("steepest_ts").alias("ts"), F.round(F.col("root_score") * F.greatest(F.lit(0.1), "severity"), 9).alias("score"),
         F.concat("component", F.lit("."), "kpi").alias("key"))
-    return select_causes(pool, incidents, most, fill_up=False)
+    return select_causes(pool, incidents, fill_up=False)
 
 
 # ------------------------------------------------------------------ answers

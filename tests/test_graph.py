@@ -185,3 +185,16 @@ def test_widest_paths_of_all_small_graphs_agree_with_enumeration():
             s = min([w[x] for x in itertools.pairwise(p)], default=1.0)
             best[p[-1]] = max(best.get(p[-1], 0), s)
         assert best == widest(o, 4)
+
+
+def test_five_hundred_causes(spark):
+    """The rounds follow how far the best rows lie apart, not how many are asked for; the plan stays small."""
+    rng = np.random.default_rng(6)
+    mine = list({(f"c{rng.integers(0, 9)}", int(rng.integers(0, 86_400))): None for _ in range(3000)})
+    mine = [(c, t, round(float(rng.random()), 2), f"{c}.{t}") for c, t in mine]
+    cand = spark.createDataFrame([(1, *r) for r in mine], "incident_id int, component string, ts long, score double, key string")
+    inc = spark.createDataFrame([(1, 0, 86_400, 500)], "incident_id int, start_ts long, end_ts long, failure_count int")
+    for fill in (True, False):
+        found = RK.select_causes(cand, inc, fill_up=fill)
+        assert found._jdf.queryExecution().analyzed().toString().count("\n") < 60
+        assert sorted((r.ts, r.component) for r in found.collect()) == plain_causes(mine, 0, 86_400, 500, fill)
