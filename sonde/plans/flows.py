@@ -183,12 +183,18 @@ def evidence_flow(metrics: DataFrame, spans: DataFrame, logs: DataFrame, inciden
             "notes": RK.recheck_notes(confidence), "conflict": RK.conflict(own, trace)}
 
 
-def predict(final: DataFrame, incidents: DataFrame, s: Settings, fields: str = "target_fields", causes: DataFrame | None = None) -> DataFrame:
+def predict(final: DataFrame, incidents: DataFrame, s: Settings, fields: str = "target_fields", causes: DataFrame | None = None,
+            global_time: DataFrame | None = None) -> DataFrame:
     """Prediction text per incident, completed and constrained to the candidates.
 
     Where several failures are asked for, the spaced ``causes`` of a flow answer; what they
-    leave open, and single failures, come from the ranked rows of ``final``.
+    leave open, and single failures, come from the ranked rows of ``final``. An incident that
+    asks for one time and nothing else takes it from ``global_time``, if given.
     """
+    if global_time is not None:
+        alone = incidents.filter(F.col("time_only") & (F.col("failure_count") == 1)).select("incident_id")
+        final = (final.join(global_time.select("incident_id", "global_ts").join(alone, "incident_id", "left_semi"), "incident_id", "left")
+                 .withColumn("ts", F.coalesce("global_ts", "ts")).drop("global_ts"))
     given = (final.limit(0).withColumnRenamed("rank", "position") if causes is None else
              causes.join(incidents.filter("failure_count > 1").select("incident_id"), "incident_id", "left_semi"))
     given = given.select("incident_id", "position", "component", "reason", "ts")

@@ -122,6 +122,11 @@ def read_logs(spark: SparkSession, root: str, file: str = "log_service") -> Data
                      S.normalise_epoch(F.col("timestamp")).alias("ts"), "value").na.drop(subset=["ts"])
 
 
+def dated(df: DataFrame) -> DataFrame:
+    """``day`` as the number of the row's day (UTC), which is how the flows join days, in place of the folder's name."""
+    return df.withColumn("day", F.floor(F.col("ts") / 86400).cast("bigint"))
+
+
 def write_telemetry(df: DataFrame, path: str) -> None:
     """Parquet partitioned by day; sorted by time inside a file for row-group pruning."""
     df.sortWithinPartitions("day", "ts").write.mode("overwrite").partitionBy("day").parquet(path)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sonde.operators import spans as SP
-from sonde.plans import flows
+from sonde.plans import flows, runner
 from sonde.sources import telemetry as TM
 from sonde.streaming.ingest import ingest
 
@@ -132,3 +132,31 @@ def test_stream_reads_each_file_once(spark, tmp_path):
         ingest(spark, src, out, ck)
     ingest(spark, src, out, ck)
     assert sorted((r.ts, r.value) for r in spark.read.parquet(out).collect()) == [(1614787200, 0.0), (1614787201, 1.0)]
+
+
+def test_from_task_table_to_report(spark, telemetry, tmp_path):
+    """CSV files in, predictions, scores and a report out."""
+    m, s, lg, _ = telemetry
+    day = tmp_path / "telemetry" / "2021_03_04"
+
+    def put(kind, name, rows, columns):
+        (day / kind).mkdir(parents=True, exist_ok=True)
+        rows.toPandas()[columns].to_csv(day / kind / f"{name}.csv", index=False)
+    put("metric", "metric_container", m.selectExpr("ts AS timestamp", "component AS cmdb_id", "kpi AS kpi_name", "value"), ["timestamp", "cmdb_id", "kpi_name", "value"])
+    (day / "metric" / "metric_app.csv").write_text("timestamp,rr,sr,cnt,mrt,tc\n")
+    put("trace", "trace_span", s.selectExpr("ts * 1000 AS timestamp", "component AS cmdb_id", "parent_id", "span_id", "trace_id", "duration"),
+        ["timestamp", "cmdb_id", "parent_id", "span_id", "trace_id", "duration"])
+    put("log", "log_service", lg.selectExpr("log_id", "ts AS timestamp", "component AS cmdb_id", "log_name", "value"), ["log_id", "timestamp", "cmdb_id", "log_name", "value"])
+    asked = "On March 4, 2021, between 14:00 and 14:30, a single failure was observed. Identify the root cause"
+    (tmp_path / "query.csv").write_text("task_index,instruction,scoring_points\n"
+                                        f'task_6,"{asked} component and reason.","The only predicted root cause component is Mysql01\nThe only predicted root cause reason is high CPU usage\n"\n'
+                                        f'task_1,"{asked} occurrence datetime.","The only root cause occurrence time is within 1 minutes (i.e., <=1min) of 2021-03-04 14:05:00\n"\n'
+                                        'task_3,"Nobody knows when.","The only predicted root cause component is Mysql01\n"\n')
+    report = str(tmp_path / "report")
+    out = runner.run(spark, str(tmp_path), "bank", str(tmp_path / "query.csv"), SETTINGS, "causal_v2", report)
+    scored = {r.task_index: r for r in out["scored"].collect()}
+    assert "Mysql01" in scored["task_6"].prediction and scored["task_6"].score >= 0.5
+    assert "datetime" in scored["task_1"].prediction and "component" not in scored["task_1"].prediction
+    assert scored["task_3"].prediction == "" and scored["task_3"].score == 0
+    assert {r.difficulty: r.total for r in out["by_difficulty"].collect()}["total"] == 3
+    assert len(TM.read_report(spark, report).collect()) == 3
