@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonde.functions import scalars as S
-from sonde.plans.stages import written
 
 EDGE = ["incident_id", "source", "target"]
 
@@ -185,61 +186,133 @@ def isolated_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ nodes and paths
-def _hop(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """One step of the widest-path search: extend by an edge, or stay."""
-    step = state.join(edges, ["incident_id", "node"])
-    return step.groupBy("incident_id", "origin", F.col("next").alias("node")).agg(
-        F.max(F.least("strength", "weight")).alias("strength"))
+def _per_graph(edges: DataFrame, marked: DataFrame, work, fields: str) -> DataFrame:
+    """``work(src, dst, weight, own, names)`` on the packed graph of every incident, lazily, in one shuffle.
+
+    An incident is one group: its edges (source, target, weight; bounded by its component pairs,
+    as calls are counted per pair before) and its marked components. Components are numbered in
+    ``names``; ``work`` returns columns after ``incident_id``. Null incidents and ends belong to no graph.
+    """
+    kind = edges.schema["incident_id"].dataType.simpleString()
+    e = edges.select(*EDGE, F.col("weight").cast("double")).dropna(subset=EDGE)
+    m = marked.select(F.col("incident_id").cast(kind), "component").dropna().distinct()
+
+    def graph(key, links, own):
+        codes, names = pd.factorize(np.concatenate([links["source"], links["target"], own["component"]]))
+        n = len(links)
+        columns = work(codes[:n], codes[n:2 * n], links["weight"].to_numpy(), codes[2 * n:], names)
+        return pd.DataFrame({"incident_id": [key[0]] * len(columns[0]), **{f.split()[0]: c for f, c in zip(fields.split(", "), columns)}})
+
+    return e.groupBy("incident_id").cogroup(m.groupBy("incident_id")).applyInPandas(graph, f"incident_id {kind}, {fields}")
+
+
+def _arriving(src: np.ndarray, dst: np.ndarray):
+    """Edges in the order of their targets: that order, the targets and where the edges of each begin."""
+    order = np.argsort(dst, kind="stable")
+    ends, starts = np.unique(dst[order], return_index=True)
+    return order, src[order], ends, starts
+
+
+def _blocks(n: int, width: int):
+    """Slices of ``n`` rows of ``width`` values that hold four million values each."""
+    step = max(1, 4_000_000 // max(1, width))
+    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
 
 
 def influence(edges: DataFrame, nodes: DataFrame, depth: int = 6) -> DataFrame:
     """Largest bottleneck weight from every node to every node over paths of at most ``depth`` edges.
 
-    All origins of all incidents advance together; a self edge of weight 1 keeps shorter
-    paths, so a hop reads its predecessor once.
+    The packed graph of an incident takes all its origins, in blocks, through one (max, min)
+    step per edge of depth; the empty path has strength 1. An edge without weight does not narrow a path.
     """
-    stay = nodes.select("incident_id", F.col("component").alias("node"), F.col("component").alias("next"),
-                        F.lit(1.0).alias("weight"))
-    moves = edges.select("incident_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").unionByName(stay)
-    state = nodes.select("incident_id", F.col("component").alias("origin"), F.col("component").alias("node"),
-                         F.lit(1.0).alias("strength"))
-    for _ in range(depth):
-        state = _hop(state, moves)
-    return state
+    def widest(src, dst, weight, own, names):
+        order, src, ends, starts = _arriving(src, dst)
+        weight = np.where(np.isnan(weight), np.inf, weight)[order]
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        for block in _blocks(len(own), max(len(src), len(names))):
+            state = np.full((block.stop - block.start, len(names)), -np.inf)
+            state[np.arange(len(state)), own[block]] = 1.0
+            for _ in range(depth if len(src) else 0):
+                came = np.maximum.reduceat(np.minimum(state[:, src], weight), starts, axis=1)
+                state[:, ends] = np.maximum(state[:, ends], came)
+            row, node = np.nonzero(state > -np.inf)
+            found.append((own[block][row], node, state[row, node]))
+        origin, node, strength = map(np.concatenate, zip(*found))
+        return names[origin], names[node], strength
+
+    return _per_graph(edges, nodes, widest, "origin string, node string, strength double")
+
+
+def _closure(src: np.ndarray, dst: np.ndarray, n: int, wanted: np.ndarray):
+    """Blocks (wanted nodes, reach): ``reach[a, b]`` whether a path of one edge or more leads from a to wanted node b.
+
+    Sets of wanted nodes are bits; every edge hands the set of its target back to its source until nothing changes.
+    """
+    order, src, ends, starts = _arriving(dst, src)  # by source
+    for block in _blocks(len(wanted), max(len(src), n)):
+        here = wanted[block]
+        itself = np.zeros((n, len(here)), bool)
+        itself[here, np.arange(len(here))] = True
+        itself = np.packbits(itself, axis=1)
+        reach, grown = np.zeros_like(itself), len(src) > 0
+        while grown:
+            came = np.bitwise_or.reduceat((reach | itself)[src], starts, axis=0)
+            grown = not np.array_equal(came, reach[ends])
+            reach[ends] = came
+        yield here, np.unpackbits(reach, axis=1, count=len(here)).astype(bool)
 
 
 def reach_from(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """(incident, origin, node) of the nodes that directed paths reach from the given components.
+    """(incident, origin, node) of the nodes that directed paths reach from the given components."""
+    def reached(src, dst, _, own, names):
+        found = [(np.empty(0, int), np.empty(0, int))]
+        for here, reach in _closure(src, dst, len(names), np.arange(len(names))):
+            row, node = np.nonzero(reach[own])
+            found.append((own[row], here[node]))
+        origin, node = map(np.concatenate, zip(*found))
+        return names[origin], names[node]
+
+    return _per_graph(edges.withColumn("weight", F.lit(1.0)), origins, reached, "origin string, node string")
+
+
+def reach_counts(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """How many other known components directed paths reach from each known one; no reached pair becomes a row."""
+    def counted(src, dst, _, own, names):
+        count = np.zeros(len(own), np.int64)
+        for here, reach in _closure(src, dst, len(names), own):
+            count += (reach[own] & (own[:, None] != here)).sum(axis=1)
+        return names[own], count
+
+    return _per_graph(edges.withColumn("weight", F.lit(1.0)), known, counted, "component string, reach bigint")
+
+
+def between(calls: DataFrame, own: DataFrame) -> DataFrame:
+    """Components on any shortest undirected path between two of the given components, ends included.
 
-    Only the frontier moves, once per hop, until it is empty; the state is written to cut the lineage.
+    Distances stay inside the packed graph of an incident: one row of them per given component.
     """
-    steps = edges.select("incident_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
-    frontier = origins.select("incident_id", F.col("component").alias("origin"), F.col("component").alias("node")).distinct()
-    keys, seen = ["incident_id", "origin", "node"], None
-    while True:
-        found = frontier.join(steps, ["incident_id", "node"]).select("incident_id", "origin", F.col("next").alias("node")).distinct()
-        frontier = written(found if seen is None else found.join(seen, keys, "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return found.limit(0) if seen is None else seen
-        seen = frontier if seen is None else seen.unionByName(frontier)
-
-
-def hop_distances(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """Undirected distance from each origin to every node it can reach."""
-    both = edges.select("incident_id", F.col("caller").alias("a"), F.col("callee").alias("b"))
-    links = both.unionByName(both.select("incident_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = written(origins.select("incident_id", F.col("component").alias("origin"), F.col("component").alias("node"),
-                                  F.lit(0).alias("d")), "distance")
-    size, hop = seen.count(), 0
-    while True:
-        hop += 1
-        frontier = seen.filter(F.col("d") == hop - 1).join(links, [seen["incident_id"] == links["incident_id"], seen["node"] == links["a"]]
-                                                           ).select(seen["incident_id"], "origin", F.col("b").alias("node"), F.lit(hop).alias("d"))
-        seen = written(seen.unionByName(frontier).groupBy("incident_id", "origin", "node").agg(F.min("d").alias("d")), "distance")
-        grown = seen.count()
-        if grown == size:
-            return seen
-        size = grown
+    def on_path(src, dst, _, own, names):
+        order, near, ends, starts = _arriving(np.concatenate([src, dst]), np.concatenate([dst, src]))
+        far = np.iinfo(np.int32).max // 4
+        hops = np.full((len(own), len(names)), far, np.int32)
+        for block in _blocks(len(own), max(len(near), len(names))):
+            state = hops[block]
+            state[np.arange(len(state)), own[block]] = 0
+            for hop in range(1, len(names)):
+                came = np.logical_or.reduceat(state[:, near] == hop - 1, starts, axis=1) & (state[:, ends] == far) if len(near) else np.zeros((1, 1), bool)
+                if not came.any():
+                    break
+                row, node = np.nonzero(came)
+                state[row, ends[node]] = hop
+        inside = np.zeros(len(names), bool)
+        for i in range(len(own)):
+            for block in _blocks(len(own), len(names)):
+                whole = hops[i, own[block]][:, None]
+                inside |= ((hops[i] + hops[block] == whole) & (whole < far)).any(axis=0)
+        return (names[inside],)
+
+    links = calls.select("incident_id", F.col("caller").alias("source"), F.col("callee").alias("target"), F.lit(1.0).alias("weight"))
+    return _per_graph(links, own, on_path, "component string")
 
 
 def select_nodes(calls: DataFrame, refined: DataFrame, mode: str = "direct") -> DataFrame:
@@ -256,14 +329,7 @@ def select_nodes(calls: DataFrame, refined: DataFrame, mode: str = "direct") ->
     nodes = own.unionByName(near).distinct()
     if mode == "direct":
         return nodes
-    dist = hop_distances(calls, own)
-    ends = dist.join(own.withColumnRenamed("component", "node"), ["incident_id", "node"], "left_semi").select(
-        "incident_id", F.col("origin").alias("s"), F.col("node").alias("t"), F.col("d").alias("whole"))
-    first = dist.select("incident_id", F.col("origin").alias("s"), F.col("node").alias("component"), F.col("d").alias("d1"))
-    second = dist.select("incident_id", F.col("origin").alias("t"), F.col("node").alias("component"), F.col("d").alias("d2"))
-    on_path = (ends.join(first, ["incident_id", "s"]).join(second, ["incident_id", "t", "component"])
-               .filter("d1 + d2 = whole").select(*keys))
-    return nodes.unionByName(on_path).distinct()
+    return nodes.unionByName(between(calls, own)).distinct()
 
 
 def restrict(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -281,9 +347,7 @@ def topology_score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = ["incident_id", "component"]
     known = nodes.select(*keys)
     total = known.groupBy("incident_id").agg(F.count("*").alias("_all"))
-    reach = (reach_from(edges, known).filter("origin <> node")
-             .join(known.withColumnRenamed("component", "node"), ["incident_id", "node"], "left_semi")
-             .groupBy("incident_id", F.col("origin").alias("component")).agg(F.count("*").alias("_reach")))
+    reach = reach_counts(edges, known).withColumnRenamed("reach", "_reach")
     out = edges.groupBy("incident_id", F.col("source").alias("component")).agg(
         F.count("*").alias("_out"), F.sum("weight").alias("_ow"))
     marked = edges.join(known.select("incident_id", F.col("component").alias("source"), F.lit(1).alias("_hot")),

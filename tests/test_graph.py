@@ -198,3 +198,65 @@ def test_five_hundred_causes(spark):
         found = RK.select_causes(cand, inc, fill_up=fill)
         assert found._jdf.queryExecution().analyzed().toString().count("\n") < 60
         assert sorted((r.ts, r.component) for r in found.collect()) == plain_causes(mine, 0, 86_400, 500, fill)
+
+
+def test_packed_graphs_agree_with_plain_walks(spark):
+    """Random graphs of several incidents, with cycles, loops, repeated edges and marked components outside the graph."""
+    rng = np.random.default_rng(8)
+    rows, own = [], []
+    for i in range(6):
+        n, m = int(rng.integers(1, 12)), int(rng.integers(0, 25))
+        rows += [(i, f"n{rng.integers(0, n)}", f"n{rng.integers(0, n)}", float(rng.integers(0, 9)) / 10) for _ in range(m)]
+        own += [(i, f"n{k}") for k in range(0, n + 2, 2)]
+    rows += [(None, "x", "y", 0.5), (0, None, "n0", 0.5)]
+    e = spark.createDataFrame(rows, "incident_id int, source string, target string, weight double")
+    o = spark.createDataFrame(own + own[:3] + [(None, "x"), (99, "lost")], "incident_id int, component string")
+    rows = [r for r in rows if None not in r]
+    strength, reach, inside = {}, set(), set()
+    for i in {i for i, _ in own} | {99}:
+        mine = [r[1:] for r in rows if r[0] == i]
+        marked = sorted({c for j, c in own if j == i}) if i != 99 else ["lost"]
+        hops = {}
+        for c in marked:
+            state = {c: 1.0}
+            for _ in range(3):
+                for t, s in [(t, min(state[a], w)) for a, t, w in mine if a in state]:
+                    state[t] = max(state.get(t, -1.0), s)
+            strength.update({(i, c, k): v for k, v in state.items()})
+            seen, front = set(), {c}
+            while front:
+                front = {t for a, t, _ in mine if a in front} - seen
+                seen |= front
+            reach |= {(i, c, k) for k in seen}
+            hops[c], d, front = {c: 0}, 0, {c}
+            while front:
+                d += 1
+                front = ({t for a, t, _ in mine if a in front} | {a for a, t, _ in mine if t in front}) - set(hops[c])
+                hops[c].update(dict.fromkeys(front, d))
+        inside |= {(i, v) for s in marked for t in marked if t in hops[s] for v in hops[s] if v in hops[t] and hops[s][v] + hops[t][v] == hops[s][t]}
+    got = [(r.incident_id, r.origin, r.node, r.strength) for r in G.influence(e, o, 3).collect()]
+    assert len(got) == len(strength) and {g[:3]: g[3] for g in got} == pytest.approx(strength)
+    assert sorted((r.incident_id, r.origin, r.node) for r in G.reach_from(e, o).collect()) == sorted(reach)
+    known = {(i, c) for i, c, _ in strength if (i, c, c) in strength} & ({*own} | {(99, "lost")})
+    counts = {(r.incident_id, r.component): r.reach for r in G.reach_counts(e, o).collect()}
+    assert counts == {k: sum(1 for i, c, v in reach if (i, c) == k and v != c and (i, v) in known) for k in known}
+    calls = e.withColumnsRenamed({"source": "caller", "target": "callee"})
+    assert sorted((r.incident_id, r.component) for r in G.between(calls, o).collect()) == sorted(inside)
+    assert G.influence(e.limit(0), o.limit(0)).count() == G.reach_counts(e, o.limit(0)).count() == 0
+
+
+def test_wide_graph_in_blocks(spark, monkeypatch):
+    """A graph of 900 components in a ring with chords: the blocks change nothing, and no reached pair is shuffled."""
+    n = 900
+    rows = [(1, f"n{i}", f"n{(i + 1) % n}", 0.5) for i in range(n)] + [(1, f"n{i}", f"n{(i * 7) % n}", 0.9) for i in range(n)]
+    e = spark.createDataFrame(rows, "incident_id int, source string, target string, weight double")
+    o = spark.createDataFrame([(1, f"n{i}") for i in range(n)], "incident_id int, component string")
+    assert {r.reach for r in G.reach_counts(e, o).collect()} == {n - 1}
+    assert len(G._blocks(900, 1800)) == 1 and len(G._blocks(9000, 1800)) == 5
+    whole = {(r.origin, r.node): r.strength for r in G.influence(e, o, 4).collect()}
+    # with one value a block every origin and every wanted node is a block of its own
+    some = o.filter("component IN ('n0', 'n5', 'n77')")
+    real = G._blocks
+    monkeypatch.setattr(G, "_blocks", lambda k, width: [slice(i, i + 1) for i in range(k)])
+    assert {(r.origin, r.node): r.strength for r in G.influence(e, some, 4).collect()} == {k: v for k, v in whole.items() if k[0] in ("n0", "n5", "n77")}
+    monkeypatch.setattr(G, "_blocks", real)
