@@ -160,3 +160,67 @@ def test_from_task_table_to_report(spark, telemetry, tmp_path):
     assert scored["task_3"].prediction == "" and scored["task_3"].score == 0
     assert {r.difficulty: r.total for r in out["by_difficulty"].collect()}["total"] == 3
     assert len(TM.read_report(spark, report).collect()) == 3
+    # the answers were recorded as cases: the evidence flow finds them again
+    memory = str(tmp_path / "memory")
+    for round_ in (1, 2):
+        out = runner.run(spark, str(tmp_path), "bank", str(tmp_path / "query.csv"), SETTINGS, "evidence", memory=memory)
+        assert out["scored"].count() == 3
+        cases = runner.past_cases(spark, memory)
+        assert cases.count() == 3 * round_ and cases.filter("size(components) > 0 AND dataset = 'bank'").count() >= 2 * round_
+    assert spark.read.json(f"{memory}/failures").filter("score >= 1").count() == 0
+
+
+def test_spectral_flow_with_traces_and_logs(spark, telemetry):
+    m, s, lg, inc = telemetry
+    slow = [(f"n{c}{i}", f"{i}", None, f"c{c}", START + i, 10.0, True) for c in range(8) for i in range(6)] + [
+        (f"z{i}", f"{i}", None, "Mysql01", START + i, 5000.0, True) for i in range(6)]
+    spans = spark.createDataFrame(slow, s.schema)
+    lines = lg.withColumn("value", lg.value.substr(1, 0)).limit(0).unionByName(spark.createDataFrame(
+        [(1, "Mysql01", START + 5, "l", "ERROR: connection timeout"), (2, "Redis01", START + 6, "l", "fine")], lg.schema))
+    out = flows.spectral_flow(m, inc.filter("incident_id = 7"), SETTINGS, spans, lines)
+    reports = {(r.agent, r.component): r for r in out["reports"].collect()}
+    assert reports["trace", "Mysql01"].supports and reports["log", "Mysql01"].score == 1.0 and ("log", "Redis01") not in reports
+    verified = {r.node: r for r in out["verified"].collect()}
+    assert verified["Mysql01"].support_count == 4 and verified["Mysql01"].verification_score == 1.0
+    assert list(verified["Mysql01"].sources) == ["causal", "log", "metric", "trace"]
+    reflection = out["reflection"].first()
+    assert reflection.max_confidence == 1.0 and reflection.supported == len(verified) and reflection.action in ("finalize", "re_hypothesize")
+    alone = flows.spectral_flow(m, inc, SETTINGS)
+    assert {r.agent for r in alone["reports"].select("agent").distinct().collect()} == {"metric", "causal"}
+    assert {r.incident_id for r in alone["reflection"].collect()} == {7, 8}
+
+
+def test_recovery_tries_only_what_needs_it(spark, telemetry):
+    m, s, lg, _ = telemetry
+    # incident 1 ends before the fault, 2 begins after it, 3 holds it
+    rows = [(1, START - 21600, START - 21590, 1, False), (2, START + 1200, START + 1500, 1, False), (3, START, START + 1800, 1, False)]
+    inc = spark.createDataFrame(rows, "incident_id int, start_ts long, end_ts long, failure_count int, time_only boolean")
+    out = flows.recovered(m, s, lg, inc, SETTINGS)
+    setting = {r.incident_id: r.setting for r in out["setting"].collect()}
+    tried = {}
+    for r in out["tried"].collect():
+        tried.setdefault(r.incident_id, {})[r.setting] = r.candidates
+    assert setting.keys() == {1, 2, 3} and setting[3] == 0 and list(tried[3]) == [0] and tried[3][0] >= 1
+    for i, counts in tried.items():
+        fit = [k for k in sorted(counts) if 1 <= counts[k] <= SETTINGS.keep]
+        assert setting[i] == (fit[0] if fit else 0)
+        assert set(counts) == {0} if counts[0] else set(counts) > {0}
+    assert tried[2][0] == 0 and setting[2] == 1, "the window ten minutes wider holds the fault"
+    plain = flows.causal_flow(m, s, lg, inc.filter("incident_id = 3"), SETTINGS)["final"]
+    assert sorted(map(tuple, out["final"].filter("incident_id = 3").collect())) == sorted(map(tuple, plain.collect()))
+    few, many = flows.recovery_settings(SETTINGS)
+    assert [(x.high, x.beta, x.widen) for x in few] == [(0.95, 0.5, 10), (0.90, 0.35, 10), (0.85, 0.25, 10)]
+    assert (many[0].high, many[0].min_points) == (0.99, 3)
+
+
+def test_evidence_flow_recalls_cases(spark, telemetry):
+    m, s, lg, inc = telemetry
+    asked = inc.selectExpr("*", "'the database is slow today' AS instruction", "'bank' AS dataset")
+    cases = spark.createDataFrame([("k1", "bank", ["database", "slow"], ["Redis01", "elsewhere"], ["network latency"]), ("k2", "other", ["nothing"], ["docker_001"], [])],
+                                  "case_id string, dataset string, tokens array<string>, components array<string>, reasons array<string>")
+    without = {(r.incident_id, r["kind"], r.name): r.score for r in flows.evidence_flow(m, s, lg, asked, SETTINGS)["accumulated"].collect()}
+    found = {(r.incident_id, r["kind"], r.name): r.score for r in flows.evidence_flow(m, s, lg, asked, SETTINGS, cases=cases)["accumulated"].collect()}
+    more = {k: v - without.get(k, 0.0) for k, v in found.items() if abs(v - without.get(k, 0.0)) > 1e-9}
+    assert more == pytest.approx({(i, kind, name): 0.5 for i in (7, 8) for kind, name in (("component", "Redis01"), ("reason", "network latency"))} | {
+        k: v for k, v in more.items() if k[2] == "docker_001"})
+    assert flows.recalled(m.limit(0).selectExpr("7 AS incident_id", "component"), asked, cases.limit(0), SETTINGS).count() == 0
