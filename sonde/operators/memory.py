@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonde.functions import scalars as S
 from sonde.operators.windows import top_k
+from sonde.plans.stages import written
 
 
 def with_norm(df: DataFrame, pattern: str = "pattern") -> DataFrame:
@@ -93,26 +95,55 @@ def best_rule(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return top_k(scored.select("query_id", "component", "anomaly_type", "reason", "score"), ["query_id"], [F.desc("score"), "component"], 1).drop("rank")
 
 
-def retrieve_cases(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
-    """Best ``k`` cases by token share + 0.2 for the dataset + 0.1 per shared component.
+def _set(name: str):
+    return F.array_distinct(F.coalesce(F.array_compact(name), F.array().cast("array<string>")))
 
-    ``queries`` and ``cases`` hold tokens, components (arrays) and dataset. Overlaps come from
-    equi-joins on exploded tokens and components; cases that share only the dataset all score
-    the same 0.2, so the first 2k - 1 of a dataset are enough to fill up a query exactly.
+
+def retrieve_cases(queries: DataFrame, cases: DataFrame, k: int = 3, rare: int = 1000) -> DataFrame:
+    """Best ``k`` cases per query: token share + 0.2 for the dataset + 0.1 per shared component, ties by case_id.
+
+    ``queries`` and ``cases`` hold tokens and components (arrays taken as sets; null: none) and dataset. The
+    answer is exact without a pair through a token that most cases hold:
+
+    * cases that share no token score alike where dataset and components are alike, so the first ``k``
+      of each such class stand for it;
+    * the rarest tokens of a query, up to ``rare`` postings, are looked up first and with the classes give
+      the k-th best score so far;
+    * a case whose rarest shared token comes later shares that token and more common ones at most. Such
+      a token is looked up only if all of them together could still reach the k-th best score.
     """
-    size = queries.select("query_id", F.col("dataset").alias("q_dataset"), F.greatest(F.size("tokens"), F.lit(1)).alias("_n"))
-    tok = queries.select("query_id", F.explode("tokens").alias("t")).join(cases.select("case_id", F.explode("tokens").alias("t")), "t")
-    comp = queries.select("query_id", F.explode("components").alias("c")).join(cases.select("case_id", F.explode("components").alias("c")), "c")
-    pairs = tok.select("query_id", "case_id", F.lit(1).alias("_t"), F.lit(0).alias("_c")).unionByName(
-        comp.select("query_id", "case_id", F.lit(0).alias("_t"), F.lit(1).alias("_c")))
-    first = top_k(cases.select("case_id", "dataset"), ["dataset"], ["case_id"], 2 * k - 1)
-    same = size.join(first, F.col("q_dataset") == F.col("dataset")).select(
-        "query_id", "case_id", F.lit(0).alias("_t"), F.lit(0).alias("_c"))
-    overlap = pairs.unionByName(same).groupBy("query_id", "case_id").agg(F.sum("_t").alias("_t"), F.sum("_c").alias("_c"))
-    df = overlap.join(size, "query_id").join(cases.select("case_id", "dataset"), "case_id")
-    score = F.col("_t") / F.col("_n") + F.when(F.col("dataset") == F.col("q_dataset"), 0.2).otherwise(0.0) + 0.1 * F.col("_c")
-    scored = df.withColumn("score", S.rounded(score, 6)).filter("score > 0").select("query_id", "case_id", "score")
-    return top_k(scored, ["query_id"], [F.desc("score"), "case_id"], k)
+    q = queries.select("query_id", F.col("dataset").alias("q_dataset"), _set("tokens").alias("q_tokens"), _set("components").alias("q_components"))
+    c = cases.select("case_id", "dataset", _set("tokens").alias("tokens"), _set("components").alias("components"))
+    postings = c.select("case_id", F.explode("tokens").alias("t"))
+    w = W.partitionBy("query_id").orderBy("_df", "t")
+    asked = (q.select("query_id", F.size("q_tokens").alias("_n"), (0.2 + 0.1 * F.size("q_components")).alias("_bonus"), F.explode("q_tokens").alias("t"))
+             .join(postings.groupBy("t").agg(F.count("*").alias("_df")), "t")
+             .withColumn("_upto", F.sum("_df").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+             .withColumn("_left", F.count("*").over(w.rowsBetween(W.currentRow, W.unboundedFollowing))))
+    asked = written(asked, "asked")
+
+    def looked_up(tokens):
+        return tokens.select("query_id", "t").join(postings, "t").select("query_id", "case_id")
+
+    def scored(pairs):
+        df = pairs.distinct().join(q, "query_id").join(c, "case_id")
+        shared = lambda a, b: F.size(F.array_intersect(a, b))
+        score = (shared("q_tokens", "tokens") / F.greatest(F.size("q_tokens"), F.lit(1))
+                 + F.when(F.col("dataset") == F.col("q_dataset"), 0.2).otherwise(0.0) + 0.1 * shared("q_components", "components"))
+        return df.select("query_id", "case_id", S.rounded(score, 6).alias("score")).filter("score > 0")
+
+    order = [F.desc("score"), "case_id"]
+    first = top_k(c.withColumn("_class", F.array_sort("components")).select("case_id", "dataset", "components", "_class"),
+                  ["dataset", "_class"], ["case_id"], k)
+    alike = q.join(first, F.col("q_dataset") == F.col("dataset")).select("query_id", "case_id").unionByName(
+        q.select("query_id", F.explode("q_components").alias("c")).join(first.select("case_id", F.explode("components").alias("c")), "c")
+        .select("query_id", "case_id"))
+    near = written(scored(alike.unionByName(looked_up(asked.filter(F.col("_upto") <= rare)))), "near")
+    reached = top_k(near, ["query_id"], order, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
+    later = asked.filter(F.col("_upto") > rare).join(reached, "query_id", "left").filter(
+        F.col("_left") / F.col("_n") + F.col("_bonus") + 1e-6 >= F.coalesce("_kth", F.lit(0.0)))
+    rest = scored(looked_up(later).join(near, ["query_id", "case_id"], "left_anti"))
+    return top_k(near.unionByName(rest), ["query_id"], order, k)
 
 
 def record_cases(cases: DataFrame, path: str) -> None:

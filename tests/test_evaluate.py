@@ -149,18 +149,38 @@ def test_similar_cases(spark):
     assert got == pytest.approx({("q1", 1): 1.0, ("q1", 2): 0.2 - 1 / 2 ** 0.5, ("q2", 1): 0.0, ("q2", 2): 0.0, ("q2", 3): 1.0, ("q3", 3): 0.2}, abs=1e-6)
 
 
-def test_case_retrieval_equals_full_scan(spark):
+@pytest.mark.parametrize("rare", [0, 12, 1000])
+def test_case_retrieval_equals_full_scan(spark, rare):
     random.seed(9)
     words = [f"w{i}" for i in range(30)]
-    case = [(i, sorted(random.sample(words, 4)), [f"c{i % 4}"], f"d{i % 3}") for i in range(60)]
-    query = [(f"q{i}", sorted(random.sample(words, 3)) if i else ["none"], [f"c{i}"], f"d{i % 4}") for i in range(8)]
+    # most cases hold "common"; components and dataset of many cases are alike, some are missing
+    case = [(i, sorted(random.sample(words, 4)) + (["common"] if i % 5 else []), [f"c{i % 4}"], f"d{i % 3}") for i in range(60)]
+    case += [(90, None, None, None), (91, [], ["c1", "c2", "c1"], "d0"), (92, ["w1", "w1", "w2"], [], None)]
+    query = [(f"q{i}", sorted(random.sample(words, 3)) + ["common"] * (i % 2) if i else ["none"], [f"c{i}"], f"d{i % 4}") for i in range(8)]
+    query += [("all", words, ["c0", "c1", "c3"], "d1"), ("null", None, None, None), ("common", ["common"], [], "d9"), ("two", ["w1", "w1", "w2"], ["c2"], None)]
     schema = "{} , tokens array<string>, components array<string>, dataset string"
-    got = M.retrieve_cases(spark.createDataFrame(query, schema.format("query_id string")), spark.createDataFrame(case, schema.format("case_id long")))
-    want = set()
-    for q in query:
-        scored = [(-(len(set(q[1]) & set(c[1])) / max(1, len(q[1])) + (0.2 if q[3] == c[3] else 0) + 0.1 * len(set(q[2]) & set(c[2]))), c[0]) for c in case]
-        want |= {(q[0], cid) for s, cid in sorted((round(s, 6), cid) for s, cid in scored)[:3] if s < 0}
-    assert {(r.query_id, r.case_id) for r in got.collect()} == want
+    got = M.retrieve_cases(spark.createDataFrame(query, schema.format("query_id string")), spark.createDataFrame(case, schema.format("case_id long")), rare=rare)
+    want = {}
+    for name, tokens, comps, dataset in query:
+        tokens, comps = set(tokens or ()), set(comps or ())
+        scored = [(-round(len(tokens & set(c[1] or ())) / max(1, len(tokens)) + (0.2 if dataset and dataset == c[3] else 0) + 0.1 * len(comps & set(c[2] or ())), 6), c[0]) for c in case]
+        want |= {(name, cid): (-s, place) for place, (s, cid) in enumerate(sorted(scored)[:3], 1) if s < 0}
+    found = {(r.query_id, r.case_id): (r.score, r["rank"]) for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_cases_that_all_hold_a_token(spark):
+    """20,000 cases hold one token; the rare words decide."""
+    cases = spark.range(20_000).select(F.col("id").alias("case_id"), F.array(F.lit("common"), F.concat(F.lit("w"), (F.col("id") % 5000).cast("string"))).alias("tokens"),
+                                       F.array(F.lit("c")).alias("components"), F.lit("d").alias("dataset"))
+    queries = spark.range(200).select(F.concat(F.lit("q"), "id").alias("query_id"), F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("tokens"),
+                                      F.array(F.lit("c")).alias("components"), F.lit("d").alias("dataset"))
+    got = {}
+    out = M.retrieve_cases(queries, cases)
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.case_id, r.score))
+    assert all(sorted(got[f"q{i}"]) == [(1, i, pytest.approx(1.3)), (2, i + 5000, pytest.approx(1.3)), (3, i + 10000, pytest.approx(1.3))] for i in range(200))
+    assert M.retrieve_cases(queries, cases.limit(0)).count() == M.retrieve_cases(queries.limit(0), cases).count() == 0
 
 
 def test_first_per_interval_skips_nulls(spark):
