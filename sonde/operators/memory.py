@@ -24,33 +24,106 @@ def cosine(a: str, b: str, norm_a: str, norm_b: str):
     return F.when(ok, dot / F.greatest(F.col(norm_a) * F.col(norm_b), F.lit(1e-300))).otherwise(0.0)
 
 
-def relevant_pairs(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """Query-case pairs sharing component or anomaly type; all cases for a query that shares neither.
+def _same(a, b):
+    """Equality in which a null equals nothing."""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def _meet(queries: DataFrame, store: DataFrame, salt) -> DataFrame:
+    """Rows of ``queries`` (q_component, q_type) with the rows of ``store`` that are relevant to them.
 
     Two equi-joins whose second skips what the first already paired. Queries without any
-    relevant case are a stated set that meets all of the store in blocks, one for each shuffle partition.
+    relevant case are a stated set that meets all of the store in blocks (``salt`` spreads them).
     """
-    q = with_norm(queries).select("query_id", F.col("component").alias("q_component"), F.col("anomaly_type").alias("q_type"),
-                                  F.col("pattern").alias("q_pattern"), F.col("norm").alias("q_norm"))
-    s = with_norm(store)
     salts = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_component = q.join(s, F.col("q_component") == F.col("component"))
-    by_type = q.join(s, F.col("q_type") == F.col("anomaly_type")).filter(F.col("q_component") != F.col("component"))
-    alone = (q.join(s.select(F.col("component").alias("q_component")).distinct(), "q_component", "left_anti")
-             .join(s.select(F.col("anomaly_type").alias("q_type")).distinct(), "q_type", "left_anti")
-             .select(*q.columns, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")))
-    spread = s.withColumn("_salt", F.pmod(F.hash("case_id"), F.lit(salts)))
-    rest = alone.join(spread, "_salt").drop("_salt")
+    by_component = queries.join(store, F.col("q_component") == F.col("component"))
+    by_type = queries.join(store, F.col("q_type") == F.col("anomaly_type")).filter(~_same(F.col("q_component"), F.col("component")))
+    alone = (queries.join(store.select(F.col("component").alias("q_component")).distinct(), "q_component", "left_anti")
+             .join(store.select(F.col("anomaly_type").alias("q_type")).distinct(), "q_type", "left_anti")
+             .select(*queries.columns, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")))
+    rest = alone.join(store.withColumn("_salt", F.pmod(salt, F.lit(salts))), "_salt").drop("_salt")
     return by_component.unionByName(by_type).unionByName(rest)
 
 
-def similar_cases(queries: DataFrame, store: DataFrame, k: int = 3) -> DataFrame:
-    """Best ``k`` cases per query: cosine + 0.2 for the component + 0.2 for the type, at most 1."""
-    score = (cosine("q_pattern", "pattern", "q_norm", "norm")
-             + F.when(F.col("q_component") == F.col("component"), 0.2).otherwise(0.0)
+def relevant_pairs(queries: DataFrame, store: DataFrame) -> DataFrame:
+    """Ids of query and case that share component or anomaly type; all cases for a query that shares neither."""
+    q = queries.select("query_id", F.col("component").alias("q_component"), F.col("anomaly_type").alias("q_type"))
+    return _meet(q, store.select("case_id", "component", "anomaly_type"), F.hash("case_id")).select("query_id", "case_id")
+
+
+BLOCK = ["component", "anomaly_type", "block"]
+
+
+def _in_block():
+    """Join condition of a case with a visited block; nulls of component and type match themselves."""
+    return (F.col("block") == F.col("_b_block")) & F.col("component").eqNullSafe(F.col("_b_component")) & F.col(
+        "anomaly_type").eqNullSafe(F.col("_b_anomaly_type"))
+
+
+def case_blocks(store: DataFrame, rows: int) -> DataFrame:
+    """Cases with ``norm``, ``unit`` (absolute weights over the norm) and a ``block`` of about ``rows`` alike cases.
+
+    Cases of a component and type are alike when their heaviest feature and its share, in
+    eighths, agree; a shape with more than ``rows`` cases is cut by a hash of case_id.
+    """
+    s = with_norm(store.select("case_id", "component", "anomaly_type", "pattern"))
+    unit = F.when(F.col("norm") >= 1e-12, F.transform(F.map_entries("pattern"), lambda e: F.struct(
+        (F.abs(e["value"]) / F.col("norm")).alias("u"), e["key"].alias("f"))))
+    s = s.withColumn("unit", F.coalesce(unit, F.array().cast("array<struct<u:double,f:string>>"))).withColumn("_top", F.array_max("unit"))
+    shape = F.xxhash64("component", "anomaly_type", "_top.f", F.floor(F.coalesce("_top.u", F.lit(0.0)) * 8))
+    s = s.withColumn("_shape", shape)
+    parts = s.groupBy("_shape").agg(F.ceil(F.count("*") / rows).cast("bigint").alias("_parts"))
+    cut = F.pmod(F.xxhash64("case_id"), F.col("_parts"))
+    return s.join(parts, "_shape").withColumn("block", F.xxhash64("_shape", cut)).drop("_top", "_shape", "_parts")
+
+
+def block_bounds(blocks: DataFrame) -> DataFrame:
+    """Per block its number of cases ``n`` and the largest unit weight of each feature."""
+    entries = F.concat(F.array(F.struct(F.lit(0.0).alias("u"), F.lit(None).cast("string").alias("f"))), "unit")
+    top = blocks.select(*BLOCK, F.inline(entries)).groupBy(*BLOCK, "f").agg(F.max("u").alias("u"), F.count("*").alias("_n"))
+    return top.groupBy(*BLOCK).agg(
+        F.max(F.when(F.col("f").isNull(), F.col("_n"))).alias("n"),
+        F.map_from_entries(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "u")))).alias("most"))
+
+
+def similar_cases(queries: DataFrame, store: DataFrame, k: int | None = 3, rows: int = 4096, direct: int = 50_000) -> DataFrame:
+    """Best ``k`` cases per query: cosine + 0.2 for the component + 0.2 for the type, at most 1 (None: all, ranked).
+
+    Exact, without scoring every relevant pair: no case of a block scores above the sum of the
+    query's unit weights times the block's largest ones. Blocks of the highest bounds that
+    hold ``k`` cases give the k-th best score so far; of the others only those whose bound
+    reaches it are scored. A task scores whole blocks and keeps its best ``k`` of each query,
+    so patterns are shuffled per block and never per pair. A store of at most ``direct`` cases,
+    for which bounds cost more than they save, is scored whole with the same result.
+    ``query_id`` is unique; null patterns score 0, null components or types match nothing.
+    """
+    q = with_norm(queries).select("query_id", F.col("component").alias("q_component"), F.col("anomaly_type").alias("q_type"),
+                                  F.col("pattern").alias("q_pattern"), F.col("norm").alias("q_norm"))
+    bonus = (F.when(F.col("q_component") == F.col("component"), 0.2).otherwise(0.0)
              + F.when(F.col("q_type") == F.col("anomaly_type"), 0.2).otherwise(0.0))
-    scored = relevant_pairs(queries, store).withColumn("similarity", S.rounded(F.least(F.lit(1.0), score), 6))
-    return top_k(scored.select("query_id", "case_id", "similarity"), ["query_id"], [F.desc("similarity"), "case_id"], k)
+    similarity = S.rounded(F.least(F.lit(1.0), cosine("q_pattern", "pattern", "q_norm", "norm") + bonus), 6).alias("similarity")
+    order = [F.desc("similarity"), "case_id"]
+    if k is None or store.select(F.lit(1)).limit(direct + 1).count() <= direct:
+        pairs = _meet(q, with_norm(store.select("case_id", "component", "anomaly_type", "pattern")), F.hash("case_id"))
+        return top_k(pairs.select("query_id", "case_id", similarity), ["query_id"], order, k)
+
+    q, blocks = written(q, "asked"), written(case_blocks(store, rows), "blocks")
+    reach = F.aggregate(F.map_entries("q_pattern"), F.lit(0.0), lambda acc, e: acc + F.abs(e["value"]) * F.coalesce(
+        F.try_element_at("most", e["key"]), F.lit(0.0))) / F.greatest("q_norm", F.lit(1e-300))
+    # the slack covers the rounding of scores to six places
+    bound = F.least(F.lit(1.0), F.least(F.lit(1.0), F.when(F.col("q_norm") >= 1e-12, reach).otherwise(0.0)) + bonus) + 1e-6
+    bounds = _meet(q, written(block_bounds(blocks), "bounds"), F.col("block")).select("query_id", *BLOCK, "n", bound.alias("bound"))
+    before = W.partitionBy("query_id").orderBy(F.desc("bound"), *BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    bounds = written(bounds.withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0)) < k), "reach")
+
+    def scored(visits):
+        asked = visits.select("query_id", *[F.col(c).alias(f"_b_{c}") for c in BLOCK]).join(q, "query_id")
+        return blocks.join(asked, _in_block()).select("query_id", "case_id", similarity)
+
+    near = written(top_k(scored(bounds.filter("_first")), ["query_id"], order, k), "near")
+    reached = near.filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("_kth"))
+    later = bounds.filter("NOT _first").join(reached, "query_id").filter("bound >= _kth")
+    return top_k(near.drop("rank").unionByName(scored(later)), ["query_id"], order, k)
 
 
 def statistics(store: DataFrame) -> DataFrame:

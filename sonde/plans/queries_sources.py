@@ -65,9 +65,10 @@ def window_scan(spark, sf_dir):
     from sonde.operators.windows import window_join
     path = _folder(spark, sf_dir, "parquet", lambda p: TM.write_telemetry(
         T.raw_metrics(spark, sf_dir), p))
-    # the day of the incident window prunes partitions, the time range prunes row groups
+    # the days of the incident windows prune partitions, their times prune row groups
     rows = spark.read.parquet(path).withColumn("day", F.col("day").cast("bigint"))
-    return window_join(rows, T.incidents(spark, sf_dir)).select(
+    incidents = T.incidents(spark, sf_dir)
+    return window_join(TM.scan_windows(rows, incidents), incidents).select(
         "incident_id", "component", "kpi", "ts", "value")
 
 

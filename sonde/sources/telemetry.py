@@ -127,9 +127,35 @@ def dated(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.floor(F.col("ts") / 86400).cast("bigint"))
 
 
-def write_telemetry(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by day; sorted by time inside a file for row-group pruning."""
-    df.sortWithinPartitions("day", "ts").write.mode("overwrite").partitionBy("day").parquet(path)
+def write_telemetry(df: DataFrame, path: str, rows_per_file: int = 8_000_000, group_bytes: int = 16 << 20) -> None:
+    """Parquet partitioned by day, in files that each hold a range of (day, ts).
+
+    The number of files comes from the counted rows: one for each ``rows_per_file``, and one
+    more at most for each day, instead of tasks times days. Rows are sorted by time, so the footers of the row groups (about ``group_bytes`` each) let a scan skip
+    all times it does not ask for. A hot day or hour spans as many ranges as its rows need;
+    rows of one time may be cut too, as a digest of the row is the last part of the order.
+    Days that are null get their own folder; an empty table is written as one empty folder.
+    """
+    files = max(1, -(-df.count() // rows_per_file))
+    order = [F.col("day"), F.col("ts"), F.xxhash64(*df.columns)]
+    (df.repartitionByRange(files, *order).sortWithinPartitions("day", "ts")
+     .write.mode("overwrite").option("parquet.block.size", group_bytes).partitionBy("day").parquet(path))
+
+
+def scan_windows(rows: DataFrame, windows: DataFrame, start: str = "start_ts", end: str = "end_ts") -> DataFrame:
+    """The stored rows that may lie in a window: all times from the first start to the last end.
+
+    The two bounds are scalar subqueries, which Spark hands to the Parquet reader as values:
+    row groups whose footers lie outside are not read, and where ``day`` is a number (``dated``)
+    other days are not even listed. No windows: no rows.
+    """
+    # an aggregate and a top row: two aggregates would be merged into one struct, which is not pushed down
+    first = windows.agg(F.min(start)).scalar()
+    last = windows.select(end).orderBy(F.desc(end)).limit(1).scalar()
+    found = rows.filter((F.col("ts") >= first) & (F.col("ts") <= last))
+    if dict(rows.dtypes).get("day") in ("int", "bigint"):
+        found = found.filter((F.col("day") >= F.floor(first / 86400)) & (F.col("day") <= F.floor(last / 86400)))
+    return found
 
 
 def mean_per_timestamp(df: DataFrame, keys, how: str = "mean") -> DataFrame:

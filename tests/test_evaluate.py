@@ -149,6 +149,64 @@ def test_similar_cases(spark):
     assert got == pytest.approx({("q1", 1): 1.0, ("q1", 2): 0.2 - 1 / 2 ** 0.5, ("q2", 1): 0.0, ("q2", 2): 0.0, ("q2", 3): 1.0, ("q3", 3): 0.2}, abs=1e-6)
 
 
+@pytest.mark.parametrize("rows, direct", [(7, 0), (4096, 0), (4096, 50_000)])
+def test_similar_cases_equal_full_scan(spark, rows, direct):
+    """Hot component, alike cases, negative weights, empty and null patterns, null components and types."""
+    rng = random.Random(3)
+
+    def pattern():
+        return {f"f{i}": rng.choice([-1.0, 0.5, 1.0, 2.0, rng.random()]) for i in rng.sample(range(12), rng.randint(1, 5))}
+
+    alike = [pattern() for _ in range(6)]
+    store = [(i, "hot" if i % 3 == 0 else rng.choice(["a", "b", None]), rng.choice(["t", "u", None]),
+              rng.choice([pattern(), rng.choice(alike), rng.choice(alike), {}, None])) for i in range(400)]
+    asked = [(f"q{i}", rng.choice(["hot", "a", "new", None]), rng.choice(["t", "new", None]), rng.choice([pattern(), rng.choice(alike)])) for i in range(25)]
+    asked += [("empty", "hot", "t", {}), ("null", None, None, None), ("alone", "new", "new", alike[0])]
+
+    def score(q, c):
+        a, b = q[3] or {}, c[3] or {}
+        na, nb = (sum(v * v for v in m.values()) ** 0.5 for m in (a, b))
+        cos = sum(v * b.get(f, 0.0) for f, v in a.items()) / (na * nb) if na and nb else 0.0
+        same = [x is not None and x == y for x, y in zip(q[1:3], c[1:3])]
+        return any(same), round(min(1.0, cos + 0.2 * same[0] + 0.2 * same[1]), 6)
+
+    q = spark.createDataFrame(asked, "query_id string, component string, anomaly_type string, pattern map<string,double>")
+    s = spark.createDataFrame(store, "case_id long, component string, anomaly_type string, pattern map<string,double>").repartition(5)
+    everything, pairs = {}, set()
+    for x in asked:
+        met = [(c[0], score(x, c)) for c in store]
+        kept = [m for m in met if m[1][0]] or met
+        pairs |= {(x[0], c) for c, _ in kept}
+        everything[x[0]] = sorted(((v, c) for c, (_, v) in kept), key=lambda r: (-r[0], r[1]))
+    assert {tuple(r) for r in M.relevant_pairs(q, s).collect()} == pairs
+    for k in (3, None):
+        got = {}
+        for r in M.similar_cases(q, s, k, rows, direct).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.similarity, r.case_id)
+        for name, want in everything.items():
+            # scores that differ by rounding alone may swap ties
+            assert [got[name][i + 1][0] for i in range(len(got[name]))] == pytest.approx([v for v, _ in want[:k]], abs=2e-6)
+            assert len({c for _, c in got[name].values()}) == len(want[:k])
+            assert all(abs(v - dict((c, w) for w, c in want)[c]) < 2e-6 for v, c in got[name].values())
+    assert M.similar_cases(q, s.limit(0), direct=direct).count() == M.similar_cases(q.limit(0), s, direct=direct).count() == 0
+
+
+def test_blocks_out_of_reach_are_not_scored(spark):
+    """20,000 cases of one component in 20 shapes: a query scores the blocks of its own shape only."""
+    i = F.col("id")
+    store = spark.range(20_000).select(i.alias("case_id"), F.lit("c").alias("component"), F.lit("t").alias("anomaly_type"), F.create_map(
+        F.concat(F.lit("f"), (i % 20).cast("string")), F.lit(1.0), F.lit("rest"), (i % 7) / 1000).alias("pattern"))
+    queries = spark.createDataFrame([("q", "c", "t", {"f4": 1.0})], "query_id string, component string, anomaly_type string, pattern map<string,double>")
+    blocks = M.case_blocks(store, 100)
+    sizes = blocks.groupBy("block").count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    assert sizes[0] < 200 and sizes[1] == 20_000 and sizes[2] >= 190
+    near = M.block_bounds(blocks).filter(F.try_element_at("most", F.lit("f4")) > 0.5)
+    assert near.agg(F.sum("n")).first()[0] == 1000
+    found = M.similar_cases(queries, store, 3, 100, direct=0).orderBy("rank").collect()
+    # full likeness and both bonuses: at most 1, so the first ids of the shape
+    assert [(r.case_id, r.similarity) for r in found] == [(4, 1.0), (24, 1.0), (44, 1.0)]
+
+
 @pytest.mark.parametrize("rare", [0, 12, 1000])
 def test_case_retrieval_equals_full_scan(spark, rare):
     random.seed(9)
