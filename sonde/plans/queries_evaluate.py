@@ -57,6 +57,12 @@ def task_generation(spark, sf_dir):
     return TK.generate_tasks(T.records(spark, sf_dir))
 
 
+@query("chk4_criteria", """
+SELECT slot, CAST(pos AS INTEGER) AS position, row_id, ts, component, reason, CASE WHEN num > 1 THEN pos || '-th' ELSE 'only' END AS idx FROM slot_records""")
+def criteria_relation(spark, sf_dir):
+    return TK.criteria(T.records(spark, sf_dir)).drop("num")
+
+
 # ------------------------------------------------------------------ predictions for the generated tasks
 cte("predictions", """
 WITH p AS (SELECT r.row_id, r.slot, q.pos, q.ts + CASE WHEN r.row_id % 2 = 0 THEN 30 ELSE 90 END + 28800 AS t,

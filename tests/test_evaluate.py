@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -7,9 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sonde.functions import fixed as V
 from sonde.operators import evaluate as E
 from sonde.operators import memory as M
 from sonde.operators import sample as SM
+from sonde.operators import tasks as TK
 
 
 def answer(n, t=None, c=None, r=None):
@@ -149,6 +152,30 @@ def test_similar_cases(spark):
     assert got == pytest.approx({("q1", 1): 1.0, ("q1", 2): 0.2 - 1 / 2 ** 0.5, ("q2", 1): 0.0, ("q2", 2): 0.0, ("q2", 3): 1.0, ("q3", 3): 0.2}, abs=1e-6)
 
 
+def test_criteria_of_a_hot_half_hour(spark):
+    """Over half of 1,500 failures in one half hour, ties in time: rows by number, one text per task type that occurs."""
+    rows = [(i, (7 if i % 5 < 3 else 50 + i % 200) * 1800 + (i * 37 % 1800) // 60, f"c{i % 9}", None if i == 11 else f"r{i % 4}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "row_id long, ts long, component string, reason string").repartition(6)
+    got = {(r.slot, r.position): r for r in TK.criteria(df).collect()}
+    per: dict = {}
+    for r in rows:
+        per.setdefault(r[1] // 1800 * 1800, []).append(r)
+    texts = {r.row_id: r for r in TK.generate_tasks(df).collect()}
+    assert len(got) == len(texts) == 1500 and len(per[7 * 1800]) == 900
+    for slot, inside in per.items():
+        for place, r in enumerate(sorted(inside, key=lambda x: (x[1], x[0])), 1):
+            row = got[slot, place]
+            assert (row.row_id, row.ts, row.component, row.reason) == r
+            assert row.idx == (f"{place}-th" if len(inside) > 1 else "only")
+            assert texts[r[0]].num == len(inside)
+            found = re.findall(V.COMPONENT_CRITERION_RE, texts[r[0]].scoring_points)
+            if found:
+                assert found == [x[2] for x in sorted(inside, key=lambda x: (x[1], x[0]))]
+    lines = TK.criteria_lines(TK.task_rows(df), TK.criteria(df))
+    assert lines.count() <= 7 * 1500 and lines.groupBy("slot", "task_index", "position").count().filter("count > 1").count() == 0
+    assert TK.criteria(df.limit(0)).count() == TK.generate_tasks(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("rows, direct", [(7, 0), (4096, 0), (4096, 50_000)])
 def test_similar_cases_equal_full_scan(spark, rows, direct):
     """Hot component, alike cases, negative weights, empty and null patterns, null components and types."""
