@@ -17,11 +17,12 @@ def _with_stats(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, befo
     """Incident rows, one per timestamp, next to the statistics of their series-day.
 
     Only rows of the windows (and ``before`` seconds ahead of them) are made unique and
-    shuffled; the range join reaches the scan first.
+    shuffled; the range join reaches the scan first. What a KPI's name tells (``_traits``)
+    is looked up once per series-day, not per row.
     """
     wide = incidents.select("incident_id", "start_ts", "end_ts", (F.col("start_ts") - before).alias("_from"))
     rows = window_join(metrics, wide, start="_from").groupBy(*KEYS, "day", "ts", "start_ts").agg(F.avg("value").alias("value"))
-    return rows.join(stats, [*SERIES, "day"])
+    return rows.join(stats.withColumn("_traits", S.kpi_traits(F.col("kpi"))), [*SERIES, "day"])
 
 
 def points_a(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, reasons,
@@ -30,22 +31,20 @@ def points_a(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, reasons
 
     ``stats`` are the day thresholds at 0.95 / 0.05.
     """
-    low = F.lower("kpi")
-    v, zero = F.col("value"), F.lit(0.0)
-    low_cut = F.when(S.is_low_sensitive(F.col("kpi")), F.col("q10")).otherwise(F.col("low"))
+    v, zero, traits = F.col("value"), F.lit(0.0), F.col("_traits")
+    low_cut = F.when(S.has_trait(traits, "low_sensitive"), F.col("q10")).otherwise(F.col("low"))
     hint = S.reason_hint(F.concat("kpi", F.lit(f" {file_name}")), reasons, V.REASON_HINT_RULES_SHORT)
-    df = (_with_stats(metrics, stats, incidents).filter("n >= 4")
-          .withColumn("reason_hint", hint)
+    df = (_with_stats(metrics, stats.filter("n >= 4").withColumn("reason_hint", hint), incidents)
           .withColumn("_high", F.greatest(
               zero, (v - F.col("high")) / F.col("scale"),
-              S.saturation_open(F.col("kpi"), v, F.col("median"), F.col("high"))))
+              S.saturation_open(F.col("kpi"), v, F.col("median"), F.col("high"), traits)))
           .withColumn("_cut", low_cut)
           .withColumn("_low", F.greatest(zero, (F.col("_cut") - v) / F.col("scale")))
           .withColumn("direction", F.when(F.col("_high") >= F.col("_low"), "high").otherwise("low"))
           .withColumn("threshold", F.when(F.col("direction") == "high", F.col("high")).otherwise(F.col("_cut"))))
     spike = F.when((F.col("high") <= 1e-9) & (F.abs(v) < 1.0),
                    F.when(F.col("reason_hint").isNotNull(), 2.5).otherwise(1.75)).otherwise(F.lit(1e308))
-    agent = F.when(F.contains(low, F.lit("zabbix_agentd")), 1.5).otherwise(F.lit(1e308))
+    agent = F.when(S.has_trait(traits, "agent"), 1.5).otherwise(F.lit(1e308))
     score = F.least(F.greatest("_high", "_low"), spike, agent)
     return df.withColumn("score", score).filter("score >= 0.35").select(
         *KEYS, "ts", "value", "score", "direction", "threshold", "median_gap", "reason_hint")
@@ -82,14 +81,12 @@ def points_b(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, baselin
     are windows over the rows of an incident's series (bounded by a day of timestamps), in
     the partitioning that the islands use next.
     """
-    kpi = F.lower("kpi")
-    v, zero = F.col("value"), F.lit(0.0)
+    v, zero, traits = F.col("value"), F.lit(0.0), F.col("_traits")
     rows = _with_stats(metrics, stats, incidents, baseline or 0)
     inside = F.col("ts") >= F.col("start_ts")
     w = W.partitionBy(*KEYS)
     over = lambda c: F.avg(F.when(inside, c)).over(w)
-    memory = S.has_any(kpi, V.MEMORY_WORDS)
-    cpu = F.contains(kpi, F.lit("cpu")) & S.has_any(kpi, ("util", "percent", "pct"))
+    memory, cpu = S.has_trait(traits, "memory"), S.has_trait(traits, "cpu_util")
     df = rows.select(
         "*", F.count(F.when(inside, v)).over(w).alias("_n"), over(v).alias("_mean"),
         over((v >= 95).cast("double")).alias("_at95"), over((v >= 90).cast("double")).alias("_at90"),
@@ -112,9 +109,9 @@ def points_b(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, baselin
         return F.when(c > 1.0, 0.3 * c).otherwise(c)
 
     high = relative(v - F.col("high"), F.col("high"))
-    low = relative(F.col("low") - v, F.col("low")) * F.when(S.is_low_sensitive(F.col("kpi")), 1.0).otherwise(0.25)
+    low = relative(F.col("low") - v, F.col("low")) * F.when(S.has_trait(traits, "low_sensitive"), 1.0).otherwise(0.25)
     df = (df.withColumn("_hi", F.greatest(
-              squeeze(high), S.saturation_bounded(F.col("kpi"), v, F.col("median"), F.col("high")), change, held))
+              squeeze(high), S.saturation_bounded(F.col("kpi"), v, F.col("median"), F.col("high"), traits), change, held))
           .withColumn("_lo", squeeze(low))
           .withColumn("direction", F.when(F.col("_hi") >= F.col("_lo"), "high").otherwise("low"))
           .withColumn("deviation", F.greatest("_hi", "_lo"))

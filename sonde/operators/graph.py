@@ -26,12 +26,21 @@ def aligned(edges: DataFrame, intensity: DataFrame) -> DataFrame:
     Built as a bag union and a grouping, so one shuffle by edge and time replaces the outer
     join of two large sides.
     """
+    return _outer(_both_ends(edges, intensity))
+
+
+def _both_ends(edges: DataFrame, intensity: DataFrame) -> DataFrame:
+    """Bag of both ends' intensity, that of the other end zero."""
     e = edges.select(*EDGE)
     x = e.join(intensity.withColumnRenamed("component", "source"), ["incident_id", "source"]).select(
         *EDGE, "ts", F.col("intensity").alias("x"), F.lit(0.0).alias("y"))
     y = e.join(intensity.withColumnRenamed("component", "target"), ["incident_id", "target"]).select(
         *EDGE, "ts", F.lit(0.0).alias("x"), F.col("intensity").alias("y"))
-    return x.unionByName(y).groupBy(*EDGE, "ts").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return x.unionByName(y)
+
+
+def _outer(ends: DataFrame) -> DataFrame:
+    return ends.groupBy(*EDGE, "ts").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
 
 def lag_scores(merged: DataFrame, max_lag: int = 5) -> DataFrame:
@@ -40,12 +49,34 @@ def lag_scores(merged: DataFrame, max_lag: int = 5) -> DataFrame:
     All shifts are ``lead`` columns of one window and all correlations one aggregation.
     Lags with fewer than three pairs or a flat side do not count.
     """
+    return _lag_choice(_lag_correlations(merged, max_lag), max_lag)
+
+
+def edge_lag_scores(edges: DataFrame, intensity: DataFrame, max_lag: int = 5) -> DataFrame:
+    """:func:`lag_scores` of the :func:`aligned` series of every edge.
+
+    An edge and its reverse have the same series with their sides changed, so a pair's series is
+    built and correlated once; its correlations forward are those backward of the reverse. The
+    pair's rows meet in one shuffle, which the series' windows use too.
+    """
+    lags = [k for k in range(max_lag + 1) if k]
+    own = edges.select(*EDGE).distinct()
+    pair = own.select("incident_id", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    found = _lag_correlations(_outer(_both_ends(pair, intensity).repartition(*EDGE)), max_lag)
+    same = [F.col("_n"), F.col("_c0")]
+    straight = F.struct("source", "target", *same, *[F.col(f"_{d}{k}") for d in "fr" for k in lags])
+    turned = F.struct(F.col("target").alias("source"), F.col("source").alias("target"), *same, *[
+        F.col(f"_{b}{k}").alias(f"_{a}{k}") for a, b in ("fr", "rf") for k in lags])
+    each = F.when(F.col("source") == F.col("target"), F.array(straight)).otherwise(F.array(straight, turned))
+    return _lag_choice(found.select("incident_id", F.inline(each)).join(own, EDGE, "left_semi"), max_lag)
+
+
+def _lag_correlations(merged: DataFrame, max_lag: int) -> DataFrame:
+    """Rows of a series and its correlations: at once, x before y and y before x by every lag."""
     w = W.partitionBy(*EDGE).orderBy("ts")
-    whole = W.partitionBy(*EDGE)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in order too: one sort, and a mean that reruns repeat
     lags = range(max_lag + 1)
-    centred = merged.select(*EDGE, "ts", *[(F.col(c) - F.avg(c).over(whole)).alias(f"_{c}0") for c in ("x", "y")])
-    df = centred.select(*EDGE, "_x0", "_y0", *[
-        F.lead(f"_{c}0", k).over(w).alias(f"_{c}{k}") for c in ("x", "y") for k in lags if k])
+    df = merged.select(*EDGE, *[(F.lead(c, k).over(w) - F.avg(c).over(whole)).alias(f"_{c}{k}") for c in ("x", "y") for k in lags])
     sums = {}
 
     def total(name, c):
@@ -65,8 +96,12 @@ def lag_scores(merged: DataFrame, max_lag: int = 5) -> DataFrame:
 
     parts = {"_c0": corr("_x0", "_y0", 0), **{f"_f{k}": corr("_x0", f"_y{k}", k) for k in lags if k},
              **{f"_r{k}": corr("_y0", f"_x{k}", k) for k in lags if k}}
-    g = df.groupBy(*EDGE).agg(F.count("*").alias("_n"), *sums.values()).select(
+    return df.groupBy(*EDGE).agg(F.count("*").alias("_n"), *sums.values()).select(
         *EDGE, "_n", *[c.alias(name) for name, c in parts.items()])
+
+
+def _lag_choice(g: DataFrame, max_lag: int) -> DataFrame:
+    lags = range(max_lag + 1)
     forward = F.greatest(*[F.col(f"_f{k}") for k in lags if k])
     back = F.greatest(*[F.col(f"_r{k}") for k in lags if k])
     total = forward + back

@@ -27,24 +27,25 @@ def mine_calls(logs: DataFrame, incidents: DataFrame, components) -> DataFrame:
     oracle, plain = _first(components, "oracle"), _first(components, r"db_\d+")
     caches = sorted(c for c in components if "redis" in c.lower())
     v, own = F.col("value"), F.col("component")
-    source = F.regexp_extract(v, V.DATASOURCE_RE, 1)
+    named = F.col("log_name").rlike(V.ACCESS_LOG_RE) if "log_name" in logs.columns else F.lit(True)
+    # each pattern is tried once a line: what it finds is a column before it is used
+    rows = window_join(logs, incidents).select(
+        "incident_id", "component", F.regexp_extract(v, V.DATASOURCE_RE, 1).alias("_source"), F.regexp_extract(v, V.JDBC_RE, 1).alias("_host"),
+        F.when(named, F.nullif(F.regexp_extract(v, V.ACCESS_RE, 1), F.lit(""))).alias("_caller"), v.rlike(V.CACHE_POOL_RE).alias("_pool"))
+    source, caller = F.col("_source"), F.col("_caller")
     target = (F.when((source == "") | F.upper(source).isin(*V.DATASOURCE_NOISE), F.lit(None))
               .when(source.rlike("(?i)mysql"), F.lit(db)).when(source.rlike("(?i)redis"), F.lit(cache))
               .when(source.rlike("(?i)oracle"), F.lit(oracle)).otherwise(F.lit(plain)))
-    host = F.regexp_extract(v, V.JDBC_RE, 1)
-    url = F.when(host.rlike(V.IP_RE), F.lit(db or cache))
-    named = F.col("log_name").rlike(V.ACCESS_LOG_RE) if "log_name" in logs.columns else F.lit(True)
-    caller = F.when(named, F.nullif(F.regexp_extract(v, V.ACCESS_RE, 1), F.lit("")))
+    url = F.when(F.col("_host").rlike(V.IP_RE), F.lit(db or cache))
     caller = F.when(~F.lower(caller).isin(*V.ACCESS_NOISE) & (caller != own), caller)
-    hint = lambda a, b, n: F.when(a.isNotNull() & b.isNotNull(), F.struct(
-        a.alias("caller"), b.alias("callee"), F.lit(n).cast("bigint").alias("calls")))
-    rows = window_join(logs, incidents)
-    hints = F.array_compact(F.array(hint(own, target, V.LOG_CALLS), hint(own, url, V.LOG_CALLS), hint(caller, own, 1)))
-    lines = rows.select("incident_id", F.explode(hints).alias("h")).select("incident_id", "h.*")
-    pools = (rows.filter(v.rlike(V.CACHE_POOL_RE)).select("incident_id", F.col("component").alias("caller")).distinct()
-             .select("incident_id", "caller", F.explode(F.array(*[F.lit(c) for c in caches]).cast("array<string>")).alias("callee"),
-                     F.lit(V.LOG_CALLS).cast("bigint").alias("calls")))
-    return lines.unionByName(pools).groupBy("incident_id", "caller", "callee").agg(F.sum("calls").alias("calls"))
+    hint = lambda a, b, n, once=False: F.when(a.isNotNull() & b.isNotNull(), F.struct(
+        a.alias("caller"), b.alias("callee"), F.lit(n).cast("bigint").alias("calls"), F.lit(once).alias("once")))
+    pools = [hint(F.when(F.col("_pool"), own), F.lit(c), V.LOG_CALLS, True) for c in caches]
+    hints = F.array_compact(F.array(hint(own, F.col("_target"), V.LOG_CALLS), hint(own, F.col("_url"), V.LOG_CALLS), hint(F.col("_caller"), own, 1), *pools))
+    found = rows.select("incident_id", "component", target.alias("_target"), url.alias("_url"), caller.alias("_caller"), "_pool")
+    per = found.select("incident_id", F.inline(hints)).groupBy("incident_id", "caller", "callee", "once").agg(
+        F.sum("calls").alias("_sum"), F.max("calls").alias("_one"))
+    return per.groupBy("incident_id", "caller", "callee").agg(F.sum(F.when(F.col("once"), F.col("_one")).otherwise(F.col("_sum"))).alias("calls"))
 
 
 def connection_errors(logs: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def causal_flow(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incidents
     calls = written(calls, "calls")
     nodes = written(G.select_nodes(calls, refined, s.expand), "nodes")
     pairs = G.restrict(G.causal_pairs(calls), nodes)
-    lags = G.lag_scores(G.aligned(pairs, D.intensity(points)))
+    lags = G.edge_lag_scores(pairs, D.intensity(points))
     onset = G.onset_choice(scores, WN.multi_resolution_onset(
         mean_per_timestamp(metrics, ["component", "kpi", "day"]), stats, window, s.resolutions), D.kpi_onsets(segments), s.resolutions)
     edges = written(G.weigh(pairs, lags, onset), "edges")
@@ -170,7 +170,7 @@ def causal_flow_v2(metrics: DataFrame, spans: DataFrame, logs: DataFrame, incide
     day = WN.window_join(spans, WN.whole_days(incidents)).drop("start_ts", "end_ts")
     calls = G.merge_calls(SP.component_calls(day, s.components, ["incident_id"]), TP.mine_calls(logs, window, s.components))
     calls = written(calls, "calls")
-    lags = G.lag_scores(G.aligned(G.causal_pairs(calls), D.intensity(points)))
+    lags = G.edge_lag_scores(G.causal_pairs(calls), D.intensity(points))
     edges = written(G.weigh_with_logs(calls, lags, scores), "edges")
     extra = G.isolated_edges(edges, cands).withColumn("call_count", F.lit(0).cast("bigint")).withColumn("evidence", F.lit("metric"))
     edges = written(edges.unionByName(extra), "edges-all")

@@ -54,7 +54,9 @@ def merged_series(spark, sf_dir):
 
 
 def lag_table(spark, sf_dir):
-    return stage(spark, sf_dir, "lags", lambda: G.lag_scores(merged_series(spark, sf_dir)))
+    from sonde.operators.detect import intensity
+    return stage(spark, sf_dir, "lags", lambda: G.edge_lag_scores(
+        pairs(spark, sf_dir), intensity(QD.points_b(spark, sf_dir))))
 
 
 def onsets(spark, sf_dir):
@@ -134,7 +136,7 @@ SELECT {E3}, n AS rows, CASE WHEN n >= 3 THEN least(1, greatest(c0, f)) ELSE 0 E
 
 @query("win4_lagged_correlation", f"SELECT {E3}, round(lag_corr, 6)::DOUBLE AS lag_corr FROM lags")
 def lagged(spark, sf_dir):
-    return G.lag_scores(merged_series(spark, sf_dir)).select("incident_id", "source", "target", r("lag_corr"))
+    return lag_table(spark, sf_dir).select("incident_id", "source", "target", r("lag_corr"))
 
 
 @query("win5_lead_score", f"SELECT {E3}, round(lead_score, 6)::DOUBLE AS lead_score FROM lags")
