@@ -21,7 +21,7 @@ def _with_stats(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, befo
     is looked up once per series-day, not per row.
     """
     wide = incidents.select("incident_id", "start_ts", "end_ts", (F.col("start_ts") - before).alias("_from"))
-    rows = window_join(metrics, wide, start="_from").groupBy(*KEYS, "day", "ts", "start_ts").agg(F.avg("value").alias("value"))
+    rows = window_join(metrics, wide, start="_from").groupBy(*KEYS, "day", "ts", "start_ts").agg(S.steady_mean(F.col("value")).alias("value"))
     return rows.join(stats.withColumn("_traits", S.kpi_traits(F.col("kpi"))), [*SERIES, "day"])
 
 
@@ -79,12 +79,12 @@ def points_b(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, baselin
     ``baseline`` is the length in seconds of the pre-fault window whose mean (day median when
     empty) the change term compares with; None switches the term off. Baseline and saturation
     are windows over the rows of an incident's series (bounded by a day of timestamps), in
-    the partitioning that the islands use next.
+    the partitioning and order that the islands use next, so reruns add in the same order.
     """
     v, zero, traits = F.col("value"), F.lit(0.0), F.col("_traits")
     rows = _with_stats(metrics, stats, incidents, baseline or 0)
     inside = F.col("ts") >= F.col("start_ts")
-    w = W.partitionBy(*KEYS)
+    w = W.partitionBy(*KEYS).orderBy("ts").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     over = lambda c: F.avg(F.when(inside, c)).over(w)
     memory, cpu = S.has_trait(traits, "memory"), S.has_trait(traits, "cpu_util")
     df = rows.select(

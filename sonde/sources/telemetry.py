@@ -160,7 +160,7 @@ def scan_windows(rows: DataFrame, windows: DataFrame, start: str = "start_ts", e
 
 def mean_per_timestamp(df: DataFrame, keys, how: str = "mean") -> DataFrame:
     """One value per series and timestamp."""
-    agg = F.max("value") if how == "max" else F.avg("value")
+    agg = F.max("value") if how == "max" else S.steady_mean(F.col("value"))
     return df.groupBy(*keys, "ts").agg(agg.alias("value"))
 
 

@@ -1,6 +1,9 @@
 """Steps that many queries share: word tests per series, series per pair of components, one pass over log lines."""
 
 import random
+import re
+from fractions import Fraction
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -57,3 +60,19 @@ def test_log_calls_in_one_pass(spark):
     got = {(r.caller, r.callee): r.calls for r in calls.collect()}
     assert got == {("a", "redis_03"): V.LOG_CALLS, ("a", "redis_04"): V.LOG_CALLS, ("b", "mysql_02"): 2 * V.LOG_CALLS, ("front", "mysql_02"): 1}
     assert plan(calls).count("LogicalRDD") == 2  # lines and windows, each read once
+
+
+def test_a_stage_table_has_one_builder():
+    names = [n for f in sorted((Path(__file__).parents[1] / "sonde" / "plans").glob("*.py")) for n in re.findall(r'stage\(spark, sf_dir, "(\w+)"', f.read_text())]
+    assert len(names) > 20 and len(names) == len(set(names)), [n for n in names if names.count(n) > 1]
+
+
+def test_means_do_not_depend_on_the_order_of_tasks(spark):
+    same, mixed, tiny, huge = [3.1] * 60, [0.1, 0.2, 0.3, 1e6, 7.7, 123.45] * 10, [1e-15, 3e-15], [1e300, 2e300, 3e300]
+    rows = [(k, v) for k, group in enumerate((same, mixed, tiny, huge, [None])) for v in group]
+    got = []
+    for parts in (1, 7, 60):
+        df = spark.createDataFrame(rows, "k int, v double").repartition(parts)
+        got.append({r.k: r.m for r in df.groupBy("k").agg(S.steady_mean(F.col("v")).alias("m")).collect()})
+    assert [g[1] for g in got] == [got[0][1]] * 3 and got[0][1] == sum(map(Fraction, map(str, mixed))) / 60
+    assert all(g[0] == 3.1 and abs(g[2] - 2e-15) < 1e-28 and abs(g[3] - 2e300) < 1e286 and g[4] is None for g in got)
