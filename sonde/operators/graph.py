@@ -57,12 +57,18 @@ def edge_lag_scores(edges: DataFrame, intensity: DataFrame, max_lag: int = 5) ->
 
     An edge and its reverse have the same series with their sides changed, so a pair's series is
     built and correlated once; its correlations forward are those backward of the reverse. The
-    pair's rows meet in one shuffle, which the series' windows use too.
+    pair's rows meet in one shuffle and one sort, which the series' windows use too. ``intensity``
+    has one row per component and time, so a time has at most one row of each end.
     """
     lags = [k for k in range(max_lag + 1) if k]
     own = edges.select(*EDGE).distinct()
     pair = own.select("incident_id", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
-    found = _lag_correlations(_outer(_both_ends(pair, intensity).repartition(*EDGE)), max_lag)
+    w = W.partitionBy(*EDGE).orderBy("ts")
+    both = F.lead("ts").over(w) == F.col("ts")
+    merged = _both_ends(pair, intensity).repartition(*EDGE).select(
+        *EDGE, "ts", *[F.when(both, F.col(c) + F.lead(c).over(w)).otherwise(F.col(c)).alias(c) for c in ("x", "y")],
+        F.coalesce(F.lag("ts").over(w) == F.col("ts"), F.lit(False)).alias("_second")).filter("NOT _second")
+    found = _lag_correlations(merged, max_lag)
     same = [F.col("_n"), F.col("_c0")]
     straight = F.struct("source", "target", *same, *[F.col(f"_{d}{k}") for d in "fr" for k in lags])
     turned = F.struct(F.col("target").alias("source"), F.col("source").alias("target"), *same, *[

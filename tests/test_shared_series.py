@@ -47,6 +47,8 @@ def test_edges_share_the_series_of_their_pair(spark):
     seen = lambda df: {(r.source, r.target): (r.rows, round(r.lag_corr, 12), round(r.lead_score, 12)) for r in df.collect()}
     shared = G.edge_lag_scores(edges, intensity)
     assert seen(shared) == seen(G.lag_scores(G.aligned(edges, intensity)))
+    merging = shared._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [incident_id" in merging and not re.search(r"Aggregate \[incident_id#\S+, source#\S+, target#\S+, ts#", merging)  # no table of all times
     assert set(seen(shared)) == {tuple(e) for e in ("ab", "ba", "cb", "aa", "cx")}
 
 
