@@ -68,7 +68,8 @@ def window_scan(spark, sf_dir):
     # the days of the incident windows prune partitions, their times prune row groups
     rows = spark.read.parquet(path).withColumn("day", F.col("day").cast("bigint"))
     incidents = T.incidents(spark, sf_dir)
-    return window_join(TM.scan_windows(rows, incidents), incidents).select(
+    # sorted files are small for their rows: by their size Spark would broadcast the rows, not the days
+    return window_join(TM.scan_windows(rows, incidents), F.broadcast(incidents)).select(
         "incident_id", "component", "kpi", "ts", "value")
 
 

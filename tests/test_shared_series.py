@@ -78,3 +78,9 @@ def test_means_do_not_depend_on_the_order_of_tasks(spark):
         got.append({r.k: r.m for r in df.groupBy("k").agg(S.steady_mean(F.col("v")).alias("m")).collect()})
     assert [g[1] for g in got] == [got[0][1]] * 3 and got[0][1] == sum(map(Fraction, map(str, mixed))) / 60
     assert all(g[0] == 3.1 and abs(g[2] - 2e-15) < 1e-28 and abs(g[3] - 2e300) < 1e286 and g[4] is None for g in got)
+
+
+def test_the_scan_broadcasts_windows_not_rows(spark):
+    from sonde.plans.queries_sources import window_scan
+    join = window_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[1].splitlines()[0]
+    assert "rightHint=(strategy=broadcast)" in join
