@@ -41,3 +41,25 @@ def test_trace_table_shuffles_spans_seldom(spark, tmp_path, monkeypatch):
     QC.trace_table(spark, "unused")
     plan = built["trace_table"]._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_incident_spans_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Only the grouping of the lines moves them: the windows are few, and known to be."""
+    from sonde.plans import queries_spans as QP
+    spark.range(50000).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "id % 7 AS l_suppkey", "1.0D AS l_quantity", "'N' AS l_returnflag",
+                                  "timestamp_ntz'1995-01-05 00:00:00' + make_dt_interval(cast(id % 900 AS int)) AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    built = {}
+
+    def stage(spark, sf_dir, name, build):
+        built[name] = build()
+        built[name].write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+    monkeypatch.setattr(QP, "stage", stage)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        rows = QP.incident_spans(spark, str(tmp_path))
+        plan = built["incident_spans"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert rows.count() == 50000
