@@ -1,4 +1,4 @@
-"""The trace table in one pass equals what its three single operators say, and shuffles the spans no oftener than it must."""
+"""The trace table in one pass equals what its three single operators say, and shuffles the spans seldom."""
 
 from sonde.operators import spans as SP
 
@@ -26,7 +26,7 @@ def test_profiles_equal_single_operators(spark):
 
 
 def test_trace_table_shuffles_spans_seldom(spark, tmp_path, monkeypatch):
-    """Parents, joined rows (where no side is broadcast: spans too) and traces: before, each of ten groupings and joins had its own."""
+    """Parents, joined rows (where no side is broadcast: spans too) and traces: before there were nine."""
     from sonde.plans import queries_cases as QC
     from sonde.plans import queries_spans as QP
     spark.createDataFrame(ROWS, SPANS).write.parquet(str(tmp_path / "spans"))
