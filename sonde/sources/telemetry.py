@@ -177,9 +177,10 @@ def score_report(scored: DataFrame) -> DataFrame:
                          F.to_json("passed").alias("passed"), F.to_json("failed").alias("failed"), "score", "task_index")
 
 
-def append_report(scored: DataFrame, path: str) -> None:
-    """Append the report rows to a CSV folder with a header in each file."""
-    score_report(scored).write.mode("append").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+def append_report(scored: DataFrame, path: str, compression: str = "none") -> None:
+    """Append the report rows to a CSV folder with a header in each file; readers know a compressed file by its name."""
+    score_report(scored).write.mode("append").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(
+        path, compression=compression)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
